@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verseline.operators.ordered import islands, last_known, next_known, running_max, scan
+from verseline.operators.ordered import following_row, islands, islands_after, last_known, next_known, running_max, scan
 
 BASE_MS = 2_000
 GROWTH = 32
@@ -210,8 +210,6 @@ def resolve_coverage(segments: DataFrame, durations: DataFrame) -> DataFrame:
         .union(durations.select("track_id", "duration_ms"))
         .distinct()
     )
-    from verseline.operators.ordered import following_row, previous_row
-
     block = F.floor(F.col("t0") / BLOCK_MS)
     cells = scan(bounds, by=["track_id"], order=["t0"], block=block, nxt=following_row("t0"))
     cells = cells.select("track_id", "t0", F.col("nxt.t0").alias("t1")).where(F.col("t1") - F.col("t0") >= 20)
@@ -219,8 +217,7 @@ def resolve_coverage(segments: DataFrame, durations: DataFrame) -> DataFrame:
     hits = interval_join(cells, seg, by=["track_id"], t="mid", start="__s", end="__e", closed="both")
     winner = hits.groupBy("track_id", "t0").agg(F.min("seg_no").alias("seg_no"))
     owned = cells.join(winner, ["track_id", "t0"], "left").select("track_id", "t0", "t1", F.coalesce("seg_no", F.lit(-1)).alias("seg_no"))
-    prev = scan(owned, by=["track_id"], order=["t0"], block=block, prev=previous_row("seg_no"))
-    runs = islands(
-        prev, by=["track_id"], order=["t0"], block=block, starts=F.col("prev").isNull() | (F.col("prev.seg_no") != F.col("seg_no")), name="run"
+    runs = islands_after(
+        owned, by=["track_id"], order=["t0"], block=block, cols=["seg_no"], starts=lambda prev, cur: prev["seg_no"] != cur["seg_no"], name="run"
     )
     return runs.groupBy("track_id", "run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.first("seg_no").alias("seg_no")).drop("run")

@@ -160,6 +160,31 @@ def islands(
     )
 
 
+def islands_after(
+    df: DataFrame, *, by: Sequence[str], order: Sequence[str], block: Column, cols: Sequence[str], starts, name: str = "island"
+) -> DataFrame:
+    """Like ``islands`` when a run start depends on the row before only, in one pass instead of two.
+
+    ``starts(prev, cur)`` gets structs of ``cols``. Inside a block the rows are compared directly; across blocks the last
+    row of one summary is compared with the first row of the next. The first row of a group always starts a run.
+    """
+    by = list(by)
+    cur = F.struct(*cols)
+    one = lambda flag: F.when(F.coalesce(flag, F.lit(False)), 1).otherwise(0).cast("long")
+    w = Window.partitionBy(*by, BLOCK).orderBy(*order)
+    prev = F.lag(F.struct(*cols)).over(w)
+    rows = df.withColumn(BLOCK, block).withColumn("__prev", prev)
+    rows = rows.withColumn("__f", F.when(F.col("__prev").isNull(), F.lit(0).cast("long")).otherwise(one(starts(F.col("__prev"), cur))))
+    key = F.struct(*order)
+    summary = rows.groupBy(*by, BLOCK).agg(F.sum("__f").alias("f"), F.min_by(cur, key).alias("first"), F.max_by(cur, key).alias("last"))
+    wb = Window.partitionBy(*by).orderBy(BLOCK)
+    edges = summary.withColumn("__before", F.lag("last").over(wb))
+    edges = edges.withColumn("e", F.when(F.col("__before").isNull(), F.lit(1).cast("long")).otherwise(one(starts(F.col("__before"), F.col("first")))))
+    carry = edges.select(*by, BLOCK, (F.sum(F.col("f") + F.col("e")).over(wb) - F.col("f")).alias("__carry"))
+    out = rows.withColumn("__local", F.sum("__f").over(w)).join(carry, [*by, BLOCK])
+    return out.select(*df.columns, (F.col("__carry") + F.col("__local")).alias(name))
+
+
 def framed(
     df: DataFrame, *, by: Sequence[str], position: str, width: int, before: int, after: int, **values
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from verseline.operators.ordered import (
     following_row,
     framed,
     islands,
+    islands_after,
     last_known,
     next_known,
     previous_row,
@@ -37,8 +38,11 @@ def line_islands(lines: DataFrame, starts: Column, name: str, *, by: Sequence[st
 # ------------------------------------------------------------------ sections, paragraphs, pages
 def section_ids(lines: DataFrame, *, gap_ms: int) -> DataFrame:
     """0-based section number: a new one where the gap to the previous line's end exceeds ``gap_ms``."""
-    prev = line_scan(lines, __prev=previous_row("end_ms"))
-    return line_islands(prev, F.col("start_ms") - F.col("__prev.end_ms") > gap_ms, "section_id").drop("__prev")
+    s = islands_after(
+        lines, by=TRACK, order=ORDER, block=F.floor(F.col("start_ms") / BLOCK_MS), cols=["start_ms", "end_ms"],
+        starts=lambda prev, cur: cur["start_ms"] - prev["end_ms"] > gap_ms, name="section_id",
+    )
+    return s.withColumn("section_id", F.col("section_id") - 1)
 
 
 def lyric_blocks(lines: DataFrame, *, gap_s: float = 3.5) -> DataFrame:
@@ -239,9 +243,10 @@ def interpolate_lines(lines: DataFrame, *, value: str = "est_ms") -> DataFrame:
 
 def run_length(rows: DataFrame, *, by: Sequence[str], order: str, value: str, block_rows: int = 65536) -> DataFrame:
     """Consecutive equal values -> (value, first, last, n)."""
-    block = F.floor(F.col(order) / block_rows)
-    s = scan(rows, by=by, order=[order], block=block, __p=previous_row(value))
-    s = islands(s, by=by, order=[order], block=block, starts=F.col("__p").isNull() | ~F.col(f"__p.{value}").eqNullSafe(F.col(value)), name="run_no")
+    s = islands_after(
+        rows, by=by, order=[order], block=F.floor(F.col(order) / block_rows), cols=[value],
+        starts=lambda prev, cur: ~prev[value].eqNullSafe(cur[value]), name="run_no",
+    )
     return s.groupBy(*by, "run_no").agg(
         F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")
     )
