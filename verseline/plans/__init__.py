@@ -1,3 +1,3 @@
 """Bindings of the operators to the given tables, and the registered queries."""
 
-from verseline.plans import editing, formats, signals, timeline  # noqa: F401
+from verseline.plans import catalogue, editing, formats, signals, timeline  # noqa: F401
