@@ -60,6 +60,5 @@ def best_window_ratio(needle: Column, hay: Column) -> Column:
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own only gram."""
-    return F.when(F.length(text) < n, F.filter(F.array(text), lambda g: g != "")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda p: F.substring(text, p, F.lit(n))))
-    )
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    return F.when(F.length(text) < n, F.filter(F.array(text), lambda g: g != "")).otherwise(F.array_distinct(windows))

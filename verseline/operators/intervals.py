@@ -116,11 +116,15 @@ def asof_join(
     rhs = right.select(*by, F.col(right_t).cast("long").alias("__t"), F.lit(right_rank).alias("__o"), tied.cast("long").alias("__u"), rrow.alias("__r"))
     both = lhs.unionByName(rhs, allowMissingColumns=True)
     want = {}
-    if direction in ("backward", "nearest"):
+    if direction in ("backward", "nearest", "both"):
         want["__back"] = last_known(F.col("__r"))
-    if direction in ("forward", "nearest"):
+    if direction in ("forward", "nearest", "both"):
         want["__ahead"] = next_known(F.col("__r"))
     s = scan(both, by=by, order=["__t", "__o", "__u"], block=F.floor(F.col("__t") / block_ms), **want).where(F.col("__l").isNotNull())
+    if direction == "both":
+        return s.select(
+            *[F.col(f"__l.{c}") for c in left.columns], *[F.col(f"__back.{c}") for c in payload], *[F.col(f"__ahead.{c}").alias(f"next_{c}") for c in payload]
+        )
     if direction == "backward":
         hit = F.col("__back")
     elif direction == "forward":

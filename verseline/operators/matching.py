@@ -30,11 +30,12 @@ def near_duplicates(assets: DataFrame, *, max_bits: int = 6, bands: int = 9, bit
     copies = assets.join(first, "ahash").where(F.col("asset_id") > F.col("first_id")).select("asset_id")
     edges = [round(i * bits / bands) for i in range(bands + 1)]
     piece = lambda i: F.shiftright("ahash", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
-    combos = [
-        F.struct(F.lit(n).cast("int").alias("n"), F.concat_ws("-", *[piece(i).cast("string") for i in c]).alias("key"))
-        for n, c in enumerate(combinations(range(bands), bands - max_bits))
-    ]
-    keyed = first.select("ahash", "first_id", F.explode(F.array(*combos)).alias("c")).select("ahash", "first_id", "c.n", "c.key")
+    picks = list(combinations(range(bands), bands - max_bits))
+    choice = F.expr("array(" + ", ".join("array(" + ", ".join(map(str, c)) + ")" for c in picks) + ")")
+    pieces = first.withColumn("__pieces", F.array(*[piece(i) for i in range(bands)]))
+    keyed = pieces.select("ahash", "first_id", "__pieces", F.posexplode(choice).alias("n", "__c")).select(
+        "ahash", "first_id", "n", F.transform("__c", lambda i: F.get("__pieces", i)).alias("key")
+    )
     older = keyed.select(F.col("ahash").alias("h2"), F.col("first_id").alias("id2"), F.col("n").alias("n2"), F.col("key").alias("key2"))
     near = keyed.join(
         older,
@@ -134,14 +135,15 @@ def warp_times(points: DataFrame, knots: DataFrame, *, tol_ms: int = 200, min_wo
     k = k.select("track_id", "src_ms", target.cast("long").alias("to_ms")).join(usable, "track_id", "left_semi")
     k = scan(k, by=["track_id"], order=["src_ms", "to_ms"], block=F.floor(F.col("src_ms") / 60000), __hi=running_max(F.col("to_ms"), inclusive=False))
     k = k.where(F.col("__hi").isNull() | (F.col("to_ms") > F.col("__hi") + 30)).select("track_id", "src_ms", "to_ms")
-    k = scan(k, by=["track_id"], order=["src_ms"], block=F.floor(F.col("src_ms") / 60000), nxt=following_row("src_ms", "to_ms"))
-    k = k.select("track_id", "src_ms", F.col("src_ms").alias("k0"), F.col("to_ms").alias("v0"), F.col("nxt.src_ms").alias("k1"), F.col("nxt.to_ms").alias("v1"))
-    left = asof_join(points, k, by=["track_id"], left_t="t_ms", right_t="src_ms", payload=["k0", "v0", "k1", "v1"])
-    head = k.groupBy("track_id").agg(F.min_by(F.col("v0") - F.col("k0"), "k0").alias("head"))
-    j = salted_lookup(left, head, ["track_id"], how="left")
+    k = k.select("track_id", "src_ms", F.col("src_ms").alias("k"), F.col("to_ms").alias("v"))
+    j = asof_join(points, k, by=["track_id"], left_t="t_ms", right_t="src_ms", payload=["k", "v"], direction="both")
     t = F.col("t_ms")
-    inside = F.col("v0") + F.floor((t - F.col("k0")) * (F.col("v1") - F.col("v0")) / (F.col("k1") - F.col("k0")))
-    new = F.when(F.col("k0").isNull(), t + F.coalesce("head", F.lit(0))).when(F.col("k1").isNull(), t + F.col("v0") - F.col("k0")).otherwise(inside)
+    inside = F.col("v") + F.floor((t - F.col("k")) * (F.col("next_v") - F.col("v")) / (F.col("next_k") - F.col("k")))
+    new = (
+        F.when(F.col("k").isNull(), t + F.coalesce(F.col("next_v") - F.col("next_k"), F.lit(0)))
+        .when(F.col("next_k").isNull(), t + F.col("v") - F.col("k"))
+        .otherwise(inside)
+    )
     return j.select(*points.columns, F.greatest(new, F.lit(0)).cast("long").alias("warped_ms"))
 
 

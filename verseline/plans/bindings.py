@@ -203,26 +203,26 @@ frames AS (
   LEFT JOIN sums s ON s.track_id = g.track_id AND s.frame_no = g.frame_no)"""
 
 
-# ---------------------------------------------------------------- assets: one footage clip per order line
+# ---------------------------------------------------------------- assets: one footage clip per order
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asset_id"),
-        F.col("l_suppkey").alias("library_id"),
-        F.lower("l_returnflag").alias("origin_code"),
-        "l_linestatus",
-        (F.col("l_quantity") / 500).alias("motion"),
-        (F.col("l_discount") * 6).alias("luma"),
-        (F.pmod(F.floor("l_extendedprice"), F.lit(40)) / 100).alias("color"),
-        (F.col("l_tax") * 3).alias("detail"),
-        (F.col("l_quantity") * 2).alias("t_in"),
-        F.col("l_extendedprice").alias("quality"),
-        (F.col("l_linestatus") == "F").alias("fade"),
+    o = table(spark, sf_dir, "orders")
+    mod = lambda c, n: F.pmod(F.col(c), F.lit(n))
+    return o.select(
+        F.col("o_orderkey").alias("asset_id"),
+        F.floor(F.col("o_custkey") / 15).alias("library_id"),
+        F.translate(F.lower("o_orderstatus"), "fop", "ran").alias("origin_code"),
+        ((mod("o_custkey", 50) + 1) / 500).alias("motion"),
+        (mod("o_orderkey", 11) * 0.06).alias("luma"),
+        (F.pmod(F.floor("o_totalprice"), F.lit(40)) / 100).alias("color"),
+        (mod("o_orderkey", 9) * 0.03).alias("detail"),
+        (mod("o_orderkey", 50) * 2.0).alias("t_in"),
+        F.col("o_totalprice").alias("quality"),
+        (mod("o_custkey", 2) == 0).alias("fade"),
     )
 
 
 ASSETS_SQL = """assets AS (
-  SELECT l_orderkey * 10 + l_linenumber AS asset_id, l_suppkey AS library_id, lower(l_returnflag) AS origin_code, l_linestatus,
-         l_quantity / 500 AS motion, l_discount * 6 AS luma, (CAST(floor(l_extendedprice) AS BIGINT) % 40) / 100 AS color,
-         l_tax * 3 AS detail, l_quantity * 2 AS t_in, l_extendedprice AS quality, l_linestatus = 'F' AS fade
-  FROM lineitem)"""
+  SELECT o_orderkey AS asset_id, o_custkey // 15 AS library_id, translate(lower(o_orderstatus), 'fop', 'ran') AS origin_code,
+         (o_custkey % 50 + 1) / 500 AS motion, (o_orderkey % 11) * 0.06::DOUBLE AS luma, (CAST(floor(o_totalprice) AS BIGINT) % 40) / 100 AS color,
+         (o_orderkey % 9) * 0.03::DOUBLE AS detail, (o_orderkey % 50) * 2.0::DOUBLE AS t_in, o_totalprice AS quality, o_custkey % 2 = 0 AS fade
+  FROM orders)"""

@@ -420,11 +420,11 @@ def _pool(spark, sf):
 
 
 @query(
-    f"""{_A}, {_POOL}, c AS (SELECT track_id, origin, count(*) AS m, CASE origin WHEN 'user' THEN 1 WHEN 'web' THEN 2 ELSE 3 END AS r FROM pool GROUP BY 1, 2), q AS (SELECT *, greatest(least(m, least(200, sum(m) OVER (PARTITION BY track_id)) - coalesce(sum(m) OVER (PARTITION BY track_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS quota FROM c),
+    f"""{_A}, {_POOL}, c AS (SELECT track_id, origin, count(*) AS m, CASE origin WHEN 'user' THEN 1 WHEN 'web' THEN 2 ELSE 3 END AS r FROM pool GROUP BY 1, 2), q AS (SELECT *, greatest(least(m, least(100, sum(m) OVER (PARTITION BY track_id)) - coalesce(sum(m) OVER (PARTITION BY track_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS quota FROM c),
 n AS (SELECT *, row_number() OVER (PARTITION BY track_id, origin ORDER BY pool_no) AS j FROM pool) SELECT n.track_id, n.pool_no, n.origin, round((j - 0.5::DOUBLE) / quota, 6) AS place FROM n JOIN q USING (track_id, origin) WHERE j <= quota"""
 )
 def quota_interleave(spark, sf):
-    return rk.quota_interleave(_pool(spark, sf), n=200).select("track_id", "pool_no", "origin", "place")
+    return rk.quota_interleave(_pool(spark, sf), n=100).select("track_id", "pool_no", "origin", "place")
 
 
 @query(
@@ -456,7 +456,7 @@ def pool_by_origin(spark, sf):
     return rk.pool_by_origin(b.assets(spark, sf).select(F.col("origin_code").alias("origin"), why.alias("why")))
 
 
-@query("SELECT 'https://v/' || l_suppkey || '?id=' || (l_suppkey % 7) AS link, min(l_orderkey * 10 + l_linenumber) AS first_asset, count(*) AS uses FROM lineitem GROUP BY l_suppkey")
+@query(f"{_A} SELECT 'https://v/' || library_id || '?id=' || (library_id % 7) AS link, min(asset_id) AS first_asset, count(*) AS uses FROM assets GROUP BY library_id")
 def credits(spark, sf):
     a = b.assets(spark, sf)
     s = F.col("library_id")

@@ -110,7 +110,7 @@ def auto_tags(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey * 10 + l_linenumber AS asset_id, 'c' || substr(sha1(l_suppkey || '|' || CAST(CAST(l_quantity * 2 AS BIGINT) AS VARCHAR) || '.00'), 1, 10) AS clip_id, 'p' || substr(md5('supplier ' || l_suppkey), 1, 6) AS person_id FROM lineitem"""
+    f"""{_A} SELECT asset_id, 'c' || substr(sha1(library_id || '|' || CAST(CAST(t_in AS BIGINT) AS VARCHAR) || '.00'), 1, 10) AS clip_id, 'p' || substr(md5('supplier ' || library_id), 1, 6) AS person_id FROM assets"""
 )
 def stable_id(spark, sf):
     a = b.assets(spark, sf)
