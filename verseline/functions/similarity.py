@@ -20,10 +20,8 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, _TOKEN_SPLIT), lambda t: t != "")
 
 
-def text_score(keyword: Column, text: Column) -> Column:
-    """0-100: equality, containment, shared words, word prefixes, else the edit ratio."""
-    k, t = normalize_text(keyword), normalize_text(text)
-    kt, tt = tokens(k), tokens(t)
+def token_score(k: Column, t: Column, kt: Column, tt: Column) -> Column:
+    """``text_score`` on normalised texts ``k``, ``t`` and their tokens."""
     n = F.size(kt)
     shared = F.size(F.filter(kt, lambda w: F.array_contains(tt, w)))
     prefixed = F.size(F.filter(kt, lambda w: F.exists(tt, lambda x: F.startswith(x, w))))
@@ -37,7 +35,13 @@ def text_score(keyword: Column, text: Column) -> Column:
     return F.when((k == "") | (t == ""), F.lit(0.0)).when(k == t, F.lit(100.0)).otherwise(F.round(F.least(score, F.lit(100.0)), 2))
 
 
-def title_tier(keyword: Column, title: Column) -> Column:
+def text_score(keyword: Column, text: Column) -> Column:
+    """0-100: equality, containment, shared words, word prefixes, else the edit ratio."""
+    k, t = normalize_text(keyword), normalize_text(text)
+    return token_score(k, t, tokens(k), tokens(t))
+
+
+def title_tier(keyword: Column, title: Column, score: Column) -> Column:
     """4 equal, 3 prefix, 2 contained, 1 similar (score >= 80), 0 otherwise."""
     k, t = normalize_text(keyword), normalize_text(title)
     ck, ct = compact(keyword), compact(title)
@@ -46,7 +50,7 @@ def title_tier(keyword: Column, title: Column) -> Column:
         .when((k == t) | ((ck != "") & (ck == ct)), 4)
         .when(F.startswith(t, k) | F.startswith(ct, ck), 3)
         .when(F.contains(t, k) | ((ck != "") & F.contains(ct, ck)), 2)
-        .when(text_score(keyword, title) >= 80, 1)
+        .when(score >= 80, 1)
         .otherwise(0)
     )
 

@@ -51,25 +51,32 @@ def ngram_join(
 ) -> DataFrame:
     """Pairs of texts whose shared n-grams reach ``min_score``: ``share`` of the left text's grams, or ``dice`` of both.
 
-    Both sides: ids, ``by`` and ``text``. Exact: a pair that qualifies must share one of the left text's rarest grams
+    Both sides: ids, ``by`` and ``text``. Exact: a pair that qualifies must share most of the left text's rarest grams
     (all but the number it can afford to miss), so only those are joined and frequent grams hardly ever are. The
     candidates are then scored on whole gram sets.
     """
     by, left_id, right_id = list(by), list(left_id), list(right_id)
-    lg = left.select(*by, *left_id, char_ngrams(F.col("text"), n).alias("lg")).where(F.size("lg") > 0)
-    rg = right.select(*by, *right_id, char_ngrams(F.col("text"), n).alias("rg")).where(F.size("rg") > 0)
-    rrows = rg.select(*by, *right_id, F.explode("rg").alias("gram"))
+    grams = char_ngrams(F.col("text"), n)
+    rrows = right.select(*by, *right_id, F.explode(grams).alias("gram"))
     freq = rrows.groupBy(*by, "gram").agg(F.count("*").alias("df"))
-    lrows = lg.select(*by, *left_id, F.size("lg").alias("nl"), F.explode("lg").alias("gram")).join(freq, [*by, "gram"], "left")
+    lg = left.select(*by, *left_id, grams.alias("lg")).select(*by, *left_id, F.size("lg").alias("nl"), F.explode("lg").alias("gram"))
     rare = Window.partitionBy(*by, *left_id).orderBy(F.coalesce("df", F.lit(0)), "gram")
     need = F.lit(min_score) if measure == "share" else F.lit(min_score / (2 - min_score))
-    spare = F.col("nl") - F.ceil(F.round(need * F.col("nl"), 9)) + 1
-    probes = lrows.withColumn("__r", F.row_number().over(rare)).where((F.col("__r") <= spare) & F.col("df").isNotNull())
-    pairs = probes.join(rrows, [*by, "gram"]).select(*by, *left_id, *right_id).distinct()
-    scored = pairs.join(lg, [*by, *left_id]).join(rg, [*by, *right_id])
-    shared = F.size(F.array_intersect("lg", "rg"))
-    score = shared / F.size("lg") if measure == "share" else 2 * shared / (F.size("lg") + F.size("rg"))
-    return scored.select(*by, *left_id, *right_id, shared.alias("shared"), score.alias("score")).where(F.round("score", 9) >= min_score)
+    # a qualifying pair misses at most ``spare`` of the left grams, so of any ``looked`` grams it shares all but that many
+    spare = F.col("nl") - F.ceil(F.round(need * F.col("nl"), 9))
+    looked = F.least(F.col("nl"), 2 * spare + 3)
+    probes = lg.join(freq, [*by, "gram"], "left").withColumns({"__r": F.row_number().over(rare), "__least": looked - spare})
+    probes = probes.where((F.col("__r") <= looked) & F.col("df").isNotNull()).select(*by, *left_id, "gram", "__least")
+    hits = probes.join(rrows, [*by, "gram"]).groupBy(*by, *left_id, *right_id).agg(F.count("*").alias("__n"), F.first("__least").alias("__least"))
+    pairs = hits.where(F.col("__n") >= F.col("__least")).select(*by, *left_id, *right_id)
+    # whole gram sets of the candidates, counted one gram per row
+    shared = pairs.join(lg, [*by, *left_id]).join(rrows, [*by, *right_id, "gram"]).groupBy(*by, *left_id, *right_id, "nl").agg(F.count("*").cast("int").alias("shared"))
+    if measure == "share":
+        scored = shared.withColumn("score", F.col("shared") / F.col("nl"))
+    else:
+        sizes = rrows.groupBy(*by, *right_id).agg(F.count("*").alias("nr"))
+        scored = shared.join(sizes, [*by, *right_id]).withColumn("score", 2 * F.col("shared") / (F.col("nl") + F.col("nr")))
+    return scored.select(*by, *left_id, *right_id, "shared", "score").where(F.round("score", 9) >= min_score)
 
 
 def best_hits(pairs: DataFrame, *, line: Sequence[str], order: str, top: int) -> DataFrame:

@@ -7,22 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseline.functions.similarity import text_score, title_tier
+from verseline.functions.similarity import title_tier, token_score, tokens
+from verseline.functions.textnorm import normalize_text
 from verseline.operators.ordered import group_total, row_index, running_sum, salted_lookup, scan
 
 
 def score_candidates(cands: DataFrame) -> DataFrame:
     """Score columns of a candidate (keyword, title, artist, album, body, priority) against its query keyword."""
-    k = F.col("keyword")
-    s = cands.withColumns(
-        {
-            "tier": title_tier(k, F.col("title")),
-            "title_score": text_score(k, F.col("title")),
-            "artist_score": text_score(k, F.col("artist")),
-            "album_score": text_score(k, F.col("album")),
-            "body_score": text_score(k, F.col("body")),
-        }
-    )
+    fields = ("title", "artist", "album", "body")
+    s = cands.withColumns({f"__{c}": normalize_text(F.col(c)) for c in ("keyword", *fields)})
+    s = s.withColumns({f"__{c}_t": tokens(F.col(f"__{c}")) for c in ("keyword", *fields)})
+    s = s.withColumns({f"{c}_score": token_score(F.col("__keyword"), F.col(f"__{c}"), F.col("__keyword_t"), F.col(f"__{c}_t")) for c in fields})
+    s = s.withColumn("tier", title_tier(F.col("keyword"), F.col("title"), F.col("title_score")))
+    s = s.drop(*[f"__{c}" for c in ("keyword", *fields)], *[f"__{c}_t" for c in ("keyword", *fields)])
     show = F.col("title_score") * 0.55 + F.col("artist_score") * 0.25 + F.col("album_score") * 0.12 + F.col("body_score") * 0.08 + F.col("priority") / 20
     fields = [("title_score", 4), ("artist_score", 3), ("album_score", 2), ("body_score", 1)]
     best = F.array_max(F.array(*[F.struct(F.col(c).alias("s"), F.lit(o).alias("o"), F.lit(c[:-6]).alias("f")) for c, o in fields]))

@@ -126,18 +126,16 @@ def local_peaks(frames: DataFrame, *, radius: int) -> DataFrame:
 
 
 def detect_cuts(frames: DataFrame, *, min_diff: float, ratio: float = 2.6, plus: float = 0.02, reach: int = 8) -> DataFrame:
-    """Frames whose jump is above ``min_diff`` and well above the median jump around them; of adjacent ones every second."""
-
-    def median(w) -> Column:
-        near = F.array_sort(F.concat(F.collect_list("diff").over(w.rowsBetween(-reach, -1)), F.collect_list("diff").over(w.rowsBetween(1, reach))))
-        n = F.size(near)
-        half = F.floor(n / 2).cast("int")
-        mid = F.when(F.pmod(n, F.lit(2)) == 1, F.get(near, half)).otherwise((F.get(near, half - 1) + F.get(near, half)) / 2)
-        return F.when(n == 0, 0.0).otherwise(mid)
-
+    """Frames whose jump is above ``min_diff`` and well above the median of the jumps around them; of adjacent ones every second."""
     d = neighbours(frames, 1, 0, __p=lambda w: F.first("value").over(w), __n=lambda w: F.count("*").over(w))
     d = d.where(F.col("__n") == 2).select("track_id", "frame_no", F.abs(F.col("value") - F.col("__p")).alias("diff"))
-    local = framed(d, by=TRACK, position="frame_no", width=WIDTH, before=reach, after=reach, local=median)
+    near = framed(d, by=TRACK, position="frame_no", width=WIDTH, before=reach, after=reach, __near=lambda w: F.collect_list("diff").over(w))
+    near = near.withColumn("__near", F.sort_array("__near"))
+    n = F.size("__near") - 1
+    self_at = F.array_position("__near", F.col("diff")).cast("int") - 1
+    other = lambda k: F.get("__near", k + F.when(k >= self_at, 1).otherwise(0))
+    mid = (other(F.floor((n - 1) / 2).cast("int")) + other(F.floor(n / 2).cast("int"))) / 2
+    local = near.withColumn("local", F.when(n == 0, 0.0).otherwise(mid)).drop("__near")
     cand = local.withColumn("__c", ((F.col("diff") > min_diff) & (F.col("diff") > F.col("local") * ratio + plus)).cast("int"))
     cand = framed(cand, by=TRACK, position="frame_no", width=WIDTH, before=1, after=0, __two=lambda w: F.sum("__c").over(w)).where(F.col("__c") == 1)
     first = F.when(F.col("__two") == 1, F.col("frame_no"))
