@@ -1,0 +1,199 @@
+"""Hand-made cases for the text dialects, the columns functions and the order rules."""
+
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from verseline.functions import kana, scripts, textnorm
+from verseline.functions import timetext as tt
+from verseline.operators import cleaning as cl
+from verseline.operators import intervals as iv
+from verseline.operators import matching as mt
+from verseline.operators import ordered as od
+from verseline.operators import ranking as rk
+from verseline.operators import stats as st
+from verseline.operators import windows as wn
+from verseline.sources import corpus, dialects, writers
+
+
+def one(spark, *cols):
+    return spark.range(1).select(*cols).first()
+
+
+def files(spark, text):
+    return spark.createDataFrame([(1, text)], "file_id long, content string")
+
+
+def test_lrc_stamps(spark):
+    rows = dialects.parse_lrc(files(spark, "[00:02.345]b\n[00:02.34]c\n[00:01.20][00:03.4]a")).collect()
+    assert sorted((r.start_ms, r.text) for r in rows) == [(1200, "[00:03.4]a"), (2340, "c"), (2345, "b")]
+    assert one(spark, tt.lrc_clock(F.lit(1234)), tt.lrc_clock(F.lit(1235)))[:] == ("00:01.23", "00:01.24")
+
+
+def test_word_lrc_release(spark):
+    (r,) = dialects.parse_word_lrc(files(spark, "[00:00.00]x[00:01.00]")).collect()
+    assert (r.word, r.first, r.last, r.start_ms, r.release_ms) == ("x", 0, 0, 0, 1000)
+
+
+def test_srt_bad_end(spark):
+    (r,) = dialects.parse_srt(files(spark, "1\n00:00:02,000 --> 00:00:01,000\n<i>hi</i>\nthere\n")).collect()
+    assert (r.start_ms, r.end_ms, r.text) == (2000, None, "hi there")
+
+
+def test_annotated(spark):
+    rows = dialects.parse_annotated_ruby(files(spark, "{夢||ゆめ}を\n[A] 空(そら)")).orderBy("line_no").collect()
+    assert [(r.text, r.first, r.last, r.reading, r.singer) for r in rows] == [("夢を", 0, 0, "ゆめ", None), ("空", 0, 0, "そら", "A")]
+
+
+def test_inline(spark):
+    rows = dialects.parse_inline_timed(files(spark, "[1|00:01:50]あ[20|00:02:00]い")).orderBy("char_no").collect()
+    assert [(r.ch, r.check_count, r.is_line_end, r.ms) for r in rows] == [("あ", 1, False, 1500), ("い", 2, True, 2000)]
+
+
+def test_timecode(spark):
+    assert one(spark, *[tt.timecode_ms(F.lit(x)).alias(f"c{i}") for i, x in enumerate(["1:02.5", "1:00:00", "x", ""])])[:] == (62500, 3600000, None, 0)
+
+
+def test_kana(spark):
+    assert one(spark, kana.moras(F.lit("きゃっと")))[0] == ["きゃっ", "と"]
+    assert one(spark, kana.split_for_checks(F.lit("はじまり"), F.lit(3)))[0] == ["はじ", "ま", "り"]
+    assert one(spark, kana.split_for_checks(F.lit("あ"), F.lit(3)))[0] == ["あ", "^", "^"]
+    assert one(spark, kana.head_heavy_split(F.lit("はじまり"), F.lit(3)))[0] == ["はじ", "ま", "り"]
+    assert one(spark, kana.hangul_romaji(F.lit("한")))[0] == "han"
+    got = one(spark, *[kana.kanji_number(F.lit(n).cast("long")).alias(f"c{n}") for n in (0, 10, 999, 2024, 10000)])[:]
+    assert got == ("零", "十", "九百九十九", "二千二十四", "一万")
+
+
+def test_text_folds(spark):
+    assert one(spark, textnorm.normalize_text(F.lit("　ＡＢＣ　ｱｲ ")))[0] == "abc アイ"
+    assert one(spark, textnorm.kana_key(F.lit("ツヅク")))[0] == "つずく"
+    classes = [one(spark, scripts.char_class(F.lit(c)))[0] for c in "ーっあア夢한a1 ・"]
+    assert classes == ["long_vowel", "sokuon", "hiragana", "katakana", "kanji", "hangul", "alphabet", "number", "space", "symbol"]
+    assert [one(spark, scripts.detect_language(F.lit(x)))[0] for x in ("夢を見る", "hello", "12", "")] == ["ja", "en", "other", "other"]
+
+
+def test_chorus_unclosed(spark):
+    assert one(spark, cl.chorus_spans(F.lit("a（b")))[0] == []
+    assert [tuple(x) for x in one(spark, cl.chorus_spans(F.lit("a（b）c(d)")))[0]] == [(1, 3), (5, 7)]
+
+
+def test_query_variants(spark):
+    assert one(spark, cl.query_variants(F.lit("A - B")))[0] == ["A - B", "A B", "A", "B"]
+
+
+def chars(spark, rows):
+    return spark.createDataFrame(rows, "track_id string, line_no long, char_no long, start_ms long, line_end_ms long")
+
+
+def test_mirror(spark):
+    ok = wn.mirror_reversed_lines(chars(spark, [("t", 1, 0, 5, 1), ("t", 1, 1, 3, 1), ("t", 1, 2, 2, 1)])).orderBy("char_no").collect()
+    assert [r.start_ms for r in ok] == [1, 3, 4] and {r.line_end_ms for r in ok} == {5} and all(r.reversed for r in ok)
+    no = wn.mirror_reversed_lines(chars(spark, [("t", 1, 0, 3, 4), ("t", 1, 1, 2, 4), ("t", 1, 2, 1, 4)])).orderBy("char_no").collect()
+    assert [r.start_ms for r in no] == [3, 2, 1] and not any(r.reversed for r in no)
+
+
+def lines(spark, rows):
+    return spark.createDataFrame([("t", i, "x", s, e) for i, (s, e) in enumerate(rows)], "track_id string, line_no long, text string, start_ms long, end_ms long")
+
+
+def test_gap_of_exactly_the_limit_stays_in_the_block(spark):
+    assert wn.lyric_sections(lines(spark, [(0, 0), (3500, 3600), (7101, 7200)])).count() == 2
+
+
+def test_monotonic_fix_is_idempotent(spark):
+    fixed = wn.monotonic_fix(lines(spark, [(5, 6), (3, 4), (9, 7)]))
+    assert [(r.start_ms, r.end_ms) for r in fixed.orderBy("line_no").collect()] == [(5, 6), (5, 55), (9, 59)]
+    assert wn.monotonic_fix(fixed).exceptAll(fixed).count() == 0
+
+
+def test_robust_mean(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 100)], "k string, v double")
+    assert st.robust_mean(df, by=["k"], value="v").first()["robust_mean"] == 26.5
+
+
+def test_tap(spark):
+    assert abs(one(spark, st.tap_offset(F.lit(1.1), F.lit(0.0), F.lit(0.5)))[0] + 100) < 1e-6
+
+
+def test_coverage(spark):
+    seg = spark.createDataFrame([("t", 0, 0, 10_000), ("t", 1, 5_000, 20_000)], "track_id string, seg_no long, start_ms long, end_ms long")
+    dur = spark.createDataFrame([("t", 25_000)], "track_id string, duration_ms long")
+    got = iv.resolve_coverage(seg, dur).orderBy("t0").collect()
+    assert [(r.t0, r.t1, r.seg_no) for r in got] == [(0, 10_000, 0), (10_000, 20_000, 1), (20_000, 25_000, -1)]
+
+
+def test_even_sample(spark):
+    df = spark.range(10).select(F.lit("t").alias("t"), F.col("id"))
+    got = rk.even_sample(df, n=4, by=["t"], order="id", block=F.floor(F.col("id") / 3))
+    assert sorted(r.id for r in got.collect()) == [0, 2, 5, 7]
+
+
+def test_srt_writer_short_span(spark):
+    ln = spark.createDataFrame([("t", 1, "a", 5000, 0), ("t", 2, "b", 5000, 0)], "track_id string, line_no long, text string, start_ms long, end_ms long")
+    out = [r.out for r in writers.write_srt(ln).orderBy("line_no").collect()]
+    assert out[0] == "1\n00:00:05,000 --> 00:00:10,000\na"
+
+
+def test_decode(spark):
+    rows = [(1, "夢を見る".encode("utf-8-sig")), (2, "夢を見る".encode("utf-16-le")), (3, "plain".encode())]
+    rows[1] = (2, b"\xff\xfe" + rows[1][1])
+    got = corpus.decode_corpus(spark.createDataFrame(rows, "id long, bytes binary"), charsets=("UTF-8",)).orderBy("id").collect()
+    assert [r.content for r in got] == ["夢を見る", "夢を見る", "plain"]
+
+
+def test_scan_equals_plain_window(spark):
+    """Random rows, tiny blocks: every running value equals the one of a whole-group window."""
+    from pyspark.sql import Window
+
+    rng = random.Random(1)
+    rows = [(k, i, rng.randrange(50), rng.choice([None, rng.randrange(9)])) for k in "ab" for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i long, v long, m long")
+    w = Window.partitionBy("k").orderBy("i")
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    got = od.scan(
+        df, by=["k"], order=["i"], block=F.floor(F.col("i") / 7), hi=od.running_max(F.col("v"), inclusive=False), s=od.running_sum(F.col("v")),
+        prev=od.last_known(F.col("m"), inclusive=False), nxt=od.next_known(F.col("m")), n=od.row_index(), z=od.row_index(forward=False), tot=od.group_total(F.col("v")),
+    )
+    want = df.select(
+        "*", F.max("v").over(back).alias("hi"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.last("m", True).over(back).alias("prev"),
+        F.first("m", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("nxt"), F.row_number().over(w).cast("long").alias("n"),
+        (F.lit(201) - F.row_number().over(w)).cast("long").alias("z"), F.sum("v").over(Window.partitionBy("k")).alias("tot"),
+    )
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    runs = od.islands_after(df, by=["k"], order=["i"], block=F.floor(F.col("i") / 7), cols=["v"], starts=lambda p, c: c["v"] < p["v"], name="run")
+    plain = df.withColumn("f", F.when(F.lag("v").over(w).isNull() | (F.col("v") < F.lag("v").over(w)), 1).otherwise(0)).select("k", "i", "v", "m", F.sum("f").over(w).alias("run"))
+    assert runs.exceptAll(plain).count() == 0
+
+
+def test_interval_join_is_brute_force(spark):
+    rng = random.Random(2)
+    pts = [("k", i, rng.randrange(3_000_000)) for i in range(120)]
+    ivs = [("k", j, a, a + rng.choice([0, 5, 900, 70_000, 2_500_000])) for j, a in enumerate(rng.randrange(3_000_000) for _ in range(60))]
+    got = iv.interval_join(
+        spark.createDataFrame(pts, "k string, p long, t long"), spark.createDataFrame(ivs, "k string, j long, a long, z long"), by=["k"], t="t", start="a", end="z"
+    )
+    assert sorted((r.p, r.j) for r in got.collect()) == sorted((p, j) for (_, p, t), (_, j, a, z) in itertools.product(pts, ivs) if a <= t < z)
+
+
+def test_near_duplicates_are_brute_force(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(62) for _ in range(60)]
+    hashes = base + [h ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(9))) for h in base]
+    df = spark.createDataFrame(list(enumerate(hashes)), "asset_id long, ahash long")
+    want = {i for i, h in enumerate(hashes) if any(bin(h ^ g).count("1") <= 6 for g in hashes[:i])}
+    assert {r.asset_id for r in mt.near_duplicates(df).collect()} == want
+
+
+def test_greedy_cover_is_brute_force(spark):
+    rng = random.Random(4)
+    rows = [("a", i, s := rng.randrange(40), s + rng.randrange(6), f"w{i}", rng.randrange(3)) for i in range(60)]
+    rows = [(k, i, s, e, w, r) for k, i, s, e, w, r in rows]
+    df = spark.createDataFrame([(k, s, e, w, r, i) for k, i, s, e, w, r in rows], "line string, first long, last long, word string, rank long, i long")
+    got = {r.word for r in mt.greedy_cover(df, line=["line"]).collect()}
+    taken, want = set(), set()
+    for k, i, s, e, w, r in sorted(rows, key=lambda x: (x[2] - x[3], x[5], x[2])):
+        if not taken & set(range(s, e + 1)):
+            taken |= set(range(s, e + 1))
+            want.add(w)
+    assert len(got) == len(want) and got == want
