@@ -11,8 +11,12 @@ SF = "/root/testdata/sf0.001"
 
 def as_stream(spark, df, parts=3):
     """Write the rows as several files in time order and read the folder as a stream."""
+    from pyspark.sql import Window
+
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/in"
-    df.repartitionByRange(parts, df.columns[-1]).write.parquet(path)
+    cut = df.withColumn("__n", F.ntile(parts).over(Window.orderBy(df.columns[-1])))
+    for n in range(1, parts + 1):  # files must arrive in the order of writing
+        cut.where(F.col("__n") == n).drop("__n").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -64,10 +68,7 @@ def test_tap_calibration(spark):
 def test_backward_alerts(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
     rows = ev.select(F.col("user_id").cast("string").alias("session_id"), F.pmod(F.col("event_id") * 37, F.lit(401)).alias("start_ms"), F.col("event_id").alias("seq"))
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/in"
-    for lo in (0, 400, 800):  # files must arrive in the order of writing
-        rows.where((F.col("seq") >= lo) & (F.col("seq") < (lo + 400 if lo < 800 else 10**9))).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = as_stream(spark, rows)
     out = drain(jobs.stream_backward_alerts(stream), "append")
     from pyspark.sql import Window
 

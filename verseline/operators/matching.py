@@ -242,3 +242,22 @@ def greedy_cover(hits: DataFrame, *, line: Sequence[str]) -> DataFrame:
         return part[keep]
 
     return hits.groupBy(*keys).applyInPandas(cover, schema)
+
+
+# ------------------------------------------------------------------ reading spans
+def active_spans_for_line(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """Reading spans that hold for a line: owned by it, global (0, 0), or overlapping its time, and the base stands in its text.
+
+    ``lines``: track_id, line_no, text, start_ms, end_ms. ``spans``: track_id, span_no, base, reading, from_ms, to_ms, owner.
+    """
+    owned = lines.join(spans.where(F.col("owner").isNotNull()), (lines.track_id == spans.track_id) & (F.col("owner") == F.col("line_no"))).drop(spans.track_id)
+    free = spans.where(F.col("owner").isNull())
+    everywhere = lines.join(free.where((F.col("from_ms") == 0) & (F.col("to_ms") == 0)), "track_id")
+    from verseline.operators.intervals import overlap_join
+
+    timed = overlap_join(
+        lines, free.where((F.col("from_ms") != 0) | (F.col("to_ms") != 0)), by=["track_id"], left_span=("start_ms", "end_ms"), right_span=("from_ms", "to_ms"), bucket=16_000
+    )
+    cols = ["track_id", "line_no", "span_no", "reading"]
+    texts = [x.where(F.contains("text", F.col("base"))).select(*cols) for x in (owned, everywhere, timed)]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2])

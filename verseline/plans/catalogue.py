@@ -588,3 +588,20 @@ def assign_assets(spark, sf):
 def similarity(spark, sf):
     p = b.table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("n"), F.lower("p_type").alias("t"))
     return p.select("p_partkey", F.round(sim.edit_ratio(F.col("n"), F.col("t")), 6).alias("ratio"), sim.best_window_ratio(F.substring("n", 3, 4), F.col("n")).alias("best"))
+
+
+_SPN = """sp AS (SELECT track_id, line_no AS span_no, text AS base, upper(text) AS reading, CASE WHEN line_no % 7 = 0 THEN 0 ELSE start_ms - 3000 END AS f, CASE WHEN line_no % 7 = 0 THEN 0 ELSE start_ms + 3000 END AS t, CASE WHEN line_no % 5 = 0 AND line_no % 7 <> 0 THEN line_no END AS owner FROM lines WHERE line_no % 4 = 0)"""
+
+
+@query(
+    f"""{_L}, {_SPN} SELECT l.track_id, l.line_no, s.span_no, s.reading FROM lines l JOIN sp s ON s.track_id = l.track_id AND contains(l.text, s.base) AND CASE WHEN s.owner IS NOT NULL THEN s.owner = l.line_no ELSE (s.f = 0 AND s.t = 0) OR (l.start_ms < s.t AND l.end_ms > s.f) END"""
+)
+def active_spans_for_line(spark, sf):
+    ln = b.lines(spark, sf)
+    m = lambda n: F.pmod("line_no", F.lit(n))
+    spans = ln.where(m(4) == 0).select(
+        "track_id", F.col("line_no").alias("span_no"), F.col("text").alias("base"), F.upper("text").alias("reading"),
+        F.when(m(7) == 0, 0).otherwise(F.col("start_ms") - 3000).alias("from_ms"), F.when(m(7) == 0, 0).otherwise(F.col("start_ms") + 3000).alias("to_ms"),
+        F.when((m(5) == 0) & (m(7) != 0), F.col("line_no")).alias("owner"),
+    )
+    return mt.active_spans_for_line(ln, spans)

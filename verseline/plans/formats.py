@@ -418,3 +418,71 @@ def write_view_json(spark, sf):
     out = writers.write_view_json(timed_chars(spark, sf))
     j = F.from_json("out", "struct<text: string, chars: array<struct<cp: array<double>>>>")
     return out.select("track_id", "line_no", j["text"].alias("text"), F.size(j["chars"]).alias("n"), F.array_min(F.flatten(j["chars"]["cp"])).alias("first_cp"))
+
+
+# ---------------------------------------------------------------- project files and the labelled dialect
+def project_files(spark, sf):
+    """One project per event line: odd ones in the first layout, even ones in the current one."""
+    ln = b.lines(spark, sf)
+    cs = F.split("text", "")
+    now = F.to_json(
+        F.struct(
+            F.lit("3.0").alias("version"), F.struct(F.col("text").alias("title"), F.lit("me").alias("artist")).alias("metadata"), F.lit(100).alias("global_offset_ms"),
+            F.array(
+                F.struct(
+                    F.lit("a").alias("singer_id"),
+                    F.transform(cs, lambda c, i: F.struct(c.alias("char"), F.array(F.col("start_ms") + i * 100).alias("timestamps"), F.lit(1).alias("check_count"), (i == 0).alias("linked_to_next"))).alias("characters"),
+                )
+            ).alias("sentences"),
+        )
+    )
+    first = F.to_json(
+        F.struct(
+            F.lit("1.0").alias("version"), F.struct(F.col("text").alias("title")).alias("metadata"), F.lit(100).alias("global_offset_ms"),
+            F.array(
+                F.struct(
+                    F.lit("b").alias("singer_id"), F.col("text"),
+                    F.transform(cs, lambda c, i: F.struct(i.alias("char_idx"), F.lit(0).alias("checkpoint_idx"), (F.col("start_ms") + i * 100).alias("timestamp_ms"))).alias("timetags"),
+                    F.array(F.struct(F.lit(0).alias("char_idx"), F.lit(1).alias("check_count"), F.lit(True).alias("linked_to_next"))).alias("checkpoints"),
+                )
+            ).alias("lines"),
+        )
+    )
+    return ln.select(F.col("line_no").alias("file_id"), F.when(F.pmod("line_no", F.lit(2)) == 0, now).otherwise(first).alias("content"))
+
+
+@query(
+    f"""WITH {b.LINES_SQL}, c AS (SELECT line_no, start_ms, text, unnest(range(0, length(text))) AS k FROM lines)
+SELECT line_no AS track_id, k AS char_no, text[k + 1] AS ch, 1 AS check_count, greatest(0, start_ms + k * 100 + 100) AS first_cp, k = 0 AS linked, CASE WHEN line_no % 2 = 0 THEN 'a' ELSE 'b' END AS singer_id FROM c"""
+)
+def read_project_json(spark, sf):
+    from verseline.sources import project
+
+    chars = project.project_chars(project.parse_projects(project_files(spark, sf)))
+    return chars.select("track_id", "char_no", "ch", "check_count", F.get("cps_ms", F.lit(0)).alias("first_cp"), "linked", "singer_id")
+
+
+def labelled_files(spark, sf):
+    docs = b.spread(b.table(spark, sf, "documents", "doc_id", "source", "lang", "text"))
+
+    def one(text, i):
+        start = b.line_start(F.col("doc_id"), i + 1)
+        stamp = lambda t: F.concat(F.lit("["), tt.inline_clock(t), F.lit("]"))
+        label = F.when(F.pmod(i, F.lit(3)) == 0, F.concat(F.lit("【"), F.col("source"), F.lit("_"), i.cast("string"), F.lit("】"))).otherwise("")
+        return F.concat(stamp(start), label, text, stamp(start + 2000))
+
+    tail = F.concat(F.lit("\n@Title=doc "), F.col("doc_id").cast("string"), F.lit("\n@Ruby1="), F.col("lang"), F.lit(","), F.upper("lang"), F.lit(",[00:01:00],[00:09:50]"))
+    return docs.select(F.col("doc_id").alias("file_id"), F.concat(F.array_join(F.transform(F.split("text", "\n"), one), "\n"), tail).alias("content"))
+
+
+@query(
+    f"""{_D} SELECT doc_id AS file_id, line_no, source || '_' || ((line_no - 1) // 3 * 3) AS singer, trim(text) AS text, {_START} // 10 * 10 AS start_ms, ({_START} + 2000) // 10 * 10 AS end_ms FROM doc_lines"""
+)
+def parse_nicokara(spark, sf):
+    return dialects.parse_labelled_body(labelled_files(spark, sf))
+
+
+@query("SELECT doc_id AS file_id, lang AS base, upper(lang) AS reading, 1000 AS from_ms, 9500 AS to_ms FROM documents")
+def parse_nicokara_ruby(spark, sf):
+    out = dialects.parse_labelled_rubies(labelled_files(spark, sf))
+    return out.select("file_id", "base", "reading", F.col("from_ms").cast("long").alias("from_ms"), F.col("to_ms").cast("long").alias("to_ms"))

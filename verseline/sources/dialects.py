@@ -454,3 +454,44 @@ def parse_singer_runs(files: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("file_id").orderBy("line_no")
     return lines.select("file_id", "line_no", F.last("__key", True).over(w).alias("singer_key"), F.col("__text").alias("text"))
+
+
+# Tag lines of the singer-labelled dialect.
+TAG_LINE = r"^\s*@(\w+)\s*=(.*)$"
+
+
+def parse_labelled_tags(files: DataFrame) -> DataFrame:
+    """``@Tag=value`` tail lines of a labelled song file, in file order."""
+    lines = split_lines(files.select("file_id", "content")).where(F.col("raw").rlike(TAG_LINE))
+    return lines.select("file_id", "line_no", F.lower(F.regexp_extract("raw", TAG_LINE, 1)).alias("tag"), strip(F.regexp_extract("raw", TAG_LINE, 2)).alias("value"))
+
+
+def parse_labelled_rubies(files: DataFrame) -> DataFrame:
+    """``@RubyN=base,reading,pos1,pos2``: base, reading and the time range it holds for (missing ends are open)."""
+    parts = F.split("value", ",")
+    at = lambda i: tt.stamp_ms(F.regexp_replace(F.get(parts, F.lit(i)), r"(\d{2}):(\d{2,3})\]", "$1.$2]"))
+    return parse_labelled_tags(files).where(F.col("tag").rlike(r"^ruby\d+$")).select(
+        "file_id", "line_no", F.get(parts, F.lit(0)).alias("base"), F.regexp_replace(F.get(parts, F.lit(1)), tt.LRC_STAMP_BARE, "").alias("reading"),
+        at(2).alias("from_ms"), at(3).alias("to_ms"),
+    )
+
+
+def parse_labelled_body(files: DataFrame) -> DataFrame:
+    """Body lines with the singer that is current at the line end of ``【singer】`` labels carried on inside the file."""
+    lines = split_lines(files.select("file_id", "content")).where(~F.col("raw").rlike(TAG_LINE))
+    labels = F.regexp_extract_all("raw", F.lit("【([^】]+)】"), 1)
+    w = Window.partitionBy("file_id").orderBy("line_no")
+    s = lines.withColumns(
+        {
+            "__first": F.regexp_extract("raw", r"^(?:\[[^\]]*\])*【([^】]+)】", 1),
+            "__last": F.try_element_at(labels, F.lit(-1)),
+        }
+    )
+    carried = F.last("__last", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("singer", F.coalesce(F.nullif("__first", F.lit("")), carried))
+    stamps = F.regexp_extract_all("raw", F.lit(r"(\[\d+:\d+[:.]\d{2,3}\])"), 1)
+    clock = lambda c: tt.stamp_ms(F.regexp_replace(c, r"(\d{2}):(\d{2,3})\]", "$1.$2]"))
+    plain = strip(F.regexp_replace(F.regexp_replace("raw", r"\[\d+:\d+[:.]\d{2,3}\]", ""), "【[^】]+】", ""))
+    return s.select(
+        "file_id", "line_no", "singer", plain.alias("text"), clock(F.try_element_at(stamps, F.lit(1))).alias("start_ms"), clock(F.try_element_at(stamps, F.lit(-1))).alias("end_ms")
+    ).where(F.col("text") != "")
