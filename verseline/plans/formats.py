@@ -125,7 +125,8 @@ def parse_annotated_ruby(spark, sf):
 @query(
     f"""{_D}, c AS (SELECT doc_id, line_no, unnest(range(1, len(cs) + 1)) AS k, unnest(cs) AS ch, len(cs) AS n
   FROM (SELECT doc_id, line_no, string_split(replace(replace(text, '[', ''), '|', ''), '') AS cs FROM doc_lines))
-SELECT doc_id AS file_id, line_no, k AS char_no, ch, CAST(1 + k % 3 AS INTEGER) AS check_count, k = n AS is_line_end, {_START} // 10 * 10 + (k - 1) * 50 // 10 * 10 AS ms FROM c"""
+SELECT doc_id AS file_id, line_no, count(*) AS n, CAST(sum(1 + k % 3) AS BIGINT) AS beats, count(*) FILTER (k = n) AS line_ends, CAST(sum({_START} // 10 * 10 + (k - 1) * 50 // 10 * 10) AS BIGINT) AS ms,
+ CAST(sum(k * ascii(ch)) AS BIGINT) AS text_sum FROM c GROUP BY 1, 2"""
 )
 def parse_inline_timed(spark, sf):
     docs = b.spread(b.table(spark, sf, "documents"))
@@ -140,7 +141,11 @@ def parse_inline_timed(spark, sf):
         return F.regexp_replace(F.array_join(stamped, ""), r"\[(\d)(\|[^\]]*\].)$", "[$10$2")
 
     files = docs.select(F.col("doc_id").alias("file_id"), F.array_join(F.transform(F.split("text", "\n"), one), "\n").alias("content"))
-    return dialects.parse_inline_timed(files)
+    out = dialects.parse_inline_timed(files)
+    return out.groupBy("file_id", "line_no").agg(
+        F.count("*").alias("n"), F.sum("check_count").alias("beats"), F.count_if("is_line_end").alias("line_ends"), F.sum("ms").alias("ms"),
+        F.sum(F.col("char_no") * F.ascii("ch")).alias("text_sum"),
+    )
 
 
 @query(
