@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import secrets, toxicity
-from verseline.llm.common import held_out, table
+from verseline.llm import secrets, tokenbin, toxicity
+from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,13 @@ def op6_toxicity(spark, sf_dir):
 def op8_secrets(spark, sf_dir):
     """Secret spans of every document."""
     return secrets.scan(table(spark, sf_dir, "documents")).drop("span_list")
+
+
+@query()
+def op2_token_ids(spark, sf_dir):
+    """Ids of every document, written as packed segments into the shared folder and read back."""
+    import public_tokenizers
+
+    folder = shared_folder(spark)
+    tokenbin.save(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=1)
+    return tokenbin.read(spark, folder)
