@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import secrets, tokenbin, toxicity
+from verseline.llm import secrets, tokenbin, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,10 @@ def op2_token_ids(spark, sf_dir):
     folder = shared_folder(spark)
     tokenbin.save(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=1)
     return tokenbin.read(spark, folder)
+
+
+@query()
+def op10_top_k(spark, sf_dir):
+    """The five best inner products of every vector whose id is divisible by 50, over all vectors."""
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
