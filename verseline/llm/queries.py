@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import secrets, tokenbin, topk, toxicity
+from verseline.llm import secrets, simhash, tokenbin, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,10 @@ def op10_top_k(spark, sf_dir):
     """The five best inner products of every vector whose id is divisible by 50, over all vectors."""
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query()
+def op4_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    rows = simhash.near_components(simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=3), tau=2)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
