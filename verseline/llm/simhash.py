@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.common import batches, checkpointed, document_columns, offsets_of
+from verseline.llm.common import batches, checkpointed, document_columns, field, offsets_of
 from verseline.llm.components import components
 
 BITS = 64
@@ -31,17 +31,29 @@ BITS = 64
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """SimHash of the word shingles; 0 for a text without words."""
-    words = text.encode("utf-8", "replace").lower().split()
+    return int(_simhash(text.encode("utf-8", "replace").lower().split(), shingle, (42,))[0])
+
+
+def _simhash(words: list[bytes], shingle: int, seeds: tuple[int, ...]) -> np.ndarray:
+    """64 bits per seed."""
     if not words:
-        return 0
+        return np.zeros(len(seeds), dtype=np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     starts = offsets_of([len(w) + 1 for w in words])
     lo, hi = starts[:n].tolist(), (starts[min(shingle, len(words)) :] - 1).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((len(seeds), BITS), dtype=np.int64)
     for i in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(lo[i : i + (1 << 16)], hi[i : i + (1 << 16)])], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        h = np.array([digest(joined[a:b], seeds[0]) for a, b in zip(lo[i : i + (1 << 16)], hi[i : i + (1 << 16)])], dtype="<u8")
+        for k, seed in enumerate(seeds):
+            counts[k] += np.unpackbits((h if not k else _again(h, seed)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _again(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of hashes."""
+    h = (h ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -146,10 +158,10 @@ def _finer(mask: int, tau: int) -> list[int]:
     """The pigeonhole on the bits outside a mask: tau + 1 parts, one of which agrees."""
     mask &= (1 << 64) - 1
     free = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | sum(1 << b for b in free[k :: tau + 1]) for k in range(tau + 1)]
+    return [mask | sum(1 << b for b in free[k :: tau + 1]) for k in range(tau + 1)]  # a mask without free bits is left only by distinct nodes of one fingerprint
 
 
-def _forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, tau: int, wide: np.ndarray | None = None, wide_tau: int | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among these fingerprints."""
     root = list(range(len(fps)))
 
@@ -161,7 +173,10 @@ def _forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
 
     out = []
     for i in range(len(fps) - 1):
-        for j in np.nonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= tau)[0].tolist():
+        near = np.nonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= tau)[0]
+        if wide is not None and len(near):
+            near = near[np.bitwise_count(wide[i + 1 + near] ^ wide[i]).sum(axis=1) <= wide_tau]
+        for j in near.tolist():
             a, b = find(i), find(i + 1 + j)
             if a != b:
                 root[b] = a
@@ -169,39 +184,45 @@ def _forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, tau: int, bucket: int = 2000) -> DataFrame:
-    """(a, b) edges between distinct fingerprints (column fp) whose components are those of all links of at most ``tau`` bits."""
-    spark = fps.sparkSession
-    masks = plan(fps, tau)
+def links(nodes: DataFrame, tau: int, bucket: int = 2000, wide_tau: int | None = None) -> DataFrame:
+    """(a, b) edges between nodes whose components are those of all links.
 
-    def keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
-        ms = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
-        return rows.select("fp", F.explode(ms).alias("mask")).withColumn("held", F.col("fp").bitwiseAND(F.col("mask")))
+    ``nodes`` has (node, fp) and, with ``wide_tau``, ``wide``: a longer fingerprint (binary) that a link must also match in all but that many bits.
+    """
+    masks = plan(nodes.select("fp").distinct(), tau)
+    cols = [c for c in ("node", "fp", "wide") if c in nodes.columns]
+
+    def keyed(rows: DataFrame, choose) -> DataFrame:
+        return rows.select(*cols, F.explode(choose).alias("mask")).distinct().withColumn("held", F.col("fp").bitwiseAND(F.col("mask")))
+
+    def literal(masks: list[int]):
+        return F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             a, b = [], []
             for v in p.column(0):
-                own = np.sort(np.array(v.as_py(), dtype=np.int64))
-                for i, j in _forest(own.view(np.uint64), tau):
-                    a.append(int(own[i]))
-                    b.append(int(own[j]))
+                own = sorted(v.as_py(), key=lambda r: r["node"])
+                fps = np.array([r["fp"] for r in own], dtype=np.int64).view(np.uint64)
+                wide = np.array([np.frombuffer(r["wide"], dtype="<u8") for r in own]) if wide_tau is not None else None
+                for i, j in _forest(fps, tau, wide, wide_tau):
+                    a.append(own[i]["node"])
+                    b.append(own[j]["node"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows, found = keyed(fps, masks), None
+    rows, found = keyed(nodes, literal(masks)), None
     while True:
         sizes = rows.groupBy("mask", "held").agg(F.count("*").alias("n")).where("n > 1")
         met = rows.join(sizes, ["mask", "held"])
-        small = met.where(F.col("n") <= bucket).groupBy("mask", "held").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(verify, "a long, b long")
+        small = met.where(F.col("n") <= bucket).groupBy("mask", "held").agg(F.collect_list(F.struct(*cols)).alias("own")).select("own").mapInArrow(verify, "a long, b long")
         found = small if found is None else found.unionByName(small)
         hot = [r["mask"] for r in sizes.where(F.col("n") > bucket).select("mask").distinct().collect()]  # as many as there are masks at most
         if not hot:
             return found
         finer = F.lit(None).cast("array<long>")
         for m in hot:
-            finer = F.when(F.col("mask") == m, F.array(*[F.lit(_signed(x)).cast("long") for x in _finer(m, tau)])).otherwise(finer)
-        rows = met.where(F.col("n") > bucket).select("fp", finer.alias("masks")).select("fp", F.explode("masks").alias("mask")).distinct()
-        rows = checkpointed(rows.withColumn("held", F.col("fp").bitwiseAND(F.col("mask"))))
+            finer = F.when(F.col("mask") == m, literal(_finer(m, tau))).otherwise(finer)
+        rows = checkpointed(keyed(met.where(F.col("n") > bucket), finer))
 
 
 def near_components(rows: DataFrame, tau: int = 2) -> DataFrame:
@@ -212,7 +233,56 @@ def near_components(rows: DataFrame, tau: int = 2) -> DataFrame:
     """
     rows = checkpointed(rows)
     fps = checkpointed(rows.select("fp").distinct())
-    stars = components(links(fps, tau)).withColumnRenamed("node", "fp")
+    stars = components(links(fps.withColumn("node", F.col("fp")), tau)).withColumnRenamed("node", "fp")
     labelled = rows.join(stars, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(first, "component").select("doc_id", "fp", "component_id")
+
+
+#: Near-duplicate documents: bits of the two word fingerprints in which candidates may differ, of the 512-bit fingerprint of five-word shingles
+#: in which links may differ. Shingle sets of Jaccard similarity 0.8 differ in 78 of 512 bits on average, 8 is the standard deviation.
+WORD_TAU, WIDE_TAU, WIDE_SEEDS = 4, 96, (42, 1, 2, 3, 4, 5, 6, 7)
+
+
+def near_documents(docs: DataFrame, shingle: int = 5, wide_tau: int = WIDE_TAU) -> DataFrame:
+    """(key, key2, component): rows of ``docs`` by the hashes of ``document_keys`` and the component of near-duplicate texts.
+
+    Texts with equal words are one node. Candidates differ in at most ``WORD_TAU`` bits in one of two 64-bit fingerprints of the words, which a
+    few edits hardly move; links also agree in the 512-bit SimHash of the word shingles up to ``wide_tau`` bits.
+    """
+    batches(docs.sparkSession)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            nodes, one, two, wide = [], [], [], []
+            for t in p.column(2):
+                words = t.as_py().encode("utf-8", "replace").lower().split()
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                a, b = _simhash(words, 1, (42, 1)).tolist()
+                one.append(a)
+                two.append(b)
+                wide.append(_simhash(words, shingle, WIDE_SEEDS).tobytes())
+            longs = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (nodes, one, two)]
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), *longs, pa.array(wide, pa.binary())], ["key", "key2", "node", "one", "two", "wide"])
+
+    rows = checkpointed(document_keys(docs).select("key", "key2", "text").mapInArrow(run, "key long, key2 long, node long, one long, two long, wide binary"))
+    nodes = rows.dropDuplicates(["node"])
+    edges = [links(nodes.select("node", F.col(c).alias("fp"), "wide"), WORD_TAU, wide_tau=wide_tau) for c in ("one", "two")]
+    stars = components(edges[0].unionByName(edges[1]))
+    return rows.join(stars, "node", "left").select("key", "key2", F.coalesce("component", "node").alias("component"))
+
+
+def document_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key, key2): two hashes of id and text, never null, that tell rows apart unless they are equal."""
+    return document_columns(docs).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("key2", F.xxhash64("text", "doc_id", F.lit(1)))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of each near-duplicate group, with all columns: the one of the smallest doc_id (nulls last), of equal ones any."""
+    near = near_documents(docs, **options)
+    own = document_keys(docs).select("doc_id", "key", "key2").distinct()
+    first = near.join(own, ["key", "key2"]).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "key2")).alias("m"))
+    chosen = first.select(F.col("m.key").alias("__key"), F.col("m.key2").alias("__key2"))
+    tagged = docs.withColumn("__id", field(docs, "doc_id").cast("long")).withColumn("__text", F.coalesce(field(docs, "text").cast("string"), F.lit("")))
+    tagged = tagged.withColumn("__key", F.xxhash64("__id", "__text")).withColumn("__key2", F.xxhash64("__text", "__id", F.lit(1))).drop("__id", "__text")
+    return tagged.join(chosen, ["__key", "__key2"], "left_semi").dropDuplicates(["__key", "__key2"]).drop("__key", "__key2")
