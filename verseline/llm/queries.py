@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import secrets, simhash, tokenbin, topk, toxicity
+from verseline.llm import decontaminate, secrets, simhash, tokenbin, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op4_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     rows = simhash.near_components(simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=3), tau=2)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op3_decontamination(spark, sf_dir):
+    """Every document that holds at least 0.8 of a benchmark item's five-word shingles."""
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
