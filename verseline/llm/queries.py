@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import decontaminate, secrets, simhash, tokenbin, topk, toxicity
+from verseline.llm import decontaminate, packing, secrets, simhash, tokenbin, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op4_simhash(spark, sf_dir):
 def op3_decontamination(spark, sf_dir):
     """Every document that holds at least 0.8 of a benchmark item's five-word shingles."""
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+@query()
+def op5_packing(spark, sf_dir):
+    """Every document's pieces in sequences of 512 to 8,192 words."""
+    return packing.pack(table(spark, sf_dir, "documents"))
