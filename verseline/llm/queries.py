@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import decontaminate, packing, secrets, simhash, tokenbin, topk, toxicity
+from verseline.llm import decontaminate, packing, secrets, simhash, suffix_dedup, tokenbin, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op3_decontamination(spark, sf_dir):
 def op5_packing(spark, sf_dir):
     """Every document's pieces in sequences of 512 to 8,192 words."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_suffix_dedup(spark, sf_dir):
+    """Bytes of every document inside strings of 200 bytes that occur again."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("starts", "ends")
