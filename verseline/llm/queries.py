@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import decontaminate, packing, secrets, simhash, suffix_dedup, tokenbin, topk, toxicity
+from verseline.llm import decontaminate, katz, packing, secrets, simhash, suffix_dedup, tokenbin, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op5_packing(spark, sf_dir):
 def op1_suffix_dedup(spark, sf_dir):
     """Bytes of every document inside strings of 200 bytes that occur again."""
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+@query()
+def op9_katz(spark, sf_dir):
+    """log10 probability of every document under a Katz backoff model of the documents outside the held-out fold."""
+    return katz.score(table(spark, sf_dir, "documents"))
