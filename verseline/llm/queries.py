@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import decontaminate, katz, packing, secrets, simhash, suffix_dedup, tokenbin, topk, toxicity
+from verseline.llm import decontaminate, katz, packing, secrets, simhash, suffix_dedup, tokenbin, toolcalls, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,34 @@ def op1_suffix_dedup(spark, sf_dir):
 def op9_katz(spark, sf_dir):
     """log10 probability of every document under a Katz backoff model of the documents outside the held-out fold."""
     return katz.score(table(spark, sf_dir, "documents"))
+
+
+#: Schema of the one tool that ``op7_tool_calls`` sees in plain conversations.
+ANSWER = {"type": "object", "required": ["question", "turn"], "properties": {"question": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "additionalProperties": False}
+
+
+def conversation_events(messages):
+    """Events of plain conversations: a user's message is a call of ``answer`` that depends on the one two turns before, the assistant's next
+    message is its result; all other messages stay messages. Texts that hold tool calls themselves keep those."""
+    events = toolcalls.extract(messages)
+    at = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    plain = F.col("part") == "message"
+    user, reply = plain & (F.col("name") == "user"), plain & (F.col("name") == "assistant")
+    before = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
+    earlier = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string"))
+    return events.select(
+        "conv_id", "turn",
+        F.when(user, F.lit("call")).when(reply, F.lit("result")).otherwise(F.col("part")).alias("part"),
+        F.when(user, at).when(reply, before).otherwise(F.col("call_id")).alias("call_id"),
+        F.when(user, F.lit("answer")).otherwise(F.col("name")).alias("name"),
+        F.when(user, F.to_json(F.struct(F.col("content").alias("question"), "turn"))).otherwise(F.col("arguments")).alias("arguments"),
+        F.when(user, F.lit(None).cast("string")).otherwise(F.col("content")).alias("content"),
+        F.when(user, F.array(earlier)).otherwise(F.col("depends_on")).alias("depends_on"),
+        "seq",
+    )
+
+
+@query()
+def op7_tool_calls(spark, sf_dir):
+    """Linked, ordered, validated and serialised events of every conversation."""
+    return toolcalls.link(conversation_events(table(spark, sf_dir, "conversations")), {"answer": ANSWER})
