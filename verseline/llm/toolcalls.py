@@ -100,7 +100,7 @@ def _events(role: str, text: str) -> list[dict]:
         out = [{"part": "call", "call_id": _text(c.get("id")), "name": _text(c.get("name")), "arguments": _text(c.get("arguments", {})), "depends_on": [_text(d) for d in c.get("depends_on") or [] if d is not None] if isinstance(c.get("depends_on") or [], list) else []} for c in calls]
         return out + ([{"part": "message", "content": _text(body["content"])}] if body.get("content") is not None else [])
     if role == "tool" and isinstance(body, dict) and "tool_call_id" in body:
-        return [{"part": "result", "call_id": _text(body["tool_call_id"]), "content": canonical(body.get("content"))}]
+        return [{"part": "result", "call_id": _text(body["tool_call_id"]), "content": _text(body.get("content"))}]
     return [{"part": "message", "content": text}]
 
 

@@ -42,7 +42,7 @@ class Model:
         if _TABLES.get("key") != key:
             made = []
             for k in range(len(ORDERS)):
-                t = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
+                t = np.zeros(1 << BUCKET_BITS, dtype=np.int16 if len(self.slots) < 1 << 15 else np.int32)
                 own = np.nonzero(self.slots >> BUCKET_BITS == k)[0]
                 t[self.slots[own] & ((1 << BUCKET_BITS) - 1)] = own + 1
                 made.append(t)
@@ -61,7 +61,7 @@ class Model:
                     doc = np.searchsorted(starts[lo : hi + 1], at + starts[lo], side="right") - 1
                     inside = at + starts[lo] + ORDERS[k] <= ends[doc]
                     docs.append(doc[inside])
-                    feats.append(slot[at][inside] - 1)
+                    feats.append(slot[at][inside].astype(np.int64) - 1)
                 pair = np.unique(np.concatenate(docs).astype(np.int64) * (len(self.slots) + 1) + np.concatenate(feats))
                 d, f = np.divmod(pair, len(self.slots) + 1)
                 out[lo:hi] += np.bincount(d, weights=self.weights[f], minlength=hi - lo)
@@ -103,17 +103,15 @@ def _ngrams(data, starts, lo, hi):
             yield ORDERS.index(size), (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS), starts[lo + 1 : hi + 1]
 
 
-def _features(texts: list[str | None]) -> list[np.ndarray]:
-    """Distinct slots of each text."""
-    starts, data = _buffer(texts)
-    out = []
-    for lo in range(len(texts)):
-        own = [np.unique(b[: max(0, int(e[0] - starts[lo]) - ORDERS[k] + 1)]).astype(np.int64) | k << BUCKET_BITS for k, b, e in _ngrams(data, starts, lo, lo + 1)]
-        out.append(np.concatenate(own))
-    return out
+def _features(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Distinct slots of each text, one after the other."""
+    for t in texts:
+        starts, data = _buffer([t])
+        own = [np.unique(b[: max(0, int(e[0]) - ORDERS[k] + 1)]) | np.uint32(k << BUCKET_BITS) for k, b, e in _ngrams(data, starts, 0, 1)]
+        yield np.concatenate(own)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = 4096, penalty: float = 0.05, smoothing: float = 1.0, steps: int = 60) -> Model:
+def fit(texts: list[str | None], labels: np.ndarray, features: int = 4096, penalty: float = 0.05, smoothing: float = 1.0, steps: int = 60) -> Model:
     """Naive Bayes ratios from presence counts, the most informative n-grams, then Newton steps on the penalised log-likelihood."""
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
     prior = float(np.log((n1 + 0.5) / (n0 + 0.5)))
@@ -121,7 +119,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = 4096, penalt
         return Model(intercept=prior)
     size = len(ORDERS) << BUCKET_BITS
     seen = [np.zeros(size, dtype=np.int32) for _ in range(2)]
-    for r, y in zip(rows, labels):
+    for r, y in zip(_features(texts), labels):
         seen[int(y)][r] += 1
     some = np.nonzero(seen[0] + seen[1] >= 3)[0]
     p, q = (seen[1][some] + smoothing) / (n1 + 2 * smoothing), (seen[0][some] + smoothing) / (n0 + 2 * smoothing)
@@ -135,14 +133,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = 4096, penalt
     ratio = ratio[np.searchsorted(some, chosen)]
     place = np.zeros(size, dtype=np.int32)
     place[chosen] = np.arange(1, len(chosen) + 1)
-    cols = [place[r] for r in rows]
-    cols = [c[c > 0] - 1 for c in cols]
-    line = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+    cols = []
+    for r in _features(texts):  # again, so that only the chosen ones are held
+        c = place[r]
+        cols.append(c[c > 0] - 1)
+    line = np.repeat(np.arange(len(texts)), [len(c) for c in cols])
     col = np.concatenate(cols) if len(line) else np.zeros(0, np.int64)
     value = ratio[col]
 
     def times(w):
-        return np.bincount(line, weights=value * w[col], minlength=len(rows))
+        return np.bincount(line, weights=value * w[col], minlength=len(texts))
 
     def back(v):
         return np.bincount(col, weights=value * v[line], minlength=len(chosen))
@@ -180,13 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
     rows = document_columns(docs).join(chosen, "doc_id")
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, ids, marks = [], [], []
+        texts, ids, marks = [], [], []
         for p in parts:
-            found += _features(p["text"].tolist())
+            texts += p["text"].tolist()
             ids += p["doc_id"].tolist()
             marks += p["toxic"].tolist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], marks[i], len(found[i])))
-        m = fit([found[i] for i in order], np.array([int(marks[i] > 0) for i in order]), **options)
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], marks[i], texts[i]))
+        m = fit([texts[i] for i in order], np.array([int(marks[i] > 0) for i in order]), **options)
         yield pd.DataFrame({"slots": [m.slots.tolist()], "weights": [m.weights.tolist()], "intercept": [m.intercept]})
 
     got = rows.repartition(1).mapInPandas(learn, "slots array<long>, weights array<double>, intercept double").collect()
