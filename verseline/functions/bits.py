@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hash_bits(values: Column, bits: int = 63) -> Column:
-    """Bit i is 1 where element i is at least the mean of the whole vector."""
+def hash_bits(values: Column, bits: int = 64) -> Column:
+    """Bit i is 1 where element i is at least the mean of the whole vector; bit 63 is the sign of the long."""
     doubles = F.transform(values, lambda v: v.cast("double"))
     mean = F.aggregate(doubles, F.lit(0.0), lambda a, v: a + v) / F.size(values)
-    flagged = F.transform(F.slice(doubles, 1, bits), lambda v, i: F.when(v >= mean, F.expr("1L")).otherwise(F.expr("0L")))
-    return F.aggregate(F.reverse(flagged), F.expr("0L"), lambda a, b: a * 2 + b)
+    flagged = F.transform(F.slice(doubles, 1, bits), lambda v: F.when(v >= mean, F.expr("1L")).otherwise(F.expr("0L")))
+    return F.aggregate(F.reverse(flagged), F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
 
 
 def hamming(a: Column, b: Column) -> Column:

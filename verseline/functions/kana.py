@@ -11,17 +11,17 @@ PAUSE = "^"
 # Decimal digits, the units inside four digits and the units of four-digit groups.
 KANJI_DIGITS = "零一二三四五六七八九"
 KANJI_SMALL_UNITS = ("", "十", "百", "千")
-KANJI_BIG_UNITS = ("", "万", "億", "兆")
+KANJI_BIG_UNITS = ("", "万", "億", "兆", "京")
 ENGLISH_ONES = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
     "seventeen eighteen nineteen"
 ).split()
 ENGLISH_TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
-ENGLISH_SCALES = ("", "thousand", "million", "billion")
+ENGLISH_SCALES = ("", "thousand", "million", "billion", "trillion", "quadrillion", "quintillion")
 # Revised romanisation of the hangul initials, vowels and finals in code order.
 HANGUL_INITIAL = "g kk n d tt r m b pp s ss _ j jj ch k t p h".split()
 HANGUL_VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
-HANGUL_FINAL = "_ k k k n n n t l k m l l l p l m p p t t ng t t k t p t".split()
+HANGUL_FINAL = "_ k k ks n nj nh t l lk lm lb ls lt lp lh m p ps t t ng t t k t p _".split()
 
 
 def moras(text: Column) -> Column:
@@ -98,13 +98,13 @@ def _kanji_group(v: Column) -> Column:
 
 
 def kanji_number(n: Column) -> Column:
-    """Whole number below 10^16 in kanji numerals."""
+    """Any whole number from zero up in kanji numerals; null for a negative one."""
     n = n.cast("bigint")
     groups = []
-    for k in (3, 2, 1, 0):
+    for k in (4, 3, 2, 1, 0):
         g = F.pmod(F.floor(n / F.lit(10 ** (4 * k)).cast("decimal(20,0)")), F.lit(10000)).cast("bigint")
         groups.append(F.when(g == 0, "").otherwise(F.concat(_kanji_group(g), F.lit(KANJI_BIG_UNITS[k]))))
-    return F.when(n == 0, "零").otherwise(F.concat(*groups))
+    return F.when(n == 0, "零").when(n > 0, F.concat(*groups))
 
 
 def _english_below_thousand(v: Column) -> Column:
@@ -118,12 +118,10 @@ def _english_below_thousand(v: Column) -> Column:
 
 
 def english_number(n: Column) -> Column:
-    """Whole number below 10^12 in English words; negatives start with ``minus``."""
-    a = F.abs(n.cast("bigint"))
-    parts = []
-    for k in (3, 2, 1, 0):
-        g = F.pmod(F.floor(a / 1000**k), F.lit(1000))
-        word = _english_below_thousand(g)
-        parts.append(F.when(g > 0, F.concat(word, F.lit(f" {ENGLISH_SCALES[k]}")) if k else word))
-    words = F.when(a == 0, "zero").otherwise(F.concat_ws(" ", *parts))
+    """Any whole number in English words; negatives start with ``minus``."""
+    a = F.abs(n.cast("decimal(20,0)"))
+    scales = F.array(*[F.struct(F.lit(1000**k).cast("decimal(20,0)").alias("unit"), F.lit(f" {ENGLISH_SCALES[k]}" if k else "").alias("name")) for k in range(6, -1, -1)])
+    groups = F.transform(scales, lambda s: F.struct(F.pmod(F.floor(a / s["unit"]), F.lit(1000)).cast("bigint").alias("g"), s["name"].alias("name")))
+    parts = F.transform(F.filter(groups, lambda s: s["g"] > 0), lambda s: F.concat(_english_below_thousand(s["g"]), s["name"]))
+    words = F.when(a == 0, "zero").otherwise(F.array_join(parts, " "))
     return F.when(n < 0, F.concat(F.lit("minus "), words)).otherwise(words)

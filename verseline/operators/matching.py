@@ -17,7 +17,7 @@ from verseline.operators.stats import exact_percentiles
 
 
 # ------------------------------------------------------------------ near-identical pictures
-def near_duplicates(assets: DataFrame, *, max_bits: int = 6, bands: int = 9, bits: int = 63) -> DataFrame:
+def near_duplicates(assets: DataFrame, *, max_bits: int = 6, bands: int = 9, bits: int = 64) -> DataFrame:
     """Ids of pictures that have an earlier picture (lower ``asset_id``) within ``max_bits`` of their ``ahash``.
 
     Equal hashes are first reduced to their earliest picture. For the rest, a hash cut into ``bands`` pieces agrees with

@@ -80,10 +80,11 @@ def round_robin(assets: DataFrame, *, source: str, score: str, avoid: str | None
 
 
 def quota_interleave(assets: DataFrame, *, n: int, prefer: Sequence[str] | str = ("user", "web", "video"), by: Sequence[str] = ("track_id",)) -> DataFrame:
-    """Pick ``n`` assets per track by origin quota and spread them: ``place`` orders the picks, 0..1.
+    """All assets of each track in a new order (place, origin_rank, pool_no): ``n`` picked by origin quota and spread, the rest behind.
 
-    Quotas fill the preferred origins first, or (``"even"``) go by share with left-overs to the largest remainder.
-    Inside an origin the pool order is kept. Needs origin and pool_no.
+    Quotas fill the preferred origins first, or (``"even"``) go by share with left-overs to the largest remainder. Picks have places
+    between 0 and 1, and inside an origin the pool order is kept; the rest has place 2 and the pool order. A track with one origin,
+    or no quota, keeps its pool order. Needs origin and pool_no.
     """
     by = list(by)
     counts = assets.groupBy(*by, "origin").agg(F.count("*").alias("m"), F.min("pool_no").alias("__first"))
@@ -100,10 +101,13 @@ def quota_interleave(assets: DataFrame, *, n: int, prefer: Sequence[str] | str =
         c = counts.withColumns({"__n": total, "__r": F.when(rank == 0, 99).otherwise(rank)})
         before = F.coalesce(F.sum("m").over(w.orderBy("__r", "origin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         quota = F.greatest(F.least(F.col("m"), F.col("__n") - before), F.lit(0))
-    quotas = c.withColumn("quota", quota).select(*by, "origin", "quota", F.row_number().over(w.orderBy("__first")).alias("origin_rank"))
+    alone = (F.count("*").over(w) == 1) | F.lit(n <= 0)
+    quotas = c.withColumn("quota", quota).select(*by, "origin", F.when(alone, F.col("m")).otherwise(F.col("quota")).alias("quota"), F.row_number().over(w.orderBy("__first")).alias("origin_rank"))
     numbered = scan(assets, by=[*by, "origin"], order=["pool_no"], block=F.floor(F.col("pool_no") / 65536), j=row_index())
-    picked = salted_lookup(numbered, quotas, [*by, "origin"]).where(F.col("j") <= F.col("quota"))
-    return picked.select(*assets.columns, F.round((F.col("j") - 0.5) / F.col("quota"), 6).alias("place"), "origin_rank")
+    j = salted_lookup(numbered, quotas, [*by, "origin"])
+    chosen = F.col("j") <= F.col("quota")
+    place = F.when(F.lit(n <= 0), 2.0).when(chosen, F.round((F.col("j") - 0.5) / F.col("quota"), 6)).otherwise(2.0)
+    return j.select(*assets.columns, place.alias("place"), F.when(chosen & F.lit(n > 0), F.col("origin_rank")).otherwise(0).alias("origin_rank"))
 
 
 def even_sample(df: DataFrame, *, n: int, by: Sequence[str], order: str, block: Column) -> DataFrame:

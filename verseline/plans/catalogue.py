@@ -155,8 +155,8 @@ def repeat_runs(spark, sf):
 
 
 # ---------------------------------------------------------------- near duplicates
-_HASH = """h0 AS (SELECT vec_id AS asset_id, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN CAST(embedding[i + 1] AS DOUBLE) >= m THEN (1::BIGINT << i) ELSE 0 END)) AS BIGINT) AS h FROM (SELECT vec_id, embedding, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings)),
-hs AS (SELECT asset_id, h AS ahash FROM h0 UNION ALL SELECT asset_id + 100000, CASE WHEN asset_id % 3 = 0 THEN h ELSE xor(xor(h, 1::BIGINT << (asset_id % 60)), CASE WHEN asset_id % 2 = 0 THEN 1::BIGINT << ((asset_id * 7 + 1) % 60) ELSE 0 END) END FROM h0)"""
+_HASH = """h0 AS (SELECT vec_id AS asset_id, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN CAST(embedding[i + 1] AS DOUBLE) >= m THEN (1::BIGINT << i)::HUGEINT ELSE 0::HUGEINT END)) + CASE WHEN CAST(embedding[64] AS DOUBLE) >= m THEN (-9223372036854775808)::HUGEINT ELSE 0::HUGEINT END AS BIGINT) AS h FROM (SELECT vec_id, embedding, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings)),
+hs AS (SELECT asset_id * 2 AS asset_id, h AS ahash FROM h0 UNION ALL SELECT asset_id * 2 + 1, CASE WHEN asset_id % 3 = 0 THEN h ELSE xor(xor(h, 1::BIGINT << (asset_id % 60)), CASE WHEN asset_id % 2 = 0 THEN 1::BIGINT << ((asset_id * 7 + 1) % 60) ELSE 0 END) END FROM h0)"""
 
 
 def hashed(spark, sf):
@@ -168,7 +168,7 @@ def hashed(spark, sf):
     one = flip(F.col("ahash"), "pmod(asset_id, 60)")
     two = flip(one, "pmod(asset_id * 7 + 1, 60)")
     twin = F.when(F.pmod("asset_id", F.lit(3)) == 0, F.col("ahash")).when(F.pmod("asset_id", F.lit(2)) == 0, two).otherwise(one)
-    return e.unionByName(e.select((F.col("asset_id") + 100000).alias("asset_id"), twin.alias("ahash")))
+    return e.select((F.col("asset_id") * 2).alias("asset_id"), "ahash").unionByName(e.select((F.col("asset_id") * 2 + 1).alias("asset_id"), twin.alias("ahash")))
 
 
 @query(f"WITH {_HASH} SELECT a.asset_id FROM hs a WHERE NOT EXISTS (SELECT 1 FROM hs b WHERE b.asset_id < a.asset_id AND bit_count(xor(a.ahash, b.ahash)) <= 6)")
@@ -420,13 +420,22 @@ def _pool(spark, sf):
 
 
 @query(
-    f"""{_A}, {_POOL}, c AS (SELECT track_id, origin, count(*) AS m, CASE origin WHEN 'user' THEN 1 WHEN 'web' THEN 2 ELSE 3 END AS r FROM pool GROUP BY 1, 2), q AS (SELECT *, greatest(least(m, least(100, sum(m) OVER (PARTITION BY track_id)) - coalesce(sum(m) OVER (PARTITION BY track_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS quota FROM c),
-n AS (SELECT *, row_number() OVER (PARTITION BY track_id, origin ORDER BY pool_no) AS j FROM pool) SELECT n.track_id, n.pool_no, n.origin, round((j - 0.5::DOUBLE) / quota, 6) AS place FROM n JOIN q USING (track_id, origin) WHERE j <= quota"""
+    f"""{_A}, {_POOL}, c AS (SELECT track_id, origin, count(*) AS m, CASE origin WHEN 'user' THEN 1 WHEN 'web' THEN 2 ELSE 3 END AS r FROM pool GROUP BY 1, 2), q AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS kinds, greatest(least(m, least(100, sum(m) OVER (PARTITION BY track_id)) - coalesce(sum(m) OVER (PARTITION BY track_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS quota FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY track_id, origin ORDER BY pool_no) AS j FROM pool) SELECT n.track_id, n.pool_no, n.origin, CASE WHEN kinds = 1 THEN round((j - 0.5::DOUBLE) / m, 6) WHEN j <= quota THEN round((j - 0.5::DOUBLE) / quota, 6) ELSE 2.0::DOUBLE END AS place FROM n JOIN q USING (track_id, origin)"""
 )
 def quota_interleave(spark, sf):
     return rk.quota_interleave(_pool(spark, sf), n=100).select("track_id", "pool_no", "origin", "place")
 
 
+@query(
+    f"""{_A}, {_POOL}, c AS (SELECT track_id, origin, count(*) AS m, min(pool_no) AS head FROM pool GROUP BY 1, 2), t AS (SELECT *, count(*) OVER p AS kinds, least(100, sum(m) OVER p) AS n, sum(m) OVER p AS s FROM c WINDOW p AS (PARTITION BY track_id)),
+e AS (SELECT *, least(CAST(round_even(CAST(n AS DOUBLE) * m / s, 0) AS BIGINT), m) AS base FROM t), f AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY m - base DESC, head) AS gap, n - sum(base) OVER (PARTITION BY track_id) AS rest FROM e), q AS (SELECT *, base + CASE WHEN gap <= rest THEN 1 ELSE 0 END AS quota FROM f),
+n AS (SELECT track_id, origin, pool_no, row_number() OVER (PARTITION BY track_id, origin ORDER BY pool_no) AS j FROM pool) SELECT track_id, pool_no, origin, CASE WHEN kinds = 1 THEN round((j - 0.5::DOUBLE) / m, 6) WHEN j <= quota THEN round((j - 0.5::DOUBLE) / quota, 6) ELSE 2.0::DOUBLE END AS place FROM n JOIN q USING (track_id, origin)"""
+)
+def quota_interleave_even(spark, sf):
+    return rk.quota_interleave(_pool(spark, sf), n=100, prefer="even").select("track_id", "pool_no", "origin", "place")
+
+
 @query(
     f"""{_A}, {_POOL}, n AS (SELECT track_id, pool_no, row_number() OVER (PARTITION BY track_id ORDER BY pool_no) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS m FROM pool)
 SELECT DISTINCT track_id, pool_no FROM n, (SELECT unnest(range(0, 50)) AS k) WHERE m <= 50 OR k * m // 50 = i"""

@@ -69,12 +69,12 @@ def query_variants(spark, sf):
 
 
 # ---------------------------------------------------------------- footage
-@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'clip' WHEN page_id % 4 = 1 THEN 'video' WHEN regexp_matches(url, '^https?://') THEN 'web' ELSE 'user' END AS origin FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'clip' WHEN 1 THEN 'video' WHEN 2 THEN 'web' WHEN 3 THEN 'user' ELSE CASE WHEN url LIKE '%://%' THEN 'web' ELSE 'user' END END AS origin FROM pages")
 def classify_asset(spark, sf):
     p = b.table(spark, sf, "pages", "page_id", "url")
-    k = F.pmod("page_id", F.lit(4))
-    src = F.when(k == 1, F.concat(F.lit("https://host/"), F.col("page_id").cast("string"), F.lit(".mp4"))).otherwise(F.col("url"))
-    return p.select("page_id", cl.classify_asset(src, F.when(k == 0, "clip").otherwise("image")).alias("origin"))
+    k, n = F.pmod("page_id", F.lit(5)), F.col("page_id").cast("string")
+    src = F.when(k == 1, F.concat(F.lit("source-video@"), n)).when(k == 2, F.concat(F.lit("ftp://host/"), n, F.lit(".mp4"))).when(k == 3, F.concat(F.lit("C:\\pictures\\"), n)).otherwise(F.col("url"))
+    return p.select("page_id", cl.classify_asset(src, F.when(k == 0, "clip").otherwise("")).alias("origin"))
 
 
 _SCORE = f"""CASE WHEN luma < 0.07 OR detail < 0.03 THEN 0.0::DOUBLE ELSE {RND3.format("((0.32::DOUBLE * least(1.0::DOUBLE, color / 0.22::DOUBLE) + 0.24::DOUBLE * least(1.0::DOUBLE, luma / 0.32::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, detail / 0.17::DOUBLE) + 0.24::DOUBLE * CASE WHEN motion BETWEEN 0.006 AND 0.09 THEN 1.0::DOUBLE WHEN motion < 0.006 THEN 0.55::DOUBLE ELSE 0.6::DOUBLE END) * CASE WHEN fade THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END)")} END"""
@@ -137,15 +137,14 @@ def low_quality_sources(spark, sf):
     return cl.low_quality_sources(a, b.assets(spark, sf).where(F.col("quality") > 40000))
 
 
-_RATES = "[" + ", ".join(f"{r}::DOUBLE" for r in cl.FRAME_RATES) + "]"
-
-
 @query(
-    f"""{_A}, f AS (SELECT asset_id, 20 + (asset_id % 4200) / 40 AS rate FROM assets), m AS (SELECT *, list_min(list_transform({_RATES}, lambda r: {{'d': abs(r - rate), 'r': r}})) AS best FROM f)
-SELECT asset_id, CASE WHEN best.d <= rate * 0.005 THEN best.r ELSE {RND3.format('rate')} END AS fps FROM m"""
+    f"""{_A}, f AS (SELECT asset_id, CASE asset_id % 7 WHEN 0 THEN 23.976 WHEN 1 THEN 29.97 WHEN 2 THEN 59.94 WHEN 3 THEN 119.88 WHEN 4 THEN -1.0 WHEN 5 THEN NULL ELSE (asset_id % 4200) / 40 END::DOUBLE AS rate FROM assets)
+SELECT asset_id, CAST(CASE WHEN rate IS NULL OR rate <= 0 THEN 0 WHEN abs(rate - 23.976::DOUBLE) < 0.02 THEN 24 WHEN abs(rate - 29.97::DOUBLE) < 0.02 THEN 30 WHEN abs(rate - 59.94::DOUBLE) < 0.02 THEN 60 WHEN abs(rate - 119.88::DOUBLE) < 0.02 THEN 120 ELSE greatest(1, round_even(rate, 0)) END AS INTEGER) AS fps FROM f"""
 )
 def normalize_fps(spark, sf):
-    return b.assets(spark, sf).select("asset_id", cl.normalize_fps(F.pmod("asset_id", F.lit(4200)) / 40 + 20).alias("fps"))
+    k = F.pmod("asset_id", F.lit(7))
+    rate = F.when(k == 0, 23.976).when(k == 1, 29.97).when(k == 2, 59.94).when(k == 3, 119.88).when(k == 4, -1.0).when(k == 6, F.pmod("asset_id", F.lit(4200)) / 40)
+    return b.assets(spark, sf).select("asset_id", cl.normalize_fps(rate).alias("fps"))
 
 
 # ---------------------------------------------------------------- characters and singers
@@ -317,7 +316,7 @@ def time_text(spark, sf):
 
 # letters a-z written as kana, so part names become readings with small kana and long marks
 _AZ, _KANA = "abcdefghijklmnopqrstuvwxyz ", "あゃくどえふげはいじっらむんおぷきるすとうょわきゅーざ"
-_SMALL = kana.SMALL_KANA
+_SMALL = "ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮー"
 
 
 @query(
@@ -348,8 +347,8 @@ def kanji_numbers(spark, sf):
     return o.select("o_orderkey", "n", kana.kanji_number(F.col("n")).alias("kanji"))
 
 
-_ONES = "['" + "', '".join(kana.ENGLISH_ONES) + "']"
-_TENS = "['" + "', '".join(kana.ENGLISH_TENS) + "']"
+_ONES = "['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen']"
+_TENS = "['', 'ten', 'twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety']"
 
 
 def _small(v):
@@ -361,16 +360,16 @@ def _thousand(v):
 
 
 @query(
-    f"""SELECT o_orderkey, n, CASE WHEN n // 1000 > 0 THEN {_thousand('(n // 1000)')} || ' thousand' || CASE WHEN n % 1000 > 0 THEN ' ' || {_thousand('(n % 1000)')} ELSE '' END ELSE {_thousand('n')} END AS words FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 1000000 AS n FROM orders)"""
+    f"""SELECT o_orderkey, n, CASE WHEN n // 1000 > 0 THEN {_thousand('(n // 1000)')} || ' thousand' || CASE WHEN n % 1000 > 0 THEN ' ' || {_thousand('(n % 1000)')} ELSE '' END ELSE {_thousand('n')} END AS words FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)"""
 )
 def english_numbers(spark, sf):
-    o = b.table(spark, sf, "orders").select("o_orderkey", F.pmod(F.floor("o_totalprice"), F.lit(1000000)).alias("n"))
+    o = b.table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("n"))
     return o.select("o_orderkey", "n", kana.english_number(F.col("n")).alias("words"))
 
 
-_HI = "['" + "', '".join("" if x == "_" else x for x in kana.HANGUL_INITIAL) + "']"
-_HV = "['" + "', '".join(kana.HANGUL_VOWEL) + "']"
-_HF = "['" + "', '".join("" if x == "_" else x for x in kana.HANGUL_FINAL) + "']"
+_HI = "['g', 'kk', 'n', 'd', 'tt', 'r', 'm', 'b', 'pp', 's', 'ss', '', 'j', 'jj', 'ch', 'k', 't', 'p', 'h']"
+_HV = "['a', 'ae', 'ya', 'yae', 'eo', 'e', 'yeo', 'ye', 'o', 'wa', 'wae', 'oe', 'yo', 'u', 'wo', 'we', 'wi', 'yu', 'eu', 'ui', 'i']"
+_HF = "['', 'k', 'k', 'ks', 'n', 'nj', 'nh', 't', 'l', 'lk', 'lm', 'lb', 'ls', 'lt', 'lp', 'lh', 'm', 'p', 'ps', 't', 't', 'ng', 't', 't', 'k', 't', 'p', '']"
 
 
 @query(f"SELECT o_orderkey, chr(CAST(44032 + k AS INTEGER)) AS ch, {_HI}[k // 588 + 1] || {_HV}[k % 588 // 28 + 1] || {_HF}[k % 28 + 1] AS romaji FROM (SELECT o_orderkey, (o_orderkey * 7) % 11172 AS k FROM orders)")
@@ -388,7 +387,7 @@ def reading_split(spark, sf):
     return o.select("o_orderkey", F.array_join(kana.head_heavy_split(F.col("o_orderpriority"), F.lit(2)), "|").alias("parts"))
 
 
-@query("SELECT vec_id, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN CAST(embedding[i + 1] AS DOUBLE) >= m THEN (1::BIGINT << i) ELSE 0 END)) AS BIGINT) AS ahash FROM (SELECT vec_id, embedding, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings)")
+@query("SELECT vec_id, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN CAST(embedding[i + 1] AS DOUBLE) >= m THEN (1::BIGINT << i)::HUGEINT ELSE 0::HUGEINT END)) + CASE WHEN CAST(embedding[64] AS DOUBLE) >= m THEN (-9223372036854775808)::HUGEINT ELSE 0::HUGEINT END AS BIGINT) AS ahash FROM (SELECT vec_id, embedding, list_avg(CAST(embedding AS DOUBLE[])) AS m FROM embeddings)")
 def average_hash(spark, sf):
     e = b.table(spark, sf, "embeddings")
     return e.select("vec_id", bits.hash_bits(F.col("embedding")).alias("ahash"))

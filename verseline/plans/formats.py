@@ -277,12 +277,12 @@ def parse_singer_runs(spark, sf):
 # ---------------------------------------------------------------- sources
 @query(
     """SELECT doc_id, 'songs/' || source || '/doc_' || doc_id || '.' || ext AS path, ext,
- CASE WHEN ext IN ('lrc', 'srt') THEN 'lyrics' WHEN ext = 'flac' THEN 'audio' WHEN ext = 'mkv' THEN 'video' WHEN ext = 'png' THEN 'image' ELSE 'other' END AS kind
-FROM (SELECT *, ['lrc', 'flac', 'mkv', 'png', 'srt', 'xyz'][doc_id % 6 + 1] AS ext FROM documents)"""
+ CASE WHEN ext IN ('lrc', 'srt') THEN 'lyrics' WHEN ext IN ('flac', 'aiff', 'aif', 'tta', 'alac') THEN 'audio' WHEN ext IN ('mkv', 'm4v', 'wmv', 'mpg', 'mpeg') THEN 'video' WHEN ext = 'png' THEN 'image' ELSE 'other' END AS kind
+FROM (SELECT *, ['lrc', 'flac', 'mkv', 'png', 'srt', 'xyz', 'aiff', 'aif', 'tta', 'alac', 'm4v', 'wmv', 'mpg', 'mpeg'][doc_id % 14 + 1] AS ext FROM documents)"""
 )
 def media_kind(spark, sf):
     docs = b.table(spark, sf, "documents", "doc_id", "source")
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("LRC", "flac", "mkv", "PNG", "srt", "xyz")]), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("LRC", "flac", "mkv", "PNG", "srt", "xyz", "aiff", "AIF", "tta", "alac", "m4v", "wmv", "mpg", "mpeg")]), (F.pmod("doc_id", F.lit(14)) + 1).cast("int"))
     path = F.concat(F.lit("songs/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
     return docs.select("doc_id", path.alias("p")).select(
         "doc_id", F.concat(F.regexp_replace("p", r"[^.]*$", ""), corpus.extension(F.col("p"))).alias("path"), corpus.extension(F.col("p")).alias("ext"), corpus.media_kind(F.col("p")).alias("kind")

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 # File kinds by extension.
 MEDIA_KINDS = {
     "lyrics": ("lrc", "krc", "yrc", "srt", "ass", "ssa", "txt"),
-    "audio": ("mp3", "flac", "wav", "m4a", "aac", "ogg", "opus", "wma", "ape"),
-    "video": ("mp4", "mkv", "webm", "mov", "avi", "flv", "ts", "m2ts"),
+    "audio": ("mp3", "flac", "wav", "m4a", "aac", "ogg", "opus", "wma", "ape", "tta", "alac", "aiff", "aif"),
+    "video": ("mp4", "mkv", "webm", "mov", "avi", "flv", "ts", "m2ts", "m4v", "wmv", "mpg", "mpeg"),
     "image": ("jpg", "jpeg", "png", "webp", "bmp", "gif"),
 }
 DECODE_CHARSETS = ("UTF-8", "GB18030", "Big5", "Shift_JIS", "EUC-KR")
