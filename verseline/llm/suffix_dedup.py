@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.common import batches, document_columns
+from verseline.llm.common import batches, document_columns, shared_folder
 
 N, K = 200, 32
 LEFT = N - K
@@ -222,6 +222,13 @@ def removed(n: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[last]
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: several branches use it, and its lineage reads the texts."""
+    folder = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def dedup(docs: DataFrame, bucket: int = 50_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends): the repeated runs of every document, in bytes."""
     batches(docs.sparkSession)
@@ -229,23 +236,27 @@ def dedup(docs: DataFrame, bucket: int = 50_000) -> DataFrame:
     rows = document_columns(docs).select(F.coalesce("doc_id", nobody).alias("did"), F.xxhash64("doc_id", "text").alias("key"), "text")
     found = rows.mapInArrow(_find, "kmer long, ctx long, did long, key long, pos int")
     kmers = found.groupBy("kmer").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select("kmer", (F.col("lo") == F.col("hi")).alias("copies"))
-    met = found.join(kmers, "kmer")
+    met = _kept(found.join(kmers, "kmer"))
     whole = F.lit(LEFT * 256 + N).cast("long")
     settled = met.where("copies").select("did", "key", "pos", whole.alias("code"))
 
     mixed = met.where("not copies").drop("copies")
-    contexts = mixed.groupBy("kmer", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("did", "key", "pos")).alias("at"))
+    contexts = _kept(mixed.groupBy("kmer", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("did", "key", "pos")).alias("at")))
     asked = contexts.select("at.did", "at.key", F.struct("at.pos", "kmer", "ctx").alias("r")).groupBy("did", "key").agg(F.collect_list("r").alias("own"))
     bodies = rows.join(asked, ["did", "key"]).select("text", "own").mapInArrow(_fetch, "kmer long, ctx long, l int, body binary")
-    sizes = contexts.groupBy("kmer").agg(F.count("*").alias("size"))
-    sized = bodies.join(sizes, "kmer")
+    large = contexts.groupBy("kmer").agg(F.count("*").alias("size")).where(F.col("size") > bucket).select("kmer")
+    codes = contexts.where("n > 1").select("kmer", "ctx", whole.alias("code"))
+    gathered = bodies
+    if not large.isEmpty():
+        bodies = _kept(bodies)
+        gathered = bodies.join(large, "kmer", "left_anti")
+        windows = bodies.join(large, "kmer", "left_semi").select("kmer", "ctx", "l", F.explode(F.expr(f"transform(sequence(0, length(body) - {N}), j -> struct(j, xxhash64(substring(body, j + 1, {N})) as w))")).alias("x"))
+        windows = windows.select("kmer", "ctx", F.col("x.w").alias("w"), ((F.col("l") - F.col("x.j")) * 256 + N - F.col("l") + F.col("x.j")).cast("long").alias("code"))
+        again = windows.groupBy("kmer", "w").agg(F.count("*").alias("m")).where("m > 1").select("kmer", "w")
+        codes = codes.unionByName(windows.join(again, ["kmer", "w"]).select("kmer", "ctx", "code"))
     right = F.expr("substring(body, l + 1)")
-    tree = sized.where(F.col("size") <= bucket).drop("size").repartition("kmer").sortWithinPartitions("kmer", right, "ctx").mapInArrow(_scan, "kmer long, ctx long, code long")
-    large = sized.where(F.col("size") > bucket).select("kmer", "ctx", "l", F.explode(F.expr(f"transform(sequence(0, length(body) - {N}), j -> struct(j, xxhash64(substring(body, j + 1, {N})) as w))")).alias("x"))
-    large = large.select("kmer", "ctx", F.col("x.w").alias("w"), ((F.col("l") - F.col("x.j")) * 256 + N - F.col("l") + F.col("x.j")).cast("long").alias("code"))
-    again = large.groupBy("kmer", "w").agg(F.count("*").alias("m")).where("m > 1").select("kmer", "w")
-    codes = tree.unionByName(large.join(again, ["kmer", "w"]).select("kmer", "ctx", "code")).unionByName(contexts.where("n > 1").select("kmer", "ctx", whole.alias("code")))
-    per_context = codes.groupBy("kmer", "ctx").agg(F.collect_set("code").alias("codes"))
+    tree = gathered.repartition("kmer").sortWithinPartitions("kmer", right, "ctx").mapInArrow(_scan, "kmer long, ctx long, code long")
+    per_context = tree.unionByName(codes).groupBy("kmer", "ctx").agg(F.collect_set("code").alias("codes"))
     inside = mixed.join(per_context, ["kmer", "ctx"]).select("did", "key", "pos", F.explode("codes").alias("code"))
     spans = settled.unionByName(inside).select("did", "key", (F.col("pos").cast("long") * 65_536 + F.col("code")).alias("code")).groupBy("did", "key").agg(F.collect_set("code").alias("codes"))
     out = rows.join(spans, ["did", "key"], "left").select("did", "text", "codes")
