@@ -24,14 +24,16 @@ def parse_lrc(spark, sf):
 
 @query(
     f"""{_D}, st AS (SELECT doc_id, line_no, text, CASE WHEN line_no % 2 = 1 THEN {_START} ELSE ({_START} + 5) // 10 * 10 END AS start_ms FROM doc_lines
-  UNION ALL SELECT doc_id, line_no, text, {_START} + 600000 FROM doc_lines WHERE line_no % 5 = 0)
-SELECT doc_id AS file_id, line_no + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 5 END AS line_no,
-       greatest(0, start_ms - (doc_id % 7 - 3) * 1000) AS start_ms, trim(text) AS text FROM st
-WHERE NOT regexp_matches(trim(text), '^[^a-zA-Z0-9]*$')"""
+  UNION ALL SELECT doc_id, line_no, text, {_START} + 600000 FROM doc_lines WHERE line_no % 5 = 0),
+no AS (SELECT doc_id, line_no + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 5 END AS line_no, line_no % 5 = 0 AS twice, start_ms, trim(text) AS text FROM st)
+SELECT doc_id AS file_id, line_no, CASE WHEN line_no % 4 <> 0 THEN greatest(0, start_ms - (doc_id % 7 - 3) * 1000) END AS start_ms, text FROM no
+WHERE text <> '' AND (line_no % 4 <> 0 OR NOT regexp_matches(text, '^[0-9]+$') AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]'))
+QUALIFY line_no % 4 <> 0 OR row_number() OVER (PARTITION BY doc_id, line_no) = 1"""
 )
 def apply_lrc_offset(spark, sf):
-    out = dialects.apply_lrc_offset(b.lrc_files(spark, sf))
-    return out.where(~F.col("text").rlike("^[^a-zA-Z0-9]*$")).select("file_id", "line_no", "start_ms", "text")
+    files = b.lrc_files(spark, sf)
+    bare = F.transform(F.split("content", "\n"), lambda x, i: F.when(F.pmod(i + 1, F.lit(4)) == 0, F.regexp_replace(x, r"^(\[\d+:\d+\.\d+\])+", "")).otherwise(x))
+    return dialects.apply_lrc_offset(files.withColumn("content", F.array_join(bare, "\n"))).select("file_id", "line_no", "start_ms", "text")
 
 
 _WORDS = """words AS (
@@ -106,8 +108,10 @@ def parse_ass_karaoke(spark, sf):
 
 
 @query(
-    f"""{_D} SELECT doc_id AS file_id, line_no, CASE WHEN line_no % 3 = 1 THEN source END AS singer, 'ab' || lang || replace(replace(text, '(', ''), ')', '') AS text,
- 2 AS first, 1 + length(lang) AS last, upper(lang) AS reading FROM doc_lines"""
+    f"""{_D} SELECT doc_id AS file_id, line_no, CASE WHEN line_no % 3 = 1 THEN source END AS singer, 'ab' || CASE line_no % 5 WHEN 4 THEN '' WHEN 3 THEN '㐂漢' ELSE lang END || replace(replace(text, '(', ''), ')', '') || CASE WHEN line_no % 5 = 2 THEN 'xy' ELSE '' END AS text,
+ k.first, k.last, k.reading FROM (SELECT *, unnest(CASE line_no % 5 WHEN 4 THEN [{{'first': NULL::INTEGER, 'last': NULL::BIGINT, 'reading': NULL}}] WHEN 3 THEN [{{'first': 2, 'last': 3, 'reading': 'きかん'}}]
+ WHEN 2 THEN [{{'first': 2, 'last': 1 + length(lang), 'reading': upper(lang)}}, {{'first': 2 + length(lang) + length(rtrim(replace(replace(text, '(', ''), ')', ''), '')), 'last': 3 + length(lang) + length(replace(replace(text, '(', ''), ')', '')), 'reading': 'z'}}]
+ ELSE [{{'first': 2, 'last': 1 + length(lang), 'reading': upper(lang)}}] END) AS k FROM doc_lines)"""
 )
 def parse_annotated_ruby(spark, sf):
     docs = b.spread(b.table(spark, sf, "documents"))
@@ -115,7 +119,10 @@ def parse_annotated_ruby(spark, sf):
     def one(text, i):
         tag = F.when(F.pmod(i, F.lit(3)) == 0, F.concat(F.lit("["), F.col("source"), F.lit("] "))).otherwise("")
         bar = F.when(F.pmod(i, F.lit(2)) == 0, "||").otherwise("|")
-        return F.concat(tag, F.lit("ab{"), F.col("lang"), bar, F.upper("lang"), F.lit("}"), F.translate(text, "()", ""))
+        marked = F.concat(F.lit("ab{"), F.col("lang"), bar, F.upper("lang"), F.lit("}"))
+        k = F.pmod(i + 1, F.lit(5))
+        head = F.when(k == 4, F.lit("ab")).when(k == 3, F.lit("ab㐂漢(きかん)")).otherwise(marked)
+        return F.concat(tag, head, F.translate(text, "()", ""), F.when(k == 2, F.lit("{xy|z}")).otherwise(""))
 
     files = docs.select(F.col("doc_id").alias("file_id"), F.array_join(F.transform(F.split("text", "\n"), one), "\n").alias("content"))
     out = dialects.parse_annotated_ruby(files)
@@ -125,7 +132,7 @@ def parse_annotated_ruby(spark, sf):
 @query(
     f"""{_D}, c AS (SELECT doc_id, line_no, unnest(range(1, len(cs) + 1)) AS k, unnest(cs) AS ch, len(cs) AS n
   FROM (SELECT doc_id, line_no, string_split(replace(replace(text, '[', ''), '|', ''), '') AS cs FROM doc_lines))
-SELECT doc_id AS file_id, line_no, count(*) AS n, CAST(sum(1 + k % 3) AS BIGINT) AS beats, count(*) FILTER (k = n) AS line_ends, CAST(sum({_START} // 10 * 10 + (k - 1) * 50 // 10 * 10) AS BIGINT) AS ms,
+SELECT doc_id AS file_id, line_no, count(*) AS n, CAST(sum(CASE WHEN k % 4 = 0 THEN 0 ELSE 1 + k % 3 END) AS BIGINT) AS beats, count(*) FILTER (k = n AND k % 4 <> 0) AS line_ends, CAST(sum(CASE WHEN k % 4 <> 0 THEN {_START} // 10 * 10 + (k - 1) * 50 // 10 * 10 END) AS BIGINT) AS ms,
  CAST(sum(k * ascii(ch)) AS BIGINT) AS text_sum FROM c GROUP BY 1, 2"""
 )
 def parse_inline_timed(spark, sf):
@@ -136,7 +143,7 @@ def parse_inline_timed(spark, sf):
         start = F.floor(b.line_start(F.col("doc_id"), i + 1) / 10) * 10
         stamped = F.transform(
             chars,
-            lambda c, k: F.concat(F.lit("["), (F.pmod(k + 1, F.lit(3)) + 1).cast("string"), F.lit("|"), tt.inline_clock(start + k * 50), F.lit("]"), c),
+            lambda c, k: F.when(F.pmod(k + 1, F.lit(4)) == 0, c).otherwise(F.concat(F.lit("["), (F.pmod(k + 1, F.lit(3)) + 1).cast("string"), F.lit("|"), tt.inline_clock(start + k * 50), F.lit("]"), c)),
         )
         return F.regexp_replace(F.array_join(stamped, ""), r"\[(\d)(\|[^\]]*\].)$", "[$10$2")
 

@@ -66,7 +66,7 @@ def lrc_offset(content: Column) -> Column:
 
 
 def apply_lrc_offset(files: DataFrame) -> DataFrame:
-    """Timed lines with the file's own offset applied (positive = earlier, never below 0) and wordless lines dropped."""
+    """Lines with the file's own offset applied (positive = earlier, never below 0); wordless lines go, text without a stamp stays with a null time."""
     tagged = files.withColumn("offset_ms", lrc_offset(F.col("content")))
     lines = split_lines(tagged).withColumn("raw", strip(F.col("raw")))
     kept = lines.where(
@@ -75,9 +75,9 @@ def apply_lrc_offset(files: DataFrame) -> DataFrame:
     stamps = kept.withColumn("__stamps", F.regexp_extract_all("raw", F.lit(f"({tt.LRC_STAMP_BARE})"), 1))
     return stamps.select(
         *[c for c in stamps.columns if c not in ("raw", "__stamps")],
-        F.explode("__stamps").alias("__stamp"),
+        F.explode_outer("__stamps").alias("__stamp"),
         strip(F.regexp_replace("raw", tt.LRC_STAMP_BARE, "")).alias("text"),
-    ).select("*", F.greatest(tt.stamp_ms(F.col("__stamp")) - F.col("offset_ms"), F.lit(0)).alias("start_ms")).drop("__stamp")
+    ).select("*", F.when(F.col("__stamp").isNotNull(), F.greatest(tt.stamp_ms(F.col("__stamp")) - F.col("offset_ms"), F.lit(0))).alias("start_ms")).drop("__stamp")
 
 
 def _pieces(files: DataFrame, stamp: str, stop: str) -> DataFrame:
@@ -259,59 +259,65 @@ def parse_ass_karaoke(files: DataFrame) -> DataFrame:
     )
 
 
+# Han letters of the two large blocks with the repeat and counter marks, and kana.
+HAN, KANA = "\u3400-\u4dbf\u4e00-\u9fff々〆ヶ", "\u3040-\u30ff"
+# The two notations of a reading, and the braces that both are brought to.
+READING_IN_BRACKETS = rf"([{HAN}]+)[(（]([{KANA}]+)[)）]"
+READING_IN_BRACES = r"\{([^{}|]+)\|{1,2}([^{}|]*)\}"
+
+
 def parse_annotated_ruby(files: DataFrame) -> DataFrame:
-    """``{base||reading}`` or ``kanji(kana)`` marks -> one row per reading span, with the plain text and singer tag."""
+    """``{base||reading}`` or ``kanji(kana)`` marks -> one row per reading span, with the plain text and singer tag; a line without a
+    reading gives one row with a null span. Positions are counted inside the line, so nothing is shuffled."""
     lines = split_lines(files)
+    keys = [c for c in lines.columns if c != "raw"]
     raw = strip(F.col("raw"))
     singer = F.when(~raw.rlike(r"^\[\d"), F.nullif(F.regexp_extract(raw, r"^[\[【]([^\]】]{1,24})[\]】]\s*", 1), F.lit("")))
     body = F.when(singer.isNotNull(), F.regexp_replace(raw, r"^[\[【][^\]】]{1,24}[\]】]\s*", "")).otherwise(raw)
-    one = F.regexp_replace(body, r"([一-鿿々〆ヶ]+)[(（]([぀-ヿ]+)[)）]", "{$1||$2}")
-    one = F.regexp_replace(one, r"\{([^{}|]+)\|{1,2}([^{}|]*)\}", "{$1||$2}")
-    marked = lines.select(*[c for c in lines.columns if c != "raw"], singer.alias("singer"), one.alias("__m"))
-    shape = r"([^{]*)(?:\{([^{}|]+)\|\|([^{}|]*)\})?"
-    plain = F.regexp_replace("__m", r"\{([^{}|]+)\|\|([^{}|]*)\}", "$1")
-    keys = [c for c in lines.columns if c != "raw"]
-    g = lambda i: F.regexp_extract("x", shape, i)
-    parts = (
-        marked.withColumn("text", plain)
-        .where(F.trim("text") != "")
-        .select(*keys, "singer", "text", F.posexplode(F.regexp_extract_all("__m", F.lit(shape), 0)).alias("n", "x"))
-        .select(*keys, "singer", "text", "n", F.struct(g(1).alias("pre"), g(2).alias("base"), g(3).alias("reading")).alias("p"))
-    )
-    w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.length("p.pre") + F.length(F.coalesce("p.base", F.lit("")))
-    first = F.coalesce(F.sum(length).over(w), F.lit(0)) + F.length("p.pre")
-    return (
-        parts.withColumn("first", first.cast("long"))
-        .where(F.length("p.base") > 0)
-        .select(
-            *keys,
-            "singer",
-            "text",
-            "first",
-            (F.col("first") + F.length("p.base") - 1).cast("long").alias("last"),
-            F.col("p.reading").alias("reading"),
-        )
-    )
+    one = F.regexp_replace(F.regexp_replace(body, READING_IN_BRACKETS, "{$1||$2}"), READING_IN_BRACES, "{$1||$2}")
+    mark = r"\{([^{}|]+)\|\|([^{}|]*)\}"
+    marked = lines.select(*keys, singer.alias("singer"), one.alias("__m"), F.regexp_replace(one, mark, "$1").alias("text")).where(F.trim("text") != "")
+    pieces = F.regexp_extract_all("__m", F.lit(r"([^{]*)(?:" + mark + ")?|\\{"), F.lit(0))
+    parts = F.transform(pieces, lambda x: F.struct(F.regexp_replace(x, mark, "").alias("pre"), F.regexp_extract(x, mark, 1).alias("base"), F.regexp_extract(x, mark, 2).alias("reading")))
+
+    def span(x: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice("__p", 1, i), F.lit(0).cast("long"), lambda n, p: n + F.length(p["pre"]) + F.length(p["base"]))
+        first = before + F.length(x["pre"])
+        return F.struct(first.alias("first"), (first + F.length(x["base"]) - 1).alias("last"), x["reading"].alias("reading"), x["base"].alias("base"))
+
+    spans = F.filter(F.transform("__p", span), lambda x: x["base"] != "")
+    found = marked.withColumn("__p", parts).select(*keys, "singer", "text", F.explode_outer(spans).alias("s"))
+    return found.select(*keys, "singer", "text", F.col("s.first").alias("first"), F.col("s.last").alias("last"), F.col("s.reading").alias("reading"))
 
 
 def parse_inline_timed(files: DataFrame) -> DataFrame:
-    """``[N|mm:ss:cc]char`` checkpoints; N is the beat count and a trailing 0 of a longer N marks the line end."""
+    """``[N|mm:ss:cc]text`` checkpoints; N is the beat count and a trailing 0 of a longer N marks the line end.
+
+    Every character of the line is a row: the first after a stamp carries it, the others have no beat and a null time; a stamp that
+    no character follows is a row with an empty one.
+    """
     lines = split_lines(files)
     keys = [c for c in lines.columns if c != "raw"]
-    shape = r"\[(\d+)\|(\d+):(\d{2}):(\d{2})\]([^\[]?)"
-    g = lambda i: F.regexp_extract("x", shape, i)
-    parts = lines.select(*keys, F.posexplode(F.regexp_extract_all("raw", F.lit(shape), 0)).alias("pos", "x")).select(
-        *keys, "pos", F.struct(g(1).alias("n"), g(2).alias("m"), g(3).alias("s"), g(4).alias("c"), g(5).alias("ch")).alias("p")
-    )
+    stamp = r"\[(\d+)\|(\d+):(\d{2}):(\d{2})\]"
+    pieces = F.regexp_extract_all("raw", F.lit(rf"(?:{stamp})?[^\[]+|{stamp}|\["), F.lit(0))
+
+    def chars(x: Column) -> Column:
+        part = lambda i: F.regexp_extract(x, "^" + stamp, i)
+        return F.transform(
+            F.split(F.regexp_replace(x, "^" + stamp, ""), ""),
+            lambda c, i: F.struct(c.alias("ch"), *[F.when(i == 0, part(k)).otherwise("").alias(n) for k, n in ((1, "n"), (2, "m"), (3, "s"), (4, "c"))]),
+        )
+
+    rows = lines.select(*keys, F.posexplode(F.flatten(F.transform(pieces, chars))).alias("pos", "p"))
+    stamped = F.col("p.n") != ""
     ended = (F.length("p.n") >= 2) & F.endswith(F.col("p.n"), F.lit("0"))
-    return parts.select(
+    return rows.select(
         *keys,
         (F.col("pos") + 1).cast("long").alias("char_no"),
         F.col("p.ch").alias("ch"),
-        F.when(ended, F.expr("left(p.n, length(p.n) - 1)")).otherwise(F.col("p.n")).cast("int").alias("check_count"),
+        F.when(~stamped, 0).when(ended, F.expr("try_cast(left(p.n, length(p.n) - 1) as int)")).otherwise(F.expr("try_cast(p.n as int)")).alias("check_count"),
         ended.alias("is_line_end"),
-        tt.clock_ms(F.col("p.m"), F.col("p.s"), F.col("p.c")).alias("ms"),
+        F.when(stamped, tt.clock_ms(*[F.nullif(F.col(f"p.{c}"), F.lit("")) for c in "msc"])).alias("ms"),
     )
 
 
