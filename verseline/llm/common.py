@@ -20,6 +20,8 @@ def batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes: a batch of very long texts must fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # operators of several jobs: a job's shuffle files go when it ends, not when the driver next collects garbage
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def field(df: DataFrame, name: str) -> Column:

@@ -14,8 +14,9 @@ and the token sequence as places in that list. From there on packed arrays move,
 1. words by hash bucket: the unigram table; every block gets back the number and the count of each of its words;
 2. bigrams by context bucket, with the documents that they stand in: the bigram table. A context with over 1 / (4 buckets) of all tokens is
    spread over the buckets by its successors, and only sums of its parts are brought together, so no context is gathered;
-3. counts of counts and the weights of the spread contexts: a table of at most 4 rows per bucket and one total, the only broadcast;
-4. every bucket evaluates its bigrams and sends one sum per document of a block back.
+3. counts of counts and the weights of the spread contexts: a table of at most 4 rows per bucket and one of totals, all that the driver sees;
+4. every bucket evaluates its bigrams and sends one sum per document of a block back. The packed bigrams are made anew for this, as two copies
+   of them on disk would cost more than the work.
 
 The model follows from all training rows; nothing is sampled or cut. Words are runs without white space with A-Z lowered, then one end token;
 the context of a first word is the end token. Defined results: null and empty texts hold the end token alone; equal rows count each;
@@ -364,43 +365,37 @@ def backoff(seen: np.ndarray, total: np.ndarray, lower: np.ndarray) -> tuple[np.
 # --- step 4: scores ---------------------------------------------------------------------------------------------------------
 
 
-def _gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a bucket in one row, so that the model need be sent once to each."""
+def _score(model: Model):
+    """(bucket, block, cell, info) -> (block, sums): per block, what its documents lose in this bucket, in units of 1e-9; infos pass through."""
     kind = pa.struct([("stats", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("body", pa.binary())])
-    for bucket, rows in _by_bucket(parts):
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([[r[1] for r in rows]], pa.list_(pa.int64())), pa.array([[r[2] for r in rows]], pa.list_(pa.binary())), pa.array([[r[3] for r in rows]], pa.list_(kind))], ["bucket", "blocks", "cells", "infos"])
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(parts):
+            b, out = Bigrams(rows), []
+            logs = -model.evaluate(b)
+            for _, place, occ, doc in b.parts:
+                out.append(pack(np.rint(np.bincount(doc, weights=np.repeat(logs[place], occ)) * 1e9).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array(out, pa.binary()), pa.array([r[3] for r in rows], kind)], ["block", "sums", "info"])
 
-def _score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, blocks, cells, infos, model) -> (block, sums): per block, the scores that its documents gain in this bucket; infos pass through."""
-    kind = pa.struct([("stats", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("body", pa.binary())])
-    for p in parts:
-        for bucket, blocks, cells, infos, model in zip(*[c.to_pylist() for c in p.columns]):
-            m, b = Model(model), Bigrams(list(zip([bucket] * len(blocks), blocks, cells)))
-            logs, out = m.evaluate(b), []
-            for block, place, occ, doc in b.parts:
-                out.append(pack(np.bincount(doc, weights=np.repeat(logs[place], occ))))
-            names = ["block", "sums", "info", "vocabulary", "tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary()), pa.array(infos, kind), pa.array([m.vocabulary] * len(out), pa.int64()), pa.array([m.tokens] * len(out), pa.int64())], names)
+    return run
 
 
-def _finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the parts of each block and give its documents (pieces of one document still apart)."""
-    for _, rows in _by_bucket(parts):
-        info = next(r[2] for r in rows if r[2])
-        row, held, lens, known, base = unpack(info["body"])
-        score = np.zeros(len(lens))
-        for r in rows:
-            (own,) = unpack(r[1])
-            score[: len(own)] += own
-        v, n = rows[0][3], rows[0][4]
-        base = _whole_floats(base) - _long(lens) * np.log10(n + v + 1.0)
-        cols = [pa.array(_long(row)), pa.array(info["doc_ids"], pa.int64()), pa.array(_long(held) > 0), pa.array(_long(lens)), pa.array(_long(known)), pa.array([n] * len(lens), pa.int64()), pa.array(base), pa.array(score)]
-        yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def _finish(v: int, n: int):
+    """Sum the parts of each block and give its documents (pieces of one document still apart); vocabulary and training tokens."""
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(parts):
+            info = next(r[2] for r in rows if r[2])
+            row, held, lens, known, base = unpack(info["body"])
+            total = np.zeros(len(lens))
+            for r in rows:
+                (own,) = unpack(r[1])
+                total[: len(own)] -= own / 1e9
+            base = base.astype(float) - _long(lens) * np.log10(n + v + 1.0)
+            cols = [pa.array(_long(row)), pa.array(info["doc_ids"], pa.int64()), pa.array(_long(held) > 0), pa.array(_long(lens)), pa.array(_long(known)), pa.array([n] * len(lens), pa.int64()), pa.array(base), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-def _whole_floats(a: np.ndarray) -> np.ndarray:
-    return a.astype(float)
+    return run
 
 
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, buckets: int | None = None, block_tokens: int = BLOCK, longest: int = LONGEST) -> DataFrame:
@@ -412,7 +407,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, buckets: int |
     rows.mapInArrow(_read(block_tokens, longest), "block long, train long, tokens long, doc_ids array<long>, words binary, counts binary, body binary").write.parquet(folder)
     blocks = spark.read.parquet(folder)
     size = blocks.agg(F.sum("train"), F.sum("tokens")).first()
-    bits = max(4, min(16, int(np.ceil(np.log2(max(1, (size[1] or 0) / 3_000_000)))))) if buckets is None else int(np.log2(buckets))
+    bits = max(4, min(16, int(np.ceil(np.log2(max(1, (size[1] or 0) / 1_500_000)))))) if buckets is None else int(np.log2(buckets))
     n = 1 << bits
     spread = (size[0] or 0) // (4 * n)
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask(bits), "bucket long, block long, words binary, counts binary")
@@ -423,8 +418,9 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, buckets: int |
     cells = joined.mapInArrow(_pairs(bits, spread), f"bucket long, block long, cell binary, info {info}").repartition(n, "bucket").sortWithinPartitions("bucket", "block")
     sums = cells.mapInArrow(_measure, "context long, sums array<long>").select("context", F.posexplode("sums").alias("i", "v")).groupBy("context", "i").agg(F.sum("v").alias("v"))
     tables = sums.groupBy("context").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("sums"))
-    model = tables.agg(F.collect_list(F.struct("context", "sums")).alias("model"))  # at most 4 contexts for each bucket, and the totals
-    gathered = cells.mapInArrow(_gather, f"bucket long, blocks array<long>, cells array<binary>, infos array<{info}>")
-    scored = gathered.withColumn("one", F.lit(0)).join(F.broadcast(model.withColumn("one", F.lit(0))), "one").select("bucket", "blocks", "cells", "infos", "model").mapInArrow(_score, f"block long, sums binary, info {info}, vocabulary long, tokens long")
-    done = scored.repartition("block").sortWithinPartitions("block").mapInArrow(_finish, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return done.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "held_out")], F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.first("train_tokens").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).drop("row")
+    model = Model([r.asDict() for r in tables.collect()])  # at most 4 contexts for each bucket, and the totals
+    scored = cells.mapInArrow(_score(model), f"block long, sums binary, info {info}")
+    finish = _finish(model.vocabulary, model.tokens)
+    done = scored.repartition("block").sortWithinPartitions("block").mapInArrow(finish, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    firsts, totals = [F.first(c).alias(c) for c in ("doc_id", "held_out", "train_tokens")], [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    return done.groupBy("row").agg(*firsts, *totals).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
