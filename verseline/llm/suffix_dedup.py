@@ -236,6 +236,7 @@ def dedup(docs: DataFrame, bucket: int = 50_000) -> DataFrame:
     rows = document_columns(docs).select(F.coalesce("doc_id", nobody).alias("did"), F.xxhash64("doc_id", "text").alias("key"), "text")
     found = rows.mapInArrow(_find, "kmer long, ctx long, did long, key long, pos int")
     kmers = found.groupBy("kmer").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select("kmer", (F.col("lo") == F.col("hi")).alias("copies"))
+    kmers = _kept(kmers)  # so that the join deals both sides anew and Spark can split a hot K-byte string
     met = _kept(found.join(kmers, "kmer"))
     whole = F.lit(LEFT * 256 + N).cast("long")
     settled = met.where("copies").select("did", "key", "pos", whole.alias("code"))
