@@ -125,8 +125,8 @@ def allocate(widths: list[int], near: list[list[float]], n: int, tau: int, key_c
     return best[tau + 1]
 
 
-def plan(fps: DataFrame, tau: int, sample: int = 2048) -> list[int]:
-    """Masks for these distinct fingerprints."""
+def plan(fps: DataFrame, tau: int, sample: int = 2048, key_cost: float = 40.0) -> list[int]:
+    """Masks for these distinct fingerprints; ``key_cost``: what a written key costs in compared pairs."""
     n, together = bit_counts(fps)
     taken = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(sample).collect()], dtype=np.int64)
     bits = _bits(taken).astype(np.int16) if len(taken) else np.zeros((0, BITS), np.int16)
@@ -139,9 +139,9 @@ def plan(fps: DataFrame, tau: int, sample: int = 2048) -> list[int]:
             ones = b.sum(axis=1)
             d = (ones[:, None] + ones[None, :] - 2 * b @ b.T)[np.triu_indices(len(b), 1)]
             near.append([(float((d <= t + 0.5).sum()) + 1) / (len(d) + 1) for t in range(tau + 1)])
-        choices.append((*allocate([len(g) for g in groups], near, n, tau), groups))
+        choices.append((*allocate([len(g) for g in groups], near, n, tau, key_cost), groups))
     cost, units, groups = min(choices, key=lambda c: c[0])
-    return [m for g, u in zip(groups, units) if u for m in _masks(0, g, u)]
+    return list(dict.fromkeys(m for g, u in zip(groups, units) if u for m in _masks(0, g, u)))
 
 
 def _masks(held: int, bits: list[int], units: int) -> list[int]:
@@ -158,7 +158,7 @@ def _finer(mask: int, tau: int) -> list[int]:
     """The pigeonhole on the bits outside a mask: tau + 1 parts, one of which agrees."""
     mask &= (1 << 64) - 1
     free = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | sum(1 << b for b in free[k :: tau + 1]) for k in range(tau + 1)]  # a mask without free bits is left only by distinct nodes of one fingerprint
+    return [mask | sum(1 << b for b in free[k :: tau + 1]) for k in range(tau + 1)]
 
 
 def _forest(fps: np.ndarray, tau: int, wide: np.ndarray | None = None, wide_tau: int | None = None) -> list[tuple[int, int]]:
@@ -184,16 +184,17 @@ def _forest(fps: np.ndarray, tau: int, wide: np.ndarray | None = None, wide_tau:
     return out
 
 
-def links(nodes: DataFrame, tau: int, bucket: int = 2000, wide_tau: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, tau: int, bucket: int = 2000, wide_tau: int | None = None, key_cost: float = 40.0) -> DataFrame:
     """(a, b) edges between nodes whose components are those of all links.
 
     ``nodes`` has (node, fp) and, with ``wide_tau``, ``wide``: a longer fingerprint (binary) that a link must also match in all but that many bits.
     """
-    masks = plan(nodes.select("fp").distinct(), tau)
+    spark = nodes.sparkSession
+    masks = plan(nodes.select("fp").distinct(), tau, key_cost=key_cost)
     cols = [c for c in ("node", "fp", "wide") if c in nodes.columns]
 
     def keyed(rows: DataFrame, choose) -> DataFrame:
-        return rows.select(*cols, F.explode(choose).alias("mask")).distinct().withColumn("held", F.col("fp").bitwiseAND(F.col("mask")))
+        return rows.select(*cols, F.explode(choose).alias("mask")).withColumn("held", F.col("fp").bitwiseAND(F.col("mask")))
 
     def literal(masks: list[int]):
         return F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
@@ -214,15 +215,15 @@ def links(nodes: DataFrame, tau: int, bucket: int = 2000, wide_tau: int | None =
     while True:
         sizes = rows.groupBy("mask", "held").agg(F.count("*").alias("n")).where("n > 1")
         met = rows.join(sizes, ["mask", "held"])
-        small = met.where(F.col("n") <= bucket).groupBy("mask", "held").agg(F.collect_list(F.struct(*cols)).alias("own")).select("own").mapInArrow(verify, "a long, b long")
+        done = (F.col("n") <= bucket) | (F.col("mask") == -1)  # -1: one fingerprint, no bit left to split by
+        small = met.where(done).groupBy("mask", "held").agg(F.collect_list(F.struct(*cols)).alias("own")).select("own").mapInArrow(verify, "a long, b long")
         found = small if found is None else found.unionByName(small)
-        hot = [r["mask"] for r in sizes.where(F.col("n") > bucket).select("mask").distinct().collect()]  # as many as there are masks at most
+        hot = [r["mask"] for r in sizes.where(~done).select("mask").distinct().collect()]  # as many as there are masks at most
         if not hot:
             return found
-        finer = F.lit(None).cast("array<long>")
-        for m in hot:
-            finer = F.when(F.col("mask") == m, literal(_finer(m, tau))).otherwise(finer)
-        rows = checkpointed(keyed(met.where(F.col("n") > bucket), finer))
+        finer = spark.createDataFrame([(m, [_signed(x) for x in _finer(m, tau)]) for m in hot], "mask long, finer array<long>")
+        wide = met.where(~done).join(finer, "mask").select(*cols, "finer")
+        rows = checkpointed(keyed(wide, F.col("finer")).dropDuplicates(["node", "mask"]))
 
 
 def near_components(rows: DataFrame, tau: int = 2) -> DataFrame:
@@ -267,7 +268,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, wide_tau: int = WIDE_TAU)
 
     rows = checkpointed(document_keys(docs).select("key", "key2", "text").mapInArrow(run, "key long, key2 long, node long, one long, two long, wide binary"))
     nodes = rows.dropDuplicates(["node"])
-    edges = [links(nodes.select("node", F.col(c).alias("fp"), "wide"), WORD_TAU, wide_tau=wide_tau) for c in ("one", "two")]
+    edges = [links(nodes.select("node", F.col(c).alias("fp"), "wide"), WORD_TAU, bucket=8000, wide_tau=wide_tau, key_cost=1000.0) for c in ("one", "two")]
     stars = components(edges[0].unionByName(edges[1]))
     return rows.join(stars, "node", "left").select("key", "key2", F.coalesce("component", "node").alias("component"))
 
