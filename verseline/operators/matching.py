@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,22 +225,13 @@ def _sliding(text: Column, n: int) -> Column:
 
 
 def greedy_cover(hits: DataFrame, *, line: Sequence[str]) -> DataFrame:
-    """Longest words first, then by rank, skipping any that touches an accepted one. One line of text per group."""
-    keys = list(line)
-    schema = hits.schema
-
-    def cover(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(__n=part["first"] - part["last"]).sort_values(["__n", "rank", "first"], kind="stable").drop(columns="__n")
-        taken = bytearray(int(part["last"].max()) + 1)
-        keep = []
-        for a, z in zip(part["first"], part["last"]):
-            free = not any(taken[a : z + 1])
-            if free:
-                taken[a : z + 1] = b"\x01" * (z + 1 - a)
-            keep.append(free)
-        return part[keep]
-
-    return hits.groupBy(*keys).applyInPandas(cover, schema)
+    """Longest words first, then by rank and place, skipping any that touches an accepted one. One line of text per group."""
+    rest = [c for c in hits.columns if c not in (*line, "first", "last", "rank")]
+    one = F.struct((F.col("first") - F.col("last")).alias("__n"), "rank", "first", "last", *rest)
+    own = hits.groupBy(*line).agg(F.array_sort(F.collect_list(one)).alias("__h"))
+    touches = lambda x: lambda t: (t["first"] <= x["last"]) & (t["last"] >= x["first"])
+    taken = F.aggregate("__h", F.slice("__h", 1, 0), lambda t, x: F.when(F.exists(t, touches(x)), t).otherwise(F.concat(t, F.array(x))))
+    return own.select(*line, F.explode(taken).alias("__x")).select(*[F.col(c) if c in line else F.col(f"__x.{c}").alias(c) for c in hits.columns])
 
 
 # ------------------------------------------------------------------ reading spans

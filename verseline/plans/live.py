@@ -60,8 +60,8 @@ def stream_sessions(spark, sf):
 
 
 @query(
-    """WITH t AS (SELECT user_id, event_id AS seq, CAST((event_id * 37) % 401 - 200 AS DOUBLE) AS v FROM events), l AS (SELECT user_id, v FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) <= 64),
-o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM l), q AS (SELECT user_id, max(v) FILTER (i = n // 4) AS q1, max(v) FILTER (i = n * 3 // 4) AS q3 FROM o GROUP BY 1),
+    """WITH t AS (SELECT user_id, event_id AS seq, CAST((event_id * 37) % 401 - 200 AS DOUBLE) AS v FROM events),
+o AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM t), q AS (SELECT user_id, max(v) FILTER (i = n // 4) AS q1, max(v) FILTER (i = n * 3 // 4) AS q3 FROM o GROUP BY 1),
 k AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM o JOIN q USING (user_id) WHERE o.n < 4 OR v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))
 SELECT user_id, round(avg(v), 4) AS "offset" FROM k WHERE i >= n // 10 AND i < n - n // 10 GROUP BY 1"""
 )
@@ -69,3 +69,12 @@ def stream_tap_offset(spark, sf):
     ev = b.table(spark, sf, "events")
     taps = ev.select("user_id", F.col("event_id").alias("seq"), (F.pmod(F.col("event_id") * 37, F.lit(401)) - 200).cast("double").alias("off"))
     return jobs.tap_calibration(taps).withColumn("offset", F.round("offset", 4))
+
+
+@query(
+    """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, (event_id * 37) % 401 AS t FROM events), p AS (SELECT *, lag(t) OVER (PARTITION BY session_id ORDER BY seq) - t AS behind_ms FROM s)
+SELECT session_id, seq, behind_ms FROM p WHERE behind_ms > 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq) = 1"""
+)
+def stream_backward_alerts(spark, sf):
+    ev = b.table(spark, sf, "events")
+    return jobs.backward_alerts(ev.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.pmod(F.col("event_id") * 37, F.lit(401)).alias("start_ms")))

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verseline.operators.matching import near_duplicates
-from verseline.operators.stats import robust_mean
+from verseline.operators.stats import robust_mean, robust_of
 
 EVENT_COLUMNS = ("job_id", "step_id", "state", "progress", "ts", "seq")
 
@@ -86,57 +87,52 @@ def stream_sessions(events: DataFrame, *, gap: str, watermark: str = "10 minutes
 
 
 # ------------------------------------------------------------------ state per user
-def tap_calibration(taps: DataFrame, *, keep: int = 64) -> DataFrame:
-    """Robust mean of each user's last ``keep`` offsets (taps: user_id, seq, off)."""
-    from pyspark.sql import Window
+def tap_calibration(taps: DataFrame) -> DataFrame:
+    """Robust mean of all of each user's offsets (taps: user_id, seq, off)."""
+    return robust_mean(taps, by=["user_id"], value="off", name="offset")
 
-    w = Window.partitionBy("user_id").orderBy(F.col("seq").desc())
-    last = taps.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep)
-    return robust_mean(last, by=["user_id"], value="off", name="offset")
 
+def stream_tap_calibration(taps: DataFrame) -> DataFrame:
+    """Running calibration per user over all taps: the state counts distinct offsets."""
 
-def _robust(values: list[float]) -> float:
-    v = sorted(values)
-    if len(v) >= 4:
-        q1, q3 = v[len(v) // 4], v[len(v) * 3 // 4]
-        reach = 1.5 * (q3 - q1)
-        v = [x for x in v if q1 - reach <= x <= q3 + reach]
-    trim = len(v) // 10
-    v = v[trim : len(v) - trim]
-    return sum(v) / len(v)
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        known = pd.Series(state.get[1], index=state.get[0], dtype="int64") if state.exists else pd.Series(dtype="int64")
+        new = pd.concat([df["off"] for df in batches]).value_counts()
+        counts = known.add(new, fill_value=0).astype("int64").sort_index()
+        values, n = [float(v) for v in counts.index], [int(c) for c in counts]
+        state.update((values, n))
+        yield pd.DataFrame({"user_id": [key[0]], "values": [values], "counts": [n]})
+
+    seen = taps.groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, values array<double>, counts array<long>", "values array<double>, counts array<long>", "update", GroupStateTimeout.NoTimeout
+    )
+    dist = F.zip_with("values", "counts", lambda v, n: F.struct(v.alias("v"), n.alias("n")))
+    return seen.select("user_id", robust_of(dist).alias("offset"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("taps"))
 
 
-def stream_tap_calibration(taps: DataFrame, *, keep: int = 64) -> DataFrame:
-    """Running calibration per user: the state holds the last ``keep`` offsets only."""
+def backward_alerts(stamps: DataFrame) -> DataFrame:
+    """The first stamp of each session that lies before the one written just before it (stamps: session_id, seq, start_ms)."""
+    from pyspark.sql import Window
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        old = list(zip(*state.get)) if state.exists else []
-        new = [(int(s), float(o)) for df in batches for s, o in zip(df["seq"], df["off"])]
-        rows = sorted(old + new)[-keep:]
-        state.update(([r[0] for r in rows], [r[1] for r in rows]))
-        yield pd.DataFrame({"user_id": [key[0]], "offset": [_robust([r[1] for r in rows])], "taps": [len(rows)]})
-
-    return taps.groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, offset double, taps long", "seqs array<long>, offs array<double>", "update", GroupStateTimeout.NoTimeout
-    )
+    before = F.lag("start_ms").over(Window.partitionBy("session_id").orderBy("seq"))
+    back = stamps.withColumn("behind_ms", before - F.col("start_ms")).where("behind_ms > 0")
+    first = back.groupBy("session_id").agg(F.min(F.struct("seq", "behind_ms")).alias("x"))
+    return first.select("session_id", F.col("x.seq").alias("seq"), F.col("x.behind_ms").cast("long").alias("behind_ms"))
 
 
 def stream_backward_alerts(stamps: DataFrame) -> DataFrame:
-    """Alert when a session writes a stamp earlier than its highest so far (stamps: session_id, seq, start_ms)."""
+    """Alert once per session, at the first stamp before the one written just before it."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        hi = state.get[0] if state.exists else None
+        last, warned = state.get if state.exists else (None, False)
         rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, t in zip(rows["seq"], rows["start_ms"]):
-            if hi is not None and t < hi:
-                out.append((key[0], int(seq), int(hi - t)))
-            hi = int(t) if hi is None else max(hi, int(t))
-        state.update((hi,))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "behind_ms"])
+        behind = rows["start_ms"].shift(fill_value=rows["start_ms"].iloc[0] if last is None else last) - rows["start_ms"]
+        back = rows.assign(behind_ms=behind)[behind > 0].head(0 if warned else 1)
+        state.update((int(rows["start_ms"].iloc[-1]), bool(warned or len(back))))
+        yield pd.DataFrame({"session_id": [key[0]] * len(back), "seq": back["seq"].astype("int64"), "behind_ms": back["behind_ms"].astype("int64")})
 
     return stamps.groupBy("session_id").applyInPandasWithState(
-        update, "session_id string, seq long, behind_ms long", "hi long", "append", GroupStateTimeout.NoTimeout
+        update, "session_id string, seq long, behind_ms long", "last long, warned boolean", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -147,11 +143,13 @@ def ingest_batch(batch: DataFrame, pool_path: str, *, max_bits: int = 6) -> None
     fresh = batch.dropDuplicates(["asset_id"])
     try:
         pool = spark.read.parquet(pool_path)
-    except Exception:  # the first batch finds no pool
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no pool; any other failure is one
+            raise
         pool = None
     if pool is not None:
         fresh = fresh.join(pool.select("asset_id"), "asset_id", "left_anti")
-        known = pool.select(F.lit(-1).cast("long").alias("asset_id"), "ahash").distinct()
+        known = pool.select(F.lit(-(1 << 63)).cast("long").alias("asset_id"), "ahash").distinct()  # before every other id
         ranked = known.unionByName(fresh.select("asset_id", "ahash"))
         fresh = fresh.join(near_duplicates(ranked, max_bits=max_bits), "asset_id", "left_anti")
     else:
