@@ -67,25 +67,6 @@ def robust_mean(df: DataFrame, *, by: Sequence[str], value: str, name: str = "ro
     return s.groupBy(*by).agg((F.sum(F.col("v") * copies) / F.sum(copies)).alias(name))
 
 
-def robust_of(dist: Column) -> Column:
-    """The same mean of one array of (v, n): distinct values, ascending, and how often each occurs."""
-
-    def ranked(d: Column) -> Column:
-        return F.transform(d, lambda x, i: F.struct(x["v"].alias("v"), x["n"].alias("n"), F.aggregate(F.slice(d, 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("upto")))
-
-    def amount(d: Column) -> Column:
-        return F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-
-    total = amount(dist)
-    at = lambda share: F.filter(ranked(dist), lambda x: x["upto"] > F.floor(total * share / 4))[0]["v"]
-    low, high = at(1), at(3)
-    kept = F.filter(dist, lambda x: (total < 4) | x["v"].between(low - 1.5 * (high - low), high + 1.5 * (high - low)))
-    left = amount(kept)
-    trim = F.floor(left / 10)
-    used = F.transform(ranked(kept), lambda x: F.struct(x["v"].alias("v"), F.greatest(F.lit(0), F.least(x["upto"], left - trim) - F.greatest(x["upto"] - x["n"], trim)).cast("long").alias("n")))
-    return F.aggregate(used, F.lit(0.0), lambda a, x: a + x["v"] * x["n"]) / amount(used)
-
-
 # ------------------------------------------------------------------ project statistics and audits
 def timing_stats(chars: DataFrame) -> DataFrame:
     """Per track: lines with timing work, characters, stamps, checkpoints, finished lines and their share."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verseline.operators.matching import near_duplicates
-from verseline.operators.stats import robust_mean, robust_of
+from verseline.operators.stats import robust_mean
 
 EVENT_COLUMNS = ("job_id", "step_id", "state", "progress", "ts", "seq")
 
@@ -101,13 +101,16 @@ def stream_tap_calibration(taps: DataFrame) -> DataFrame:
         counts = known.add(new, fill_value=0).astype("int64").sort_index()
         values, n = [float(v) for v in counts.index], [int(c) for c in counts]
         state.update((values, n))
-        yield pd.DataFrame({"user_id": [key[0]], "values": [values], "counts": [n]})
-
-    seen = taps.groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, values array<double>, counts array<long>", "values array<double>, counts array<long>", "update", GroupStateTimeout.NoTimeout
+        taps = pd.Series(values).repeat(n).reset_index(drop=True)
+        if len(taps) > 3:
+            spread = taps[len(taps) * 3 // 4] - taps[len(taps) // 4]
+            taps = taps[taps.between(taps[len(taps) // 4] - 1.5 * spread, taps[len(taps) * 3 // 4] + 1.5 * spread)]
+        inner = taps.iloc[len(taps) // 10 : len(taps) - len(taps) // 10]
+        yield pd.DataFrame({"user_id": [key[0]], "offset": [float(inner.mean())], "taps": [sum(n)]})
+
+    return taps.groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, offset double, taps long", "values array<double>, counts array<long>", "update", GroupStateTimeout.NoTimeout
     )
-    dist = F.zip_with("values", "counts", lambda v, n: F.struct(v.alias("v"), n.alias("n")))
-    return seen.select("user_id", robust_of(dist).alias("offset"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("taps"))
 
 
 def backward_alerts(stamps: DataFrame) -> DataFrame:
