@@ -174,3 +174,38 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(ids) == [100 * k for k in range(12)]
     assert sorted(r.doc_id for r in kept.collect() if (r.doc_id or 0) in (1, 2)) == [1, 2]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def edited(shape, words, share, fresh):
+    """A copy with that share of words appended, cut at the end, or replaced here and there."""
+    n = int(len(words) * share)
+    if shape == "appended":
+        return words + [next(fresh) for _ in range(n)]
+    if shape == "cut":
+        return words[: len(words) - n]
+    copy = list(words)
+    for i in random.sample(range(len(words)), max(1, n // 9)):
+        copy[i] = next(fresh)
+    return copy
+
+
+@pytest.mark.parametrize("bucket", [4000, 12])
+def test_near_documents_are_the_pairs_of_four_fifths(spark, bucket):
+    """Whatever the edit's shape, on both sides of 0.8; the small bucket cuts every hot one."""
+    random.seed(4)
+    fresh = (f"w{i}" for i in range(10**7))
+    rows = []
+    for k in range(60):
+        base = [next(fresh) for _ in range(random.randint(6, 250))]
+        rows += [base, *[edited(shape, base, random.uniform(0.1, 0.26), fresh) for shape in ("appended", "cut", "scattered")]]
+    base = [next(fresh) for _ in range(200)]
+    rows += [edited("scattered", base, 0.1, fresh) for _ in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    want = closure(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert 70 < len(set(want)) < 240
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    near = simhash.near_documents(docs, bucket=bucket).join(simhash.document_keys(docs).select("doc_id", "key", "key2"), ["key", "key2"])
+    groups = {}
+    for r in near.collect():
+        groups.setdefault(r.component, []).append(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted([i for i, w in enumerate(want) if w == g] for g in set(want))

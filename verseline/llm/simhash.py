@@ -27,6 +27,8 @@ from verseline.llm.common import batches, checkpointed, document_columns, field,
 from verseline.llm.components import components
 
 BITS = 64
+#: Bits in which linked fingerprints may differ if nothing else is said.
+WORD_TAU = 4
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -240,36 +242,157 @@ def near_components(rows: DataFrame, tau: int = 2) -> DataFrame:
     return labelled.join(first, "component").select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicate documents: bits of the two word fingerprints in which candidates may differ, of the 512-bit fingerprint of five-word shingles
-#: in which links may differ. Shingle sets of Jaccard similarity 0.8 differ in 78 of 512 bits on average, 8 is the standard deviation.
-WORD_TAU, WIDE_TAU, WIDE_SEEDS = 4, 96, (42, 1, 2, 3, 4, 5, 6, 7)
+#: Near-duplicate documents: texts whose sets of five-word shingles have a Jaccard similarity of 4/5 at least. Fingerprints of such sets differ in
+#: 9.8 of 64 bits on average, too many for the pigeonhole, so candidates are those that share all minima of one band: a pair at 0.8 shares none of
+#: the 24 with a probability of 7e-5, and fewer than 73 of the 120 minima with one of 1e-6, whatever the edit's shape.
+ROWS, BANDS, AGREE = 5, 24, 73
+_DRAWN = np.random.default_rng(20_241).integers(0, 1 << 63, (2, ROWS * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def near_documents(docs: DataFrame, shingle: int = 5, wide_tau: int = WIDE_TAU) -> DataFrame:
+def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    starts = offsets_of([len(w) + 1 for w in words])
+    lo, hi = starts[:n].tolist(), (starts[min(shingle, len(words)) :] - 1).tolist()
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(lo, hi)], dtype="<u8"))
+
+
+def _minima(h: np.ndarray) -> np.ndarray:
+    out = np.full(ROWS * BANDS, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(h), 4096):
+        v = (h[None, i : i + 4096] ^ _DRAWN[0][:, None]) * _DRAWN[1][:, None]
+        out = np.minimum(out, (v ^ (v >> np.uint64(32))).min(axis=1))
+    return out
+
+
+def _bands(m: np.ndarray) -> np.ndarray:
+    """One key per band, from its number and its minima."""
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in m.reshape(BANDS, ROWS).T:
+        out = _again(out ^ column, 3)
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Jaccard similarity of 4/5 at least, of sorted distinct hashes."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * shared >= 4 * (len(x) + len(y) - shared)
+
+
+def _nearest(own: list[dict], most: int) -> Iterator[tuple[int, int, bool]]:
+    """(a, b, capped): for every node its ``most`` best candidates of other components; ``capped`` where there are more."""
+    nodes, label = np.array([r["node"] for r in own], dtype=np.int64), np.array([r["component"] for r in own], dtype=np.int64)
+    sig = np.array([np.frombuffer(r["sig"], dtype=np.uint8) for r in own])
+    for i in range(len(own)):
+        other = np.nonzero(label != label[i])[0]
+        agree = (sig[other] == sig[i]).sum(axis=1)
+        good = np.nonzero(agree >= AGREE)[0]
+        if len(good):
+            chosen = good[np.lexsort((nodes[other[good]], -agree[good]))[:most]]
+            for j in other[chosen].tolist():
+                yield min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])), len(good) > most
+
+
+def _cells(met: DataFrame, labels: DataFrame, bucket: int) -> DataFrame:
+    """(own) groups in which all pairs of one band key and different components meet; a group has about ``bucket`` members at most.
+
+    Larger buckets are cut in pieces: the members of their largest component need no pairs among themselves, so a piece of them meets every
+    piece of the others only.
+    """
+    rows = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by = rows.groupBy("band", "component").agg(F.count("*").alias("k"))
+    sizes = by.groupBy("band").agg(F.sum("k").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("top")).where("kinds > 1")
+    half = max(1, bucket // 2)
+    cut = F.col("n") > bucket
+    sizes = sizes.select("band", F.col("top.component").alias("top"), cut.alias("cut"), F.ceil((F.col("n") - F.col("top.k")) / half).cast("int").alias("rest"), F.ceil(F.col("top.k") / half).cast("int").alias("tops"))
+    rows = rows.join(sizes, "band")
+    piece = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    name = lambda i, kind, k: F.concat(i.cast("string"), F.lit(kind), k.cast("string"))
+    i, k = piece(F.col("rest")), piece(F.col("tops"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rest = F.concat(F.transform(upto("rest"), lambda j: name(F.least(i, j), "r", F.greatest(i, j))), F.transform(upto("tops"), lambda j: name(i, "x", j)))
+    cell = F.when(~F.col("cut"), F.array(F.lit(""))).when(F.col("component") == F.col("top"), F.transform(upto("rest"), lambda j: name(j, "x", k))).otherwise(rest)
+    return rows.select("band", "node", "sig", "component", F.explode(cell).alias("cell")).groupBy("band", "cell").agg(F.collect_list(F.struct("node", "sig", "component")).alias("own")).select("own")
+
+
+def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000) -> DataFrame:
     """(key, key2, component): rows of ``docs`` by the hashes of ``document_keys`` and the component of near-duplicate texts.
 
-    Texts with equal words are one node. Candidates differ in at most ``WORD_TAU`` bits in one of two 64-bit fingerprints of the words, which a
-    few edits hardly move; links also agree in the 512-bit SimHash of the word shingles up to ``wide_tau`` bits.
+    Texts with equal words are one node. Candidates share the minima of a band, and every link is verified by the exact Jaccard similarity of the
+    shingle sets (64-bit hashes). Every node is first compared with the smallest node of its buckets, then with its best candidates in other
+    components, eight times as many in each round, until no candidate pair of different components is left: linked texts are never compared
+    again, so a large group of near copies costs no square of its size, unless its texts are no links of each other.
     """
     batches(docs.sparkSession)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            nodes, one, two, wide = [], [], [], []
+            nodes, bands, sigs = [], [], []
             for t in p.column(2):
                 words = t.as_py().encode("utf-8", "replace").lower().split()
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                a, b = _simhash(words, 1, (42, 1)).tolist()
-                one.append(a)
-                two.append(b)
-                wide.append(_simhash(words, shingle, WIDE_SEEDS).tobytes())
-            longs = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (nodes, one, two)]
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), *longs, pa.array(wide, pa.binary())], ["key", "key2", "node", "one", "two", "wide"])
-
-    rows = checkpointed(document_keys(docs).select("key", "key2", "text").mapInArrow(run, "key long, key2 long, node long, one long, two long, wide binary"))
+                m = _minima(shingle_set(words, shingle)) if len(words) > shingle else None  # shorter ones have one shingle: no partner
+                bands.append([] if m is None else _bands(m).view(np.int64))
+                sigs.append(None if m is None else (m & np.uint64(255)).astype(np.uint8).tobytes())
+            node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), node, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["key", "key2", "node", "bands", "sig"])
+
+    def sets_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            made = [shingle_set(t.as_py().encode("utf-8", "replace").lower().split(), shingle).tobytes() for t in p.column(1)]
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(made, pa.binary())], ["node", "hashes"])
+
+    def hubs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            a, b, sa, sb = (p.column(i).to_pylist() for i in range(4))
+            agree = [int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(sa, sb)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())], ["a", "b", "agree"])
+
+    def cross(most: int):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p in parts:
+                for v in p.column(0):
+                    got = list(_nearest(v.as_py(), most))
+                    for i in range(0, len(got), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[i : i + (1 << 16)]), (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "capped"])
+
+        return run
+
+    def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            yes = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(p.column(2), p.column(3))]
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    texts = document_keys(docs)
+    rows = checkpointed(texts.select("key", "key2", "text").mapInArrow(sketch, "key long, key2 long, node long, bands array<long>, sig binary"))
     nodes = rows.dropDuplicates(["node"])
-    edges = [links(nodes.select("node", F.col(c).alias("fp"), "wide"), WORD_TAU, bucket=8000, wide_tau=wide_tau, key_cost=1000.0) for c in ("one", "two")]
-    stars = components(edges[0].unionByName(edges[1]))
+    keyed = nodes.select("node", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
+    met = checkpointed(keyed.join(shared, "band").join(nodes.select("node", "sig"), "node"))
+    needed = met.select("node").distinct().join(nodes.select("node", "key", "key2"), "node")
+    wanted = texts.select("key", "key2", "text").join(needed, ["key", "key2"]).dropDuplicates(["node"]).select("node", "text")
+    sets = checkpointed(wanted.mapInArrow(sets_of, "node long, hashes binary"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        return checkpointed(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+
+    pairs = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "sig").distinct()
+    hub_sigs = nodes.select(F.col("node").alias("a"), F.col("sig").alias("hub_sig")).join(met.select(F.col("hub").alias("a")).distinct(), "a", "left_semi")
+    pairs = pairs.join(hub_sigs, "a").select("a", "b", "sig", "hub_sig").mapInArrow(hubs, "a long, b long, agree int").where(F.col("agree") >= AGREE)
+    tried = checkpointed(pairs.groupBy("b").agg(F.max(F.struct("agree", "a"))["a"].alias("a")).select("a", "b"))
+    edges, most, more = verified(tried), 1, True
+    stars = components(edges)
+    while more:
+        now = checkpointed(_cells(met, stars, bucket).mapInArrow(cross(most), "a long, b long, capped boolean").groupBy("a", "b").agg(F.max("capped").alias("capped")))
+        more = not now.where("capped").isEmpty()
+        new = checkpointed(now.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            edges, tried = edges.unionByName(verified(new)), tried.unionByName(new)
+            stars = components(edges)
+        most *= 8
     return rows.join(stars, "node", "left").select("key", "key2", F.coalesce("component", "node").alias("component"))
 
 
