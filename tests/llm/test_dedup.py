@@ -209,3 +209,9 @@ def test_near_documents_are_the_pairs_of_four_fifths(spark, bucket):
     for r in near.collect():
         groups.setdefault(r.component, []).append(r.doc_id)
     assert sorted(map(sorted, groups.values())) == sorted([i for i, w in enumerate(want) if w == g] for g in set(want))
+
+
+def test_links_end_for_many_nodes_of_one_fingerprint(spark):
+    df = spark.createDataFrame([(i, 5 if i < 60 else 7 if i < 80 else -1) for i in range(90)], "node long, fp long")
+    got = {r.node: r.component for r in components.components(simhash.links(df, 4, bucket=8)).collect()}
+    assert got == {i: 0 if i < 80 else 80 for i in range(90)}

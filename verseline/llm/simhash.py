@@ -163,7 +163,7 @@ def _finer(mask: int, tau: int) -> list[int]:
     return [mask | sum(1 << b for b in free[k :: tau + 1]) for k in range(tau + 1)]
 
 
-def _forest(fps: np.ndarray, tau: int, wide: np.ndarray | None = None, wide_tau: int | None = None) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among these fingerprints."""
     root = list(range(len(fps)))
 
@@ -175,10 +175,7 @@ def _forest(fps: np.ndarray, tau: int, wide: np.ndarray | None = None, wide_tau:
 
     out = []
     for i in range(len(fps) - 1):
-        near = np.nonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= tau)[0]
-        if wide is not None and len(near):
-            near = near[np.bitwise_count(wide[i + 1 + near] ^ wide[i]).sum(axis=1) <= wide_tau]
-        for j in near.tolist():
+        for j in np.nonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= tau)[0].tolist():
             a, b = find(i), find(i + 1 + j)
             if a != b:
                 root[b] = a
@@ -186,14 +183,18 @@ def _forest(fps: np.ndarray, tau: int, wide: np.ndarray | None = None, wide_tau:
     return out
 
 
-def links(nodes: DataFrame, tau: int, bucket: int = 2000, wide_tau: int | None = None, key_cost: float = 40.0) -> DataFrame:
-    """(a, b) edges between nodes whose components are those of all links.
+def links(nodes: DataFrame, tau: int = WORD_TAU, bucket: int = 2000, key_cost: float = 40.0) -> DataFrame:
+    """(a, b) edges between nodes (node, fp) whose components are those of all links.
 
-    ``nodes`` has (node, fp) and, with ``wide_tau``, ``wide``: a longer fingerprint (binary) that a link must also match in all but that many bits.
+    Nodes of one fingerprint are linked to the smallest of them, which alone goes on. A bucket whose mask leaves at most ``tau`` bits free
+    holds links only and is closed the same way, so splitting always ends.
     """
     spark = nodes.sparkSession
-    masks = plan(nodes.select("fp").distinct(), tau, key_cost=key_cost)
-    cols = [c for c in ("node", "fp", "wide") if c in nodes.columns]
+    same = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    found = nodes.join(same, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    nodes = checkpointed(same.select(F.col("first").alias("node"), "fp"))
+    masks = plan(nodes.select("fp"), tau, key_cost=key_cost)
+    cols = ["node", "fp"]
 
     def keyed(rows: DataFrame, choose) -> DataFrame:
         return rows.select(*cols, F.explode(choose).alias("mask")).withColumn("held", F.col("fp").bitwiseAND(F.col("mask")))
@@ -206,20 +207,19 @@ def links(nodes: DataFrame, tau: int, bucket: int = 2000, wide_tau: int | None =
             a, b = [], []
             for v in p.column(0):
                 own = sorted(v.as_py(), key=lambda r: r["node"])
-                fps = np.array([r["fp"] for r in own], dtype=np.int64).view(np.uint64)
-                wide = np.array([np.frombuffer(r["wide"], dtype="<u8") for r in own]) if wide_tau is not None else None
-                for i, j in _forest(fps, tau, wide, wide_tau):
+                for i, j in _forest(np.array([r["fp"] for r in own], dtype=np.int64).view(np.uint64), tau):
                     a.append(own[i]["node"])
                     b.append(own[j]["node"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows, found = keyed(nodes, literal(masks)), None
+    rows = keyed(nodes, literal(masks))
     while True:
-        sizes = rows.groupBy("mask", "held").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = rows.groupBy("mask", "held").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
         met = rows.join(sizes, ["mask", "held"])
-        done = (F.col("n") <= bucket) | (F.col("mask") == -1)  # -1: one fingerprint, no bit left to split by
-        small = met.where(done).groupBy("mask", "held").agg(F.collect_list(F.struct(*cols)).alias("own")).select("own").mapInArrow(verify, "a long, b long")
-        found = small if found is None else found.unionByName(small)
+        near = F.bit_count("mask") >= BITS - tau
+        done = (F.col("n") <= bucket) | near
+        small = met.where(done & ~near).groupBy("mask", "held").agg(F.collect_list(F.struct(*cols)).alias("own")).select("own").mapInArrow(verify, "a long, b long")
+        found = found.unionByName(small).unionByName(met.where(near & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b")))
         hot = [r["mask"] for r in sizes.where(~done).select("mask").distinct().collect()]  # as many as there are masks at most
         if not hot:
             return found
