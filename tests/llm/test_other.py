@@ -98,6 +98,17 @@ def test_tool_calls_link_order_and_validate(spark):
     assert toolcalls.link(toolcalls.extract(df.limit(0)), tools).count() == 0
 
 
+def test_long_chains_are_ordered_and_only_cycles_are_cycles(spark):
+    chain = call(*[(f"c{i:02}", "f", {}, [f"c{i - 1:02}"] if i else []) for i in reversed(range(40))])
+    later = [(2, i, "assistant", call((f"p{i}", "f", {}, [f"p{i + 1}"]))) for i in range(4)]
+    knot = [("a", "f", {}, ["b"]), ("b", "f", {}, ["a"]), ("m", "f", {}, ["b"]), ("x", "f", {}, ["m", "y"]), ("y", "f", {}, ["x"]), ("z", "f", {}, ["y"]), ("s", "f", {}, ["s"]), ("u", "f", {}, ["z", "s"])]
+    df = spark.createDataFrame([(1, 3, "assistant", chain), *later, (3, 1, "assistant", call(*knot))], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.call_id): (r.status, r.order_turn, r.order_hop) for r in toolcalls.link(toolcalls.extract(df), {}).collect()}
+    assert [got[1, f"c{i:02}"] for i in range(40)] == [("unanswered", 3, i) for i in range(40)]
+    assert [got[2, f"p{i}"] for i in range(4)] == [("unanswered", 3, 3 - i) for i in range(4)]
+    assert {k[1]: v for k, v in got.items() if k[0] == 3} == {**{c: ("cycle", 1, 0) for c in "abxys"}, "m": ("unanswered", 1, 1), "z": ("unanswered", 1, 1), "u": ("unanswered", 1, 2)}
+
+
 def test_conversation_query_matches_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     turns = {(r.conv_id, r.turn): r for r in rows}

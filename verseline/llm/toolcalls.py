@@ -8,8 +8,8 @@ without a fraction).
 message, and an object with ``tool_call_id`` and ``content`` in a message of role ``tool``. Other messages stay as they are.
 
 Order: a call comes at the turn it stands in; one that depends on a call further down comes right after it (``hop`` counts such moves), and every
-result right after its call. Only calls out of order are moved, in rounds of joins over the edges; one still moving after ``rounds`` rounds is on a
-cycle (or a chain out of order that is longer than that) and gets status ``cycle``, at its own place. Sorting by (conv_id, order_turn, order_hop,
+result right after its call. Calls out of order are moved by joins over the edges until nothing changes, however long the chain. A call that
+depends on itself through others gets status ``cycle``, at its own place; one that merely follows a cycle does not. Sorting by (conv_id, order_turn, order_hop,
 call_id, part) gives the order; no conversation is gathered, so one that holds a third of all rows is no hot group.
 
 Status: ``linked``, ``unanswered`` (a call without result), ``orphan`` (a result without call), ``repeated`` (the id was used before in the
@@ -123,32 +123,82 @@ def extract(messages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, EVENT)
 
 
-def _order(calls: DataFrame, rounds: int) -> DataFrame:
-    """(conv_id, call_id, order_turn, order_hop, cycle) of counted calls: a call comes after what it depends on."""
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("parent"))
-    place = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(-(1 << 62))).alias("t"), F.lit(0).alias("hop"))
-    known = place.select("conv_id", F.col("call_id").alias("parent"), F.col("t").alias("pt"))
-    edges = edges.join(known, ["conv_id", "parent"])
-    late = checkpointed(edges.join(place, ["conv_id", "call_id"]).select("conv_id", "call_id", "parent", "t", "pt"))
-    # only calls that depend on a later, or equal, turn can move, and then those that depend on them
-    moved = checkpointed(place.where(F.lit(False)))
-    for _ in range(rounds + 1):
-        now = moved.select("conv_id", F.col("call_id").alias("parent"), F.col("t").alias("mt"), F.col("hop").alias("mh"))
-        reach = late.join(now, ["conv_id", "parent"], "left").select("conv_id", "call_id", "t", F.struct(F.coalesce("mt", "pt").alias("t"), (F.coalesce("mh", F.lit(0)) + 1).alias("hop")).alias("p"))
-        best = reach.groupBy("conv_id", "call_id").agg(F.first("t").alias("own"), F.max("p").alias("p")).where("p.t >= own").select("conv_id", "call_id", F.col("p.t").alias("t"), F.col("p.hop").alias("hop"))
-        best = checkpointed(best)
-        changed = best.join(moved.withColumnsRenamed({"t": "old", "hop": "old_hop"}), ["conv_id", "call_id"], "left").where("old is null or old <> t or old_hop <> hop")
-        last, moved = changed, best
-        if changed.isEmpty():
+NODE, PARENT = ["conv_id", "call_id"], ["conv_id", "parent"]
+
+
+def _as_parent(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("call_id", "parent")
+
+
+def _turns(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at) of calls that depend, through others too, on a later turn than their own: the latest such turn."""
+    late = edges.groupBy(*NODE).agg(F.max("pt").alias("at"), F.first("t").alias("t")).where("at > t").select(*NODE, "at")
+    raised = new = checkpointed(late)
+    while not new.isEmpty():
+        up = edges.join(_as_parent(new), PARENT).groupBy(*NODE).agg(F.max("at").alias("up"), F.first("t").alias("t"))
+        new = checkpointed(up.join(raised, NODE, "left").where(F.col("up") > F.greatest(F.coalesce("at", "t"), "t")).select(*NODE, F.col("up").alias("at")))
+        raised = checkpointed(raised.unionByName(new).groupBy(*NODE).agg(F.max("at").alias("at")))
+    return raised
+
+
+def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, call_id, hop) by the longest path of edges that lead to a call, and the edges never peeled: into cycles and what follows them."""
+    hops, hop = edges.select(*NODE, F.lit(0).alias("hop")).where(F.lit(False)), 0
+    now = checkpointed(edges.select(*NODE, "parent"))
+    n = now.count()
+    while n:
+        left = checkpointed(now.join(_as_parent(now.select(*NODE).distinct()), PARENT, "left_semi"))
+        hop, m = hop + 1, left.count()
+        if m == n:
             break
-    cyclic = last.select("conv_id", "call_id", F.lit(True).alias("cycle"))
-    m = moved.withColumnsRenamed({"t": "mt", "hop": "mh"})
-    out = place.join(m, ["conv_id", "call_id"], "left").join(cyclic, ["conv_id", "call_id"], "left")
-    cycle = F.coalesce("cycle", F.lit(False))
-    return out.select("conv_id", "call_id", F.when(cycle, F.col("t")).otherwise(F.coalesce("mt", "t")).alias("order_turn"), F.when(cycle, F.lit(0)).otherwise(F.coalesce("mh", F.lit(0))).alias("order_hop"), cycle.alias("cycle"))
+        hops = checkpointed(hops.unionByName(now.join(left, NODE, "left_anti").select(*NODE).distinct().withColumn("hop", F.lit(hop))))
+        now, n = left, m
+    return hops, now
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id) of the calls that reach themselves: every call takes the largest id among those it depends on, and those that the
+    call of that id depends on in turn, among calls of the same id, are in one cycle with it; the rest goes on without them."""
+    found = edges.select(*NODE).where(F.lit(False))
+    while not edges.isEmpty():
+        own = edges.select(*NODE).unionByName(edges.select("conv_id", F.col("parent").alias("call_id"))).distinct()
+        colour, changed = checkpointed(own.withColumn("c", F.col("call_id"))), True
+        while changed:
+            up = edges.join(_as_parent(colour), PARENT).groupBy(*NODE).agg(F.max("c").alias("up"))
+            now = checkpointed(colour.join(up, NODE, "left").select(*NODE, F.greatest("c", F.coalesce("up", "c")).alias("c"), (F.coalesce("up", "c") > F.col("c")).alias("moved")))
+            colour, changed = now.drop("moved"), not now.where("moved").isEmpty()
+        alike = checkpointed(edges.join(colour, NODE).join(_as_parent(colour).withColumnRenamed("c", "pc"), PARENT).where("c = pc").select(*NODE, "parent"))
+        roots = colour.where("c = call_id").select(*NODE)
+        on, new = found.where(F.lit(False)), roots
+        while not new.isEmpty():
+            new = checkpointed(alike.join(new, NODE).select("conv_id", F.col("parent").alias("call_id")).distinct().join(on, NODE, "left_anti"))
+            on = checkpointed(on.unionByName(new))
+        found, gone = checkpointed(found.unionByName(on)), on.unionByName(roots).distinct()
+        edges = checkpointed(edges.join(gone, NODE, "left_anti").join(_as_parent(gone), PARENT, "left_anti").select(*NODE, "parent"))
+    return found
+
+
+def _order(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, order_turn, order_hop, cycle) of counted calls: a call comes after what it depends on."""
+    links = calls.select(*NODE, F.explode(F.array_distinct("depends_on")).alias("parent"))
+    place = calls.select(*NODE, F.coalesce("turn", F.lit(-(1 << 62))).alias("t"))
+    edges = checkpointed(links.join(_as_parent(place).withColumnRenamed("t", "pt"), PARENT).join(place, NODE).select(*NODE, "parent", "t", "pt"))
+
+    def placed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        raised = _turns(edges)
+        at = edges.join(raised, NODE, "left").join(_as_parent(raised).withColumnRenamed("at", "pat"), PARENT, "left")
+        # only calls that end up in the turn of one they depend on have to come after it; a cycle holds such edges only
+        return (raised, *_peel(at.where(F.coalesce("at", "t") == F.coalesce("pat", "pt"))))
+
+    raised, hops, left = placed(edges)
+    cyclic = _cyclic(left)
+    if not cyclic.isEmpty():  # these stay at their own places; others come after them
+        raised, hops, _ = placed(edges.join(cyclic, NODE, "left_anti"))
+    out = place.join(raised, NODE, "left").join(hops, NODE, "left").join(cyclic.withColumn("cycle", F.lit(True)), NODE, "left")
+    return out.select(*NODE, F.coalesce("at", "t").alias("order_turn"), F.coalesce("hop", F.lit(0)).alias("order_hop"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
 
 
-def link(events: DataFrame, tools: dict[str, dict], rounds: int = 16) -> DataFrame:
+def link(events: DataFrame, tools: dict[str, dict]) -> DataFrame:
     """(conv_id, turn, part, call_id, status, order_turn, order_hop, valid, errors, json) of every event; ``tools``: schema by name."""
     batches(events.sparkSession)
     events = checkpointed(events.withColumn("row", F.monotonically_increasing_id()))
@@ -158,7 +208,7 @@ def link(events: DataFrame, tools: dict[str, dict], rounds: int = 16) -> DataFra
     named = named.join(uses, "row", "left").withColumn("counts", F.coalesce("counts", F.lit(False)))
     calls, results = named.where("part = 'call'"), named.where("part = 'result'")
     counted, answers = checkpointed(calls.where("counts")), results.where("counts")
-    order = _order(counted, rounds)
+    order = _order(counted)
     partner = answers.select("conv_id", "call_id", F.lit(True).alias("answered"), F.col("turn").alias("answer_turn"))
     linked_calls = counted.join(partner, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
     linked_calls = linked_calls.withColumn("status", F.when(F.coalesce("cycle", F.lit(False)), F.lit("cycle")).when(F.col("answered"), F.lit("linked")).otherwise(F.lit("unanswered")))
