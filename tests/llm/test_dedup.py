@@ -215,3 +215,13 @@ def test_links_end_for_many_nodes_of_one_fingerprint(spark):
     df = spark.createDataFrame([(i, 5 if i < 60 else 7 if i < 80 else -1) for i in range(90)], "node long, fp long")
     got = {r.node: r.component for r in components.components(simhash.links(df, 4, bucket=8)).collect()}
     assert got == {i: 0 if i < 80 else 80 for i in range(90)}
+
+
+def test_documents_under_four_fifths_stay(spark):
+    """Five single edits in 200 words: a similarity of 171 / 221."""
+    rows = []
+    for k in range(40):
+        base = [f"v{k}x{i}" for i in range(200)]
+        rows += [base, [f"e{k}x{i}" if i % 40 == 20 else w for i, w in enumerate(base)]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(80))
