@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import decontaminate, katz, packing, secrets, simhash, suffix_dedup, tokenbin, toolcalls, topk, toxicity
+from verseline.llm import collocations, decontaminate, katz, packing, secrets, simhash, suffix_dedup, tokenbin, toolcalls, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,41 @@ def conversation_events(messages):
 def op7_tool_calls(spark, sf_dir):
     """Linked, ordered, validated and serialised events of every conversation."""
     return toolcalls.link(conversation_events(table(spark, sf_dir, "conversations")), {"answer": ANSWER})
+
+
+@query("""
+with pieces as (
+  select coalesce(lang, 'und') as lang, doc_id, string_split_regex(piece, '[ \\t]+') as ws
+  from (select lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents)
+), words as (
+  select lang, list_filter(ws, lambda w: w <> '') as ws from pieces
+), grams as (
+  select lang, k as size, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+  from words, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k
+), counts as (
+  select lang, size, phrase, count(*) as n from grams group by all
+), totals as (
+  select lang, sum(n)::bigint as total from counts where size = 1 group by lang
+), cand as (
+  select lang, size, phrase, n as a, string_split(phrase, ' ') as w from counts where size > 1 and n >= 30
+), cuts as (
+  select lang, phrase, size, a, k, array_to_string(w[1:k], ' ') as lp, array_to_string(w[k + 1:size], ' ') as rp
+  from (select *, unnest(range(1, size)) as k from cand)
+), scored as (
+  select c.lang, c.phrase, c.a, c.k, l.n as l, r.n as r, ((2000000::hugeint * c.a) // (l.n + r.n))::bigint as score
+  from cuts c join counts l on l.lang = c.lang and l.phrase = c.lp join counts r on r.lang = c.lang and r.phrase = c.rp
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as outer_a
+  from (select lang, a, w, size, m, unnest(range(1, size - m + 2)) as i from (select *, unnest(range(2, size)) as m from cand where size > 2)) group by all
+), ranked as (
+  select b.lang, b.phrase, b.a, b.l, b.r, b.score, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank
+  from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase
+  where i.outer_a is null or 100::hugeint * i.outer_a < 80::hugeint * b.a
+)
+select lang, rank::bigint as rank, phrase, a, l, r, total as n, score from ranked join totals using (lang) where rank <= 2000
+""")
+def op12_collocations(spark, sf_dir):
+    """The 2,000 best phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, threshold=30, keep=2000)
