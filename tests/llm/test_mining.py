@@ -1,14 +1,16 @@
 """Operators 11 to 13 against brute force."""
 
 import collections
+import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from helpers import awkward
 
-from verseline.llm import collocations
+from verseline.llm import collocations, multi_index, structure
 
 
 def counted(docs, longest=4):
@@ -68,3 +70,144 @@ def test_summaries_keep_every_frequent_hash():
         h, n = np.unique(stream, return_counts=True)
         assert set(h[n >= 30]) <= set(s.survivors()) and s.taken < 30
         assert len(s.h) <= s.capacity and (seed or s.taken)
+
+
+def all_audits(rows):
+    """Least (cost, audit) by a plain dynamic program over (place, state), with whole strings; rows: (initial, kind)."""
+    steps = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    inf = (10**9, "~")
+    at = {"": (0, "")}
+    for i in range(len(rows) + 1):
+        for _ in range(2 * len(rows) + 3):  # inserts
+            for s, (c, a) in list(at.items()):
+                for x in "ua":
+                    if (s, x) in steps:
+                        at[steps[s, x]] = min(at.get(steps[s, x], inf), (c + 2, a + "I"))
+        if i == len(rows):
+            break
+        c0, kind = rows[i]
+        new = {}
+
+        def put(s, label, new=new):
+            new[s] = min(new.get(s, inf), label)
+
+        for s, (c, a) in at.items():
+            put(s, (c + 3, a + "D"))
+            if kind != "b":
+                more = kind == "t"
+                if (s, c0) in steps:
+                    put(steps[s, c0], (c + more, a + "K"))
+                for x in "ua":
+                    if (s, x) in steps:
+                        put(steps[s, x], (c + 2 + more, a + "R"))
+        at = new
+    return min(at[s] for s in ("", "a") if s in at)
+
+
+def test_search_from_both_ends_equals_a_dynamic_program():
+    rng = random.Random(5)
+    for _ in range(3000):
+        rows = [(rng.choice("suuaaax"), rng.choice(["", "", "b", "t"])) for _ in range(rng.randint(0, 9))]
+        assert structure.cheapest(tuple((c, k, 1) for c, k in rows), structure.START, structure.ENDS) == all_audits(rows), rows
+
+
+def repaired_by_hand(table):
+    """The contract of operator 13, conversation by conversation."""
+    rows = collections.defaultdict(list)
+    for conv, turn, role, text in table:
+        role, text = " " if role is None else role, " " if text is None else text
+        own = rows[conv]
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        if fault:
+            own += [(turn is not None, turn or 0, role, hashlib.sha256(text.encode()).hexdigest(), text)] * (2 if fault == 3 else 1)
+    out = []
+    for conv, own in rows.items():
+        own.sort()
+        turns = [t for known, t, *_ in own if known]
+        kinds, seen = [], set()
+        for _, _, role, _, text in own:
+            words = text.strip(" \t\n\x0b\x0c\r")
+            kinds.append("blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1] not in ".!?" else "")
+            seen.add((role, text))
+        cost, audit = all_audits([(r[2][:1], {"blank": "b", "duplicate": "b", "truncated": "t", "": ""}[k]) for r, k in zip(own, kinds)])
+        lines, left = [], iter(own)
+        for letter in audit:
+            r = next(left) if letter != "I" else None
+            if letter == "D":
+                continue
+            role = r[2] if letter == "K" else "assistant" if lines and lines[-1].startswith("u") else "user"
+            lines.append(f"{role}:{'' if r is None else r[4]}")
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(own, own[1:]))
+        sha = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        out.append((conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *[kinds.count(k) for k in ("blank", "duplicate", "truncated")], illegal, cost, audit, sha))
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_structure_repair_equals_the_contract(spark, block):
+    rng = random.Random(block)
+    said = ["Yes.", "No", "Why?", "", " \x0b", "Ünd so!", "a" * 5000 + ".", None, "Yes.\n", "\x0cYes"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "user", "assistant", "tool", "", None]), rng.choice(said)) for c in [*range(60), None] for t in rng.sample([None, *range(-2, 12)], rng.randint(1, 9))]
+    rows += [(900, t, ("user", "assistant")[t % 2], f"Line {t % 400}.") for t in range(1200)]  # one conversation holds most of the rows
+    rows += [(901, 5, "user", "Same.")] * 30 + [(902, None, "user", "x"), (902, None, "assistant", "y"), (903, None, None, None), (904, 2**60 + 1, "user", "Hi."), (904, 2**60, "user", "Hi.")]
+    rows += [(c, 0, "user", "Hi.") for c in range(2000, 2060)]  # some lose their only row
+    df = spark.createDataFrame([(*r, "k", 1, "x") for r in rows], "conv_id long, turn long, role string, text string, key string, n int, audit string").repartition(9)
+    got = sorted(map(tuple, structure.digests(structure.repair(structure.damaged(df), block=block), df).collect()), key=repr)
+    assert got == sorted(repaired_by_hand(rows), key=repr)
+
+
+def test_structure_repair_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert structure.digests(structure.repair(structure.damaged(df)), df).count() == 0
+
+
+def nearest_by_hand(rows, k):
+    """Exact answer of operator 11: rows of (vec_id, vector)."""
+    rows = sorted({(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)})
+    out = []
+    for i, v in rows:
+        if i % 50 == 0:
+            own = sorted((-float(multi_index.cosine(np.array([v]), np.array([w]))[0]), j) for j, w in rows if j != i and len(w) == len(v))
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(own[:k], 1)]
+    return sorted(out)
+
+
+def test_nearest_equals_brute_force_when_all_neighbours_are_aimed_at(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 7))
+    rows = [(i, (centres[i % 6] + rng.normal(size=7) * 0.2).tolist()) for i in range(700)]
+    rows += [(1000 + i, rows[3][1]) for i in range(300)] + [(50, rows[50][1]), (100, rows[7][1]), (7, rows[7][1])]
+    rows += [(2000, [1.0]), (2001, [-3.0]), (2050, [2.0, 0.0]), (2002, [4.0, 1e-300]), (2051, [1e300, 1e300])]
+    rows += [(None, [1.0] * 7), (2100, None), (2150, [0.0] * 7), (2200, [float("nan")] * 7), (2250, [None] + [1.0] * 6), (2300, [float("inf")] * 7), (2350, [])]
+    df = spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], "vec_id long, embedding array<double>, query_id int, v string, score double").repartition(5)
+    vectors = multi_index.vectors_of(df)
+    got = multi_index.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, recall=1.0, sample=150, entry_block=64, query_block=3).collect()
+    assert sorted(map(tuple, got)) == nearest_by_hand(rows, 5)
+    none = multi_index.vectors_of(df.limit(0))
+    assert multi_index.search(none, none).count() == 0
+
+
+def test_nearest_meets_its_recall(spark):
+    vectors = multi_index.vectors_of(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    rows = [(r.vec_id, r.v) for r in vectors.collect()]
+    got = {(r.query_id, r.vec_id) for r in multi_index.search(vectors, vectors.where("vec_id % 50 = 0")).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([i for i, _ in rows])
+    want = {(int(i), int(ids[j])) for i, v in zip(ids, x) if i % 50 == 0 for j in sorted(np.nonzero(ids != i)[0], key=lambda j, v=v: -float(v @ x[j]))[:5]}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_walk_meets_cells_by_their_distance():
+    rng = np.random.default_rng(3)
+    index = multi_index.MultiIndex(rng.normal(size=(400, 9)), 16)
+    for q in rng.normal(size=(20, 9)):
+        unit = q / np.linalg.norm(q)
+        sums = [float(index.books[0].distances(unit[: index.cut])[i] + index.books[1].distances(unit[index.cut :])[j]) for i, j in index.walk(q)]
+        assert len(sums) == 256 and sums == sorted(sums)

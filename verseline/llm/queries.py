@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseline.llm import collocations, decontaminate, katz, packing, secrets, simhash, suffix_dedup, tokenbin, toolcalls, topk, toxicity
+from verseline.llm import collocations, decontaminate, katz, multi_index, packing, secrets, simhash, structure, suffix_dedup, tokenbin, toolcalls, topk, toxicity
 from verseline.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,17 @@ select lang, rank::bigint as rank, phrase, a, l, r, total as n, score from ranke
 def op12_collocations(spark, sf_dir):
     """The 2,000 best phrases of two to four words of every language."""
     return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, threshold=30, keep=2000)
+
+
+@query()
+def op13_structure_repair(spark, sf_dir):
+    """Every conversation after the contract's damage: its faults, and the cheapest edits that repair its turns."""
+    conversations = table(spark, sf_dir, "conversations")
+    return structure.digests(structure.repair(structure.damaged(conversations)), conversations)
+
+
+@query()
+def op11_nearest(spark, sf_dir):
+    """About the five nearest vectors of every vector whose id is divisible by 50, by cosine."""
+    vectors = multi_index.vectors_of(table(spark, sf_dir, "embeddings"))
+    return multi_index.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
