@@ -9,6 +9,7 @@ from verseline.functions import textnorm
 from verseline.operators import catalogue as cg
 from verseline.operators import matching as mt
 from verseline.operators import ranking as rk
+from verseline.operators import walks as wk
 from verseline.plans import bindings as b
 from verseline.plans.editing import RND2, SCORED_SQL, scored
 from verseline.plans.formats import CHARS_SQL, timed_chars
@@ -580,6 +581,48 @@ def plan_cuts(spark, sf):
     return _cut_plan(spark, sf)
 
 
+# the same bars as a walk: half a second each, forced cuts between them, a take every 24 seconds of odd tracks
+_WALK = """nodes AS (SELECT track_id, (frame_no - min(frame_no) OVER (PARTITION BY track_id)) * 500 AS t, least(value / 150, 1.0) AS energy, CASE WHEN frame_no % 58 < 29 THEN 0.75 ELSE 1.5 END AS pace FROM frames),
+fin AS (SELECT track_id, max(t) + 700 AS fin FROM nodes GROUP BY 1), forced AS (SELECT track_id, t + 130 AS t FROM nodes WHERE t % 14500 = 1500),
+takes AS (SELECT track_id, t AS t0, t + 4250 AS t1 FROM nodes WHERE track_id % 2 = 1 AND t % 24000 = 6000),
+stops AS (SELECT track_id, t FROM nodes UNION SELECT track_id, t FROM forced UNION SELECT track_id, t1 FROM takes UNION SELECT track_id, 0 FROM fin),
+a AS (SELECT s.track_id, s.t, f.fin, coalesce(n.energy, m.energy) AS energy, coalesce(n.pace, m.pace) AS pace,
+        (SELECT max(t1) FROM takes k WHERE k.track_id = s.track_id AND k.t0 <= s.t AND s.t < k.t1) AS inside, (SELECT min(t0) FROM takes k WHERE k.track_id = s.track_id AND k.t0 > s.t) AS take
+      FROM stops s JOIN fin f ON f.track_id = s.track_id ASOF LEFT JOIN nodes n ON n.track_id = s.track_id AND n.t <= s.t
+      LEFT JOIN (SELECT track_id, arg_min(energy, t) AS energy, arg_min(pace, t) AS pace FROM nodes GROUP BY 1) m ON m.track_id = s.track_id),
+w AS (SELECT *, least(t + CAST(round(greatest(1.0, 2.0 * CASE WHEN energy > 0.72 THEN 0.5 WHEN energy < 0.28 THEN 2.0 ELSE 1.0 END * pace) * 500) AS BIGINT), t + most) AS target
+      FROM (SELECT *, least(6000, coalesce(take - t, 6000)) AS most FROM a)),
+nx AS (SELECT track_id, t, CASE WHEN t >= fin - 800 THEN NULL WHEN inside IS NOT NULL THEN inside WHEN fin - nxt < 800 THEN NULL ELSE nxt END AS nxt FROM (
+  SELECT w.*, coalesce((SELECT min(f.t) FROM forced f WHERE f.track_id = w.track_id AND f.t BETWEEN w.t + 800 AND w.target + 10),
+    (SELECT arg_min(n.t, abs(n.t - w.target) * 100000000 + n.t) FROM nodes n WHERE n.track_id = w.track_id AND n.t BETWEEN w.t + 800 AND w.t + w.most), least(fin, w.t + most)) AS nxt FROM w))"""
+
+
+@query(
+    f"""WITH RECURSIVE {b.FRAMES_SQL}, {_WALK}, walk AS (SELECT track_id, CAST(0 AS BIGINT) AS t FROM fin UNION ALL SELECT w.track_id, n.nxt FROM walk w JOIN nx n ON n.track_id = w.track_id AND n.t = w.t WHERE n.nxt IS NOT NULL)
+SELECT track_id, t AS t0, coalesce(nxt, fin) AS t1 FROM walk JOIN nx USING (track_id, t) JOIN fin USING (track_id) WHERE coalesce(nxt, fin) - t > 50"""
+)
+def walk_cuts(spark, sf):
+    """The shots of a greedy walk over bars, forced cuts and takes."""
+    odd, frames = F.pmod("track_id", F.lit(2)) == 1, b.frames(spark, sf)
+    first = frames.groupBy("track_id").agg(F.min("frame_no").alias("first"))
+    nodes = frames.join(first, "track_id").select(
+        "track_id", ((F.col("frame_no") - F.col("first")) * 500).alias("t"), F.least(F.col("value") / 150, F.lit(1.0)).alias("energy"), F.when(F.pmod("frame_no", F.lit(58)) < 29, 0.75).otherwise(1.5).alias("pace"), F.lit(500).cast("long").alias("bar_ms")
+    )
+    forced = nodes.where(F.pmod("t", F.lit(14500)) == 1500).select("track_id", (F.col("t") + 130).alias("t"))
+    takes = nodes.where(odd & (F.pmod("t", F.lit(24000)) == 6000)).select("track_id", F.col("t").alias("t0"), (F.col("t") + 4250).alias("t1"))
+    ends = nodes.groupBy("track_id").agg((F.max("t") + 700).alias("end"))
+    return wk.walk_cuts(nodes, forced, takes, ends, min_shot=800, max_shot=6000)
+
+
+@query(
+    f"""WITH RECURSIVE {b.LINES_SQL}, pts AS (SELECT DISTINCT track_id, start_ms AS t FROM lines), nx AS (SELECT p.track_id, p.t, (SELECT min(q.t) FROM pts q WHERE q.track_id = p.track_id AND q.t >= p.t + 4) AS nxt FROM pts p),
+walk AS (SELECT track_id, min(t) AS t FROM pts GROUP BY 1 UNION ALL SELECT w.track_id, n.nxt FROM walk w JOIN nx n ON n.track_id = w.track_id AND n.t = w.t WHERE n.nxt IS NOT NULL) SELECT * FROM walk"""
+)
+def min_gap_pick(spark, sf):
+    """Starts of lines at least four milliseconds (hours of event time) from the one picked before."""
+    return wk.min_gap_pick(b.lines(spark, sf).select("track_id", F.col("start_ms").alias("t")), by=["track_id"], t="t", min_gap=4)
+
+
 @query(
     f"""WITH {b.FRAMES_SQL}, {_BARS}, {_CUTS}, {b.ASSETS_SQL}, sh AS (SELECT track_id, bar_no AS shot_no FROM cuts), pn AS (SELECT track_id, min(shot_no) AS shot_no, min(pinned) AS pinned FROM sh JOIN (SELECT library_id AS track_id, min(asset_id) AS pinned FROM assets GROUP BY 1) USING (track_id) GROUP BY 1),
 po AS (SELECT library_id AS track_id, asset_id, row_number() OVER (PARTITION BY library_id ORDER BY quality DESC, asset_id) AS slot, count(*) OVER (PARTITION BY library_id) AS size FROM assets a WHERE asset_id % 40 < 20 AND NOT EXISTS (SELECT 1 FROM pn WHERE pn.track_id = a.library_id AND pn.pinned = a.asset_id)),
