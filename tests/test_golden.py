@@ -18,6 +18,7 @@ from verseline.operators import stats as st
 from verseline.operators import walks as wk
 from verseline.operators import windows as wn
 from verseline.sources import corpus, dialects, writers
+from verseline.sources import singer_runs as sr
 
 
 def one(spark, *cols):
@@ -311,3 +312,36 @@ def test_best_chain_equals_brute_force(spark):
             want = heaviest([(*h, w) for h, w in g.items()], slack)
             assert sum(r[3] for r in own) == sum(r[3] for r in want), (k, own, want)
             assert all(a[0] < b[0] and a[2] < b[1] + slack for a, b in zip(own, own[1:]))
+
+
+def test_singer_runs_of_every_kind(spark):
+    html = (
+        "<style>.a{color:#111111}</style>x</font>y<span style='color:#F00'>a<span class=q>b<font color=\"rgb(0, 128, 255)\">c</font>d</span>"
+        "<br>e</span>f<font color='#abcdef'/>g<P>h<span style=\"color: #00FF00\">i &amp; j"
+    )
+    ass = (
+        "[Script Info]\nDialogue: no\n[Events]\nFormat: Layer, Start, End, Style, Name, Text\nDialogue: 0,0:0,0:1,Main,,one{\\c&H0000FF&}two{\\k5}three{\\r}four, five\\Nsix\n"
+        "Dialogue: 0,0:0,0:1,Main,Ann,hi\nComment: 0,0:0,0:1,Main,Ann,no"
+    )
+    files = [
+        (1, "html", html), (2, "ass", ass), (3, "json", '[{"singer": "A", "text": "x"}, {"text": "y"}]'), (4, "JSON", '{"parts": [{"singer": "B", "text": "z"}]}'),
+        (5, "lrc", "[ti:song]\nfirst\n[00:01.00]Ann：one\n[00:02.00]two\n[Bob] three\n【Cat】four\n(Ann)five"), (6, None, "Ann: a"),
+    ]
+    df = spark.createDataFrame(files, "file_id int, ext string, content string")
+    rows = sorted((r.file_id, r.run_no, r.line_no, r.singer_key, r.text) for r in sr.singer_runs(df, ["Ann", "Bob"]).collect())
+    got = {k: [(r[3], r[4]) for r in rows if r[0] == k] for k in range(1, 7)}
+    assert got[1] == [("none", "x"), ("none", "y"), ("#ff0000", "a"), ("#ff0000", "b"), ("#0080ff", "c"), ("#ff0000", "d"), ("#ff0000", "e"), ("none", "f"), ("none", "g"), ("none", "h"), ("#00ff00", "i & j")]
+    assert [r[2] for r in rows if r[0] == 1] == [1, 1, 1, 1, 1, 1, 2, 2, 2, 3, 3]
+    assert got[2] == [("Main", "one"), ("#ff0000", "two"), ("#ff0000", "three"), ("Main", "four, five six"), ("Ann", "hi")]
+    assert got[3] == [("A", "x"), ("none", "y")] and got[4] == [("B", "z")]
+    assert got[5] == [(None, "first"), ("Ann", "one"), ("Ann", "two"), ("Bob", "three"), ("Bob", "【Cat】four"), ("Ann", "five")] and got[6] == [("Ann", "a")]
+
+
+def test_romaji(spark):
+    rows = [
+        ("まって", None, "matte"), ("ま|っ|て", None, "ma|t|te"), ("っち", None, "cchi"), ("き|ゃー", None, "kya|a"), ("しんあい|ん", None, "shin'ai|n"), ("きっ", None, "kixtsu"),
+        ("わたし|は", [1], "watashi|wa"), ("わたし|は", None, "watashi|ha"), ("夢|ー", None, "夢|-"), ("ラーメン", None, "raamen"), ("っ|は", [1], "h|ha"), ("こんや", None, "kon'ya"), ("ヴァヂュ", None, "vaju"),
+    ]
+    df = spark.createDataFrame(rows, "parts string, particles array<int>, want string")
+    got = df.select("want", F.array_join(kana.romaji_parts(F.split("parts", r"\|"), F.col("particles")), "|").alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

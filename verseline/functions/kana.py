@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verseline.functions.textnorm import hiragana
+
 # Small kana and the long mark lean on the beat before them.
 SMALL_KANA = "ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮー"
 PAUSE = "^"
@@ -23,6 +25,76 @@ HANGUL_INITIAL = "g kk n d tt r m b pp s ss _ j jj ch k t p h".split()
 HANGUL_VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
 HANGUL_FINAL = "_ k k ks n nj nh t l lk lm lb ls lt lp lh m p ps t t ng t t k t p _".split()
 
+# The kana by rows of consonants, and the letters that leave their row's rule.
+KANA_ROWS = {
+    "": "あいうえお", "k": "かきくけこ", "g": "がぎぐげご", "s": "さしすせそ", "z": "ざじずぜぞ", "t": "たちつてと", "d": "だぢづでど", "n": "なにぬねの",
+    "h": "はひふへほ", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ", "m": "まみむめも", "r": "らりるれろ",
+}
+KANA_ODD = {
+    "し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "ゐ": "i", "ゑ": "e", "を": "o", "ん": "n",
+    "ゔ": "vu", "ぁ": "a", "ぃ": "i", "ぅ": "u", "ぇ": "e", "ぉ": "o", "ゃ": "ya", "ゅ": "yu", "ょ": "yo", "ゎ": "wa", "ゕ": "ka", "ゖ": "ke",
+}
+# Pairs with a small vowel that make one beat, and the particles that are read otherwise.
+KANA_PAIRS = (
+    "うぃ wi うぇ we うぉ wo ゔぁ va ゔぃ vi ゔぇ ve ゔぉ vo ふぁ fa ふぃ fi ふぇ fe ふぉ fo てぃ ti でぃ di とぅ tu どぅ du "
+    "しぇ she じぇ je ちぇ che つぁ tsa つぃ tsi つぇ tse つぉ tso くぁ kwa ぐぁ gwa"
+).split()
+PARTICLES = {"は": "wa", "へ": "e", "を": "o"}
+
+
+def romaji_table() -> dict[str, str]:
+    """Hepburn spelling of every kana and of every pair that is one beat."""
+    table = {k: c + v for c, row in KANA_ROWS.items() for k, v in zip(row, "aiueo")} | KANA_ODD
+    for k in "きぎしじちぢにひびぴみり":
+        stem = table[k][:-1]
+        for small, vowel in zip("ゃゅょ", "auo"):
+            table[k + small] = stem + ("" if stem in ("sh", "ch", "j") else "y") + vowel
+    return table | dict(zip(KANA_PAIRS[::2], KANA_PAIRS[1::2]))
+
+
+def romaji_parts(parts: Column, particles: Column | None = None) -> Column:
+    """Hepburn spelling of the parts of a reading, as many parts as before.
+
+    A pair that makes one beat belongs to the part of its first kana. A small tsu doubles the consonant of the next beat (``c`` before ch) or
+    is written ``xtsu`` where there is none; a long mark repeats the last vowel; n takes an apostrophe before vowels and y. ``particles``:
+    indices of parts of one kana that are read as particles. Letters that are no kana stay.
+    """
+    table = romaji_table()
+    spelt = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    pairs = "|".join(k for k in table if len(k) == 2)
+    # beats of the joined text, each with the part that its first letter lies in
+    letters = F.flatten(F.transform(parts, lambda p, i: F.transform(F.filter(F.split(hiragana(p), ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"), i.alias("i")))))
+    beats = F.regexp_extract_all(F.array_join(F.transform(letters, lambda x: x["c"]), ""), F.lit(f"({pairs}|(?s:.))"), 1)
+    own = F.transform(beats, lambda b, k: F.struct(b.alias("b"), k.alias("k")))
+    plain = lambda b: F.coalesce(F.try_element_at(spelt, b), b)
+    after = lambda k: F.coalesce(F.get(beats, k + 1), F.lit(""))
+    next_sound = lambda k: F.when(after(k).isin("っ", "ー"), "").otherwise(plain(after(k)))
+    doubled = lambda s: F.when(s.startswith("ch"), "c").when(F.lower(s).rlike(r"^[aiueon]"), "").otherwise(F.regexp_extract(F.lower(s), r"^(\p{L})", 1))
+
+    def step(state: Column, x: Column) -> Column:
+        b, k, at = x["b"], x["k"], state["at"]
+        part = F.get(letters, at)["i"]
+        single = F.length(F.get(parts, part)) == 1
+        before = F.when(k > 0, F.get(beats, k - 1)).otherwise("")
+        read = F.lit(None).cast("string")
+        if particles is not None:
+            spoken = F.try_element_at(F.create_map(*[F.lit(y) for kv in PARTICLES.items() for y in kv]), b)
+            read = F.when(F.coalesce(F.array_contains(particles, part), F.lit(False)) & single & (before != "っ"), spoken)
+        s = (
+            F.when(read.isNotNull(), read)
+            .when(b == "っ", F.when(doubled(next_sound(k)) == "", "xtsu").otherwise(doubled(next_sound(k))))
+            .when(b == "ー", F.when(state["vowel"] == "", "-").otherwise(state["vowel"]))
+            .when(b == "ん", F.when(F.lower(next_sound(k)).rlike("^[aiueoy]"), "n'").otherwise("n"))
+            .otherwise(plain(b))
+        )
+        heard = F.regexp_extract(F.lower(s), "([aiueo])[^aiueo]*$", 1)
+        vowel = F.when(b.isin("っ", "ー"), state["vowel"]).when(b == "ん", "").when(heard == "", state["vowel"]).otherwise(heard)
+        return F.struct(F.concat(state["out"], F.array(F.struct(part.alias("i"), s.alias("s")))).alias("out"), vowel.alias("vowel"), (at + F.length(b)).alias("at"))
+
+    start = F.struct(F.array().cast("array<struct<i:int,s:string>>").alias("out"), F.lit("").alias("vowel"), F.lit(0).alias("at"))
+    done = F.aggregate(own, start, step)["out"]
+    return F.transform(parts, lambda _, i: F.array_join(F.transform(F.filter(done, lambda y: y["i"] == i), lambda y: y["s"]), ""))
+
 
 def moras(text: Column) -> Column:
     """Split into beats; commas are separators and vanish."""

@@ -331,6 +331,29 @@ def kana_units(spark, sf):
     )
 
 
+# the readings' kana and pairs in Hepburn spelling
+_SPELT = (
+    "MAP {'あ': 'a', 'ゃ': 'ya', 'く': 'ku', 'ど': 'do', 'え': 'e', 'ふ': 'fu', 'げ': 'ge', 'は': 'ha', 'い': 'i', 'じ': 'ji', 'ら': 'ra', 'む': 'mu', 'お': 'o', 'ぷ': 'pu', 'き': 'ki', 'る': 'ru', 'す': 'su', 'と': 'to', "
+    "'う': 'u', 'ょ': 'yo', 'わ': 'wa', 'ゅ': 'yu', 'ざ': 'za', 'ん': 'n', 'きゃ': 'kya', 'きゅ': 'kyu', 'きょ': 'kyo', 'じゃ': 'ja', 'じゅ': 'ju', 'じょ': 'jo'}"
+)
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey, translate(lower(p_name), '{_AZ}', '{_KANA}') AS reading FROM part), u AS (SELECT *, regexp_extract_all(reading, '[きじ][ゃゅょ]|.') AS u FROM r),
+s AS (SELECT p_partkey, reading, u, list_transform(u, lambda x: {_SPELT}[x]) AS s FROM u)
+SELECT p_partkey, reading, array_to_string(list_transform(range(1, len(u) + 1), lambda k: CASE
+  WHEN u[k] = 'っ' THEN CASE WHEN k = len(u) OR u[k + 1] IN ('っ', 'ー') OR s[k + 1][1] IN ('a', 'i', 'u', 'e', 'o', 'n') THEN 'xtsu' ELSE s[k + 1][1] END
+  WHEN u[k] = 'ー' THEN coalesce(nullif(CASE WHEN (list_filter(u[1:k - 1], lambda y: y NOT IN ('っ', 'ー')))[-1] = 'ん' THEN '-' ELSE right({_SPELT}[(list_filter(u[1:k - 1], lambda y: y NOT IN ('っ', 'ー')))[-1]], 1) END, ''), '-')
+  WHEN u[k] = 'ん' THEN CASE WHEN k < len(u) AND u[k + 1] NOT IN ('っ', 'ー') AND s[k + 1][1] IN ('a', 'i', 'u', 'e', 'o', 'y') THEN 'n' || chr(39) ELSE 'n' END
+  ELSE s[k] END), '') AS romaji FROM s"""
+)
+def romaji(spark, sf):
+    """Readings in Hepburn spelling."""
+    r = F.translate(F.lower("p_name"), _AZ, _KANA)
+    p = b.table(spark, sf, "part").select("p_partkey", r.alias("reading"))
+    return p.select("p_partkey", "reading", kana.romaji_parts(F.array("reading"))[0].alias("romaji"))
+
+
 _DIG = "'零一二三四五六七八九'"
 _KD = "CASE WHEN ({v} // {p}) % 10 = 0 THEN '' ELSE CASE WHEN ({v} // {p}) % 10 = 1 AND {p} > 1 THEN '' ELSE substr(" + _DIG + ", CAST(({v} // {p}) % 10 AS INTEGER) + 1, 1) END || '{u}' END"
 

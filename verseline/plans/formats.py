@@ -8,6 +8,7 @@ from verseline.functions import timetext as tt
 from verseline.plans import bindings as b
 from verseline.plans.registry import query
 from verseline.sources import corpus, dialects, writers
+from verseline.sources import singer_runs as runs
 
 _D = "WITH " + b.DOC_LINES_SQL
 _START = b.LINE_START_SQL
@@ -281,6 +282,50 @@ def parse_singer_runs(spark, sf):
     return out.select(F.col("file_id.conv_id").alias("file_id"), F.col("file_id.turn").alias("turn"), "singer_key", "text")
 
 
+# a page whose tags stay open over lines: red from the first line of five to the fourth, blue inside the second, nothing on the fifth
+@query(
+    f"""WITH {b.DOC_LINES_SQL}, l AS (SELECT doc_id AS file_id, (line_no - 1) // 5 * 6 AS base, (line_no - 1) % 5 AS r, text FROM doc_lines WHERE text <> '')
+SELECT file_id, base + [1, 2, 4, 5, 6][r + 1] AS line_no, CASE WHEN r < 4 THEN '#ff0000' ELSE 'none' END AS singer_key, text FROM l
+UNION ALL SELECT file_id, base + 2, '#0080ff', text FROM l WHERE r = 1"""
+)
+def singer_runs(spark, sf):
+    """Coloured runs of every document written as one page."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def line(t, i):
+        r = F.pmod(i, F.lit(5))
+        return (
+            F.when(r == 0, F.concat(F.lit('<SPAN style="font-weight: bold; color: #F00">'), t, F.lit("<br>")))
+            .when(r == 1, F.concat(t, F.lit('<font color="rgb(0, 128, 255)">'), t, F.lit("</font><br/>")))
+            .when(r == 2, F.concat(F.lit('<p><span class="q">'), t, F.lit("</span></p>")))
+            .when(r == 3, F.concat(t, F.lit("</span><div>")))
+            .otherwise(F.concat(F.lit("</font>"), t, F.lit("<br>")))
+        )
+
+    html = F.array_join(F.transform(F.split(escaped, "\n"), line), "")
+    files = b.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.lit("html").alias("ext"), html.alias("content"))
+    return runs.singer_runs(files).select("file_id", "line_no", "singer_key", "text")
+
+
+@query(
+    """WITH l AS (SELECT conv_id, turn, role, unnest(string_split(replace(text, '{', '('), chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) + 3 AS line_no, role, turn, trim(t) AS t FROM l)
+SELECT conv_id AS file_id, line_no, CASE WHEN turn % 2 = 0 THEN role ELSE 'Main' END AS singer_key, t AS text FROM p WHERE t <> ''
+UNION ALL SELECT conv_id, line_no, '#ff8000', 'tail ' || turn FROM p UNION ALL SELECT conv_id, line_no, CASE WHEN turn % 2 = 0 THEN role ELSE 'Main' END, ' end, ' || turn FROM p"""
+)
+def singer_runs_ass(spark, sf):
+    """Every line of a conversation as an event: its role as name on even turns, a coloured tail, and back."""
+    conv = b.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split(F.replace("text", F.lit("{"), F.lit("(")), "\n")).alias("k", "t"))
+    name = F.when(F.pmod("turn", F.lit(2)) == 0, F.col("role")).otherwise("")
+    body = F.concat(F.trim("t"), F.lit("{\\1c&H0080FF&}tail "), F.col("turn").cast("string"), F.lit("{\\r} end, "), F.col("turn").cast("string"))
+    event = F.concat(F.lit("Dialogue: 0,0:00:01.00,0:00:02.00,Main,"), name, F.lit(",0,0,0,,"), body)
+    head = F.lit("[Script Info]\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n")
+    # a conversation is one small file
+    lines = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "k", event.alias("e")))).alias("l"))
+    files = lines.select(F.col("conv_id").alias("file_id"), F.lit("ass").alias("ext"), F.concat(head, F.array_join(F.transform("l", lambda x: x["e"]), "\n")).alias("content"))
+    return runs.singer_runs(files).select("file_id", "line_no", "singer_key", "text").where("text <> ''")
+
+
 # ---------------------------------------------------------------- sources
 @query(
     """SELECT doc_id, 'songs/' || source || '/doc_' || doc_id || '.' || ext AS path, ext,
