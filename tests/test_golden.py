@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verseline.functions import kana, scripts, textnorm
 from verseline.functions import timetext as tt
 from verseline.operators import alignment as al
+from verseline.operators import blocks as bl
 from verseline.operators import chains as ch
 from verseline.operators import cleaning as cl
 from verseline.operators import intervals as iv
@@ -345,3 +346,52 @@ def test_romaji(spark):
     df = spark.createDataFrame(rows, "parts string, particles array<int>, want string")
     got = df.select("want", F.array_join(kana.romaji_parts(F.split("parts", r"\|"), F.col("particles")), "|").alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def blocks_by_hand(est, acts, window, max_span, rounds):
+    """Alignment blocks of one track as (first line, lines, start, end)."""
+    centi = lambda x: int((x + 5) // 10 * 10)
+    known = [(i, e) for i, e in enumerate(est) if e is not None]
+    if not acts or len(known) < max(3, len(est) // 2):
+        return [(0, len(est), centi(window[0]), centi(window[1]))]
+    full = []
+    for i, e in enumerate(est):
+        lo, hi = [k for k in known if k[0] <= i], [k for k in known if k[0] >= i]
+        full.append(float(e) if e is not None else lo[-1][1] + (hi[0][1] - lo[-1][1]) * (i - lo[-1][0]) / (hi[0][0] - lo[-1][0]) if lo and hi else (lo[-1:] or hi[:1])[0][1])
+    cuts = []
+    for i in range(1, len(est)):
+        ok = [b[0] for a, b in zip(acts, acts[1:]) if a[1] >= full[i - 1] + 800 and b[0] <= full[i] + 600 and b[0] - a[1] >= 1000]
+        if ok:
+            cuts.append((i, centi(max(full[i - 1] + 800, ok[-1] - 350))))
+    firsts, bounds = [0, *[i for i, _ in cuts], len(est)], [centi(window[0]), *[t for _, t in cuts], centi(window[1])]
+    todo = [(firsts[k], firsts[k + 1] - firsts[k], bounds[k], bounds[k + 1], 0) for k in range(len(cuts) + 1)]
+    out = []
+    while todo:
+        a, n, lo, hi, depth = todo.pop()
+        if hi - lo > max_span and n > 4 and (rounds is None or depth < rounds):
+            j = max(range(a + 1, a + n), key=lambda k: full[k] - full[k - 1])
+            mid = centi(full[j] - 500)
+            todo += [(a, j - a, lo, mid, depth + 1), (j, a + n - j, mid, hi, depth + 1)]
+        else:
+            out.append((a, n, lo, hi))
+    return sorted(out)
+
+
+def test_align_blocks_equal_the_loop(spark):
+    rng = random.Random(12)
+    tracks = {}
+    for k in range(40):
+        t, est, acts = rng.randrange(5000), [], []
+        for _ in range(rng.choice([2, 5, 40])):
+            est.append(None if rng.random() < (0.9 if k == 5 else 0.2) else t)
+            acts.append((t - rng.randrange(300), t + rng.randrange(500, 2500)))
+            t += rng.choice([3000, 4000, 4000, 9000, 31_000])
+        acts = [] if k == 7 else [(a, b) for i, (a, b) in enumerate(acts) if not i or a > acts[i - 1][1]]
+        tracks[k] = est, acts, (0, t + 1234)
+    rows = [(k, i, e) for k, (est, _, _) in tracks.items() for i, e in enumerate(est)]
+    lines = spark.createDataFrame(rows, "track_id int, line_no long, est long")
+    activity = spark.createDataFrame([(k, *a) for k, t in tracks.items() for a in t[1]], "track_id int, a long, b long")
+    windows = spark.createDataFrame([(k, *t[2]) for k, t in tracks.items()], "track_id int, start_ms long, end_ms long")
+    for rounds in (1, None):
+        got = bl.align_blocks(lines, activity, windows, rounds=rounds, max_span=40_000).collect()
+        assert sorted(map(tuple, got)) == sorted((k, *b) for k, t in tracks.items() for b in blocks_by_hand(*t, 40_000, rounds))
