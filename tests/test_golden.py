@@ -395,3 +395,25 @@ def test_align_blocks_equal_the_loop(spark):
     for rounds in (1, None):
         got = bl.align_blocks(lines, activity, windows, rounds=rounds, max_span=40_000).collect()
         assert sorted(map(tuple, got)) == sorted((k, *b) for k, t in tracks.items() for b in blocks_by_hand(*t, 40_000, rounds))
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["a" + "9" * 20, "a1" + "0" * 21, "a007", "a8", "a10b2", "a10b10", "b", "a" + "9" * 19 + "8"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(textnorm.natural_key(F.col("n"))).collect()]
+    assert got == ["a007", "a8", "a10b2", "a10b10", "a" + "9" * 19 + "8", "a" + "9" * 20, "a1" + "0" * 21, "b"]
+
+
+def test_a_file_of_no_charset_keeps_its_row(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"a\xff\xfeb"))], "k int, bytes binary")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+    rows = {r.k: (r.content, r.lossy) for r in corpus.decode_corpus(df, charsets=("UTF-8",)).collect()}
+    spark.conf.unset("spark.sql.legacy.codingErrorAction")
+    assert rows[1] == ("ok", False) and rows[2][1] and rows[2][0].startswith("a") and rows[2][0].endswith("b")
+
+
+def test_joined_lines_of_empty_and_leading_lines(spark):
+    chars = spark.createDataFrame([("t", n, k, c) for n, text in ((2, "ab"), (4, "c"), (5, "d")) for k, c in enumerate(text)], "track_id string, line_no long, char_no long, ch string")
+    lines = spark.createDataFrame([("t", 1, True), ("t", 2, True), ("t", 3, True), ("t", 4, True), ("t", 5, False)], "track_id string, line_no long, join_up boolean")
+    got = sorted((r.line_no, r.char_no, r.ch) for r in cl.join_lines(chars, lines).collect())
+    assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, " "), (1, 3, "c"), (2, 0, "d")]

@@ -68,6 +68,7 @@ def safe_file_name(name: Column, fallback: str = "untitled") -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key under which digit runs compare as numbers (up to 20 digits)."""
-    padded = F.regexp_replace(F.lower(text), r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"\d*(\d{20})", "$1")
+    """Sort key under which digit runs of any length compare as numbers: a run stands behind the length that it has without leading zeros."""
+    bare = lambda run: F.regexp_replace(run, r"^0+(?=\d)", "")
+    piece = lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1), piece), "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verseline.functions import timetext as tt
 from verseline.functions.scripts import char_class, display_units
 from verseline.functions.textnorm import compact, normalize_text, strip
-from verseline.operators.ordered import salted_lookup
+from verseline.operators.ordered import running_sum, salted_lookup, scan
 from verseline.sources.dialects import METADATA_LINE, split_lines
 
 LINE = ("track_id", "line_no")
@@ -266,6 +266,28 @@ def break_lines(chars: DataFrame) -> DataFrame:
     return s.withColumn("new_char_no", F.row_number().over(Window.partitionBy(*LINE, "sub_line").orderBy("char_no")) - 1).drop("break_here")
 
 
+def join_lines(chars: DataFrame, lines: DataFrame, *, block_lines: int = 4096) -> DataFrame:
+    """(track_id, line_no, char_no, ch, source_line, source_char): lines marked ``join_up`` move to the end of the line before, behind a space.
+
+    ``chars``: track_id, line_no, char_no, ch; ``lines``: track_id, line_no, join_up, also for lines without characters (they leave no
+    space). Lines are numbered anew from 1; the spaces have no source.
+    """
+    sizes = chars.groupBy(*LINE).agg(F.count("*").alias("__n"))
+    s = lines.select(*LINE, "join_up").join(sizes, list(LINE), "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    at = F.floor(F.col("line_no") / block_lines)
+    s = scan(s, by=["track_id"], order=["line_no"], block=at, __heads=running_sum(F.when(F.col("join_up"), 0).otherwise(1).cast("long")))
+    # a track that begins with a joined line keeps it as its first
+    first = lines.groupBy("track_id").agg(F.min_by("join_up", "line_no").cast("long").alias("__lead"))
+    s = salted_lookup(s, first, ["track_id"]).withColumn("__new", F.col("__heads") + F.col("__lead")).drop("__heads", "__lead")
+    width = F.when(F.col("__n") > 0, F.col("__n") + 1).otherwise(0)
+    s = scan(s, by=["track_id", "__new"], order=["line_no"], block=at, __from=running_sum(width, inclusive=False), __rest=running_sum(F.col("__n"), inclusive=False, forward=False))
+    s = s.withColumn("__from", F.coalesce("__from", F.lit(0)))
+    moved = chars.select(*LINE, "char_no", "ch").join(s.select(*LINE, "__new", "__from"), list(LINE))
+    kept = moved.select("track_id", F.col("__new").alias("line_no"), (F.col("__from") + F.col("char_no")).alias("char_no"), "ch", F.col("line_no").alias("source_line"), F.col("char_no").alias("source_char"))
+    spaces = s.where((F.col("__n") > 0) & (F.col("__rest") > 0)).select("track_id", F.col("__new").alias("line_no"), (F.col("__from") + F.col("__n")).alias("char_no"), F.lit(" ").alias("ch"))
+    return kept.unionByName(spaces, allowMissingColumns=True)
+
+
 def flatten_timestamps(chars: DataFrame) -> DataFrame:
     """Every checkpoint and release as one row: ms, line, character, checkpoint number, reading part."""
     marks = chars.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verseline.functions.bits import hamming
 from verseline.functions.similarity import char_ngrams
+from verseline.operators.chains import best_chain
 from verseline.operators.intervals import asof_join, interval_join
 from verseline.operators.ordered import following_row, islands_after, previous_row, running_max, salted_lookup, scan
 from verseline.operators.stats import exact_percentiles
@@ -83,6 +84,16 @@ def best_hits(pairs: DataFrame, *, line: Sequence[str], order: str, top: int) ->
     return pairs.withColumn("hit", F.row_number().over(w)).where(F.col("hit") <= top)
 
 
+def ordered_hits(pairs: DataFrame, *, by: Sequence[str], line: str, at: str) -> DataFrame:
+    """The pairs of each group's heaviest chain: every line at most once, along the lines at ever higher places (``at``).
+
+    Scores count by millionths, so that sums are exact.
+    """
+    hits = pairs.select(*by, F.col(line).alias("line"), F.col(at).alias("start"), F.col(at).alias("end"), F.floor(F.col("score") * 1_000_000 + 0.5).alias("weight"))
+    chain = best_chain(hits, by=by).select(*by, F.col("line").alias(line), F.col("start").alias(at))
+    return pairs.join(chain, [*by, line, at])
+
+
 # ------------------------------------------------------------------ offsets between timings
 def word_offset(words: DataFrame, heard: DataFrame, *, max_shift_ms: int = 60_000, bin_ms: int = 100, refine_ms: int = 300) -> DataFrame:
     """Offset of a recording: the fullest bin (neighbours at half) of all differences between equal words, then the median

@@ -201,6 +201,14 @@ def beat_phase(frames: DataFrame, *, period: int) -> DataFrame:
     )
 
 
+def bar_phase(beats: DataFrame, *, per_bar: int = 4) -> DataFrame:
+    """(track_id, phase): which of every ``per_bar`` beats carries most bass on average, the first on ties; beats: track_id, beat_no, bass."""
+    mean = beats.groupBy("track_id", F.pmod("beat_no", F.lit(per_bar)).alias("p")).agg(F.avg("bass").alias("m"))
+    every = beats.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_bar - 1).cast("long"))).alias("p"))
+    filled = every.join(mean.withColumn("p", F.col("p").cast("long")), ["track_id", "p"], "left")
+    return filled.groupBy("track_id").agg(F.max(F.struct(F.coalesce("m", F.lit(0.0)).alias("m"), (-F.col("p")).alias("p")))["p"].alias("p")).select("track_id", (-F.col("p")).alias("phase"))
+
+
 def beat_grid(frames: DataFrame, phases: DataFrame, *, period: int, gain: float = 1.2) -> DataFrame:
     """Beats at phase + k * period, each moved to the strongest onset within a sixth of the period when clearly stronger.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseline.operators.ordered import (
+    Running,
     following_row,
     framed,
     islands,
@@ -241,6 +242,17 @@ def interpolate_lines(lines: DataFrame, *, value: str = "est_ms") -> DataFrame:
     return s.select(*[c for c in lines.columns if c != value], F.round(F.coalesce(filled, p["v"].cast("double"), n["v"].cast("double")), 3).alias(value))
 
 
+def borrow_line_ends(lines: DataFrame, *, block_ms: int = 4096) -> DataFrame:
+    """Lines without an end take the start of the next line that has characters, past blank ones, but never end before their last character;
+    the last of a track ends with it.
+
+    ``lines``: track_id, line_no, start_ms and last_ms of the first and last character (null on blank lines), end_ms.
+    """
+    s = scan(lines, by=TRACK, order=["line_no"], block=F.floor(F.col("line_no") / block_ms), __next=Running("near", F.col("start_ms"), False, False))
+    borrowed = F.when(F.col("__next") >= F.col("last_ms"), F.col("__next")).otherwise(F.col("last_ms"))
+    return s.select(*[F.coalesce("end_ms", F.when(F.col("start_ms").isNotNull(), borrowed)).alias(c) if c == "end_ms" else F.col(c) for c in lines.columns])
+
+
 def run_length(rows: DataFrame, *, by: Sequence[str], order: str, value: str, block_rows: int = 65536) -> DataFrame:
     """Consecutive equal values -> (value, first, last, n)."""
     s = islands_after(

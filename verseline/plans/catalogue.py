@@ -208,19 +208,23 @@ def match_lines_fuzzy(spark, sf):
 
 
 @query(
-    f"""{_D}, o AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(c) - 1), lambda p: c[p] || c[p + 1] || c[p + 2])) AS g FROM (SELECT doc_id, line_no, string_split(text, '') AS c FROM doc_lines WHERE length(text) >= 3)),
-nt AS (SELECT doc_id, line_no, array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 6 <> 5), ' ') AS text FROM doc_lines), n AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(c) - 1), lambda p: c[p] || c[p + 1] || c[p + 2])) AS g FROM (SELECT doc_id, line_no, string_split(text, '') AS c FROM nt WHERE length(text) >= 3)),
+    f"""WITH RECURSIVE {b.DOC_LINES_SQL}, o AS (SELECT doc_id, line_no, {_GR.format(t='text')} AS g FROM doc_lines WHERE text <> ''),
+nt AS (SELECT doc_id, line_no, array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 6 <> 5), ' ') AS text FROM doc_lines), n AS (SELECT doc_id, line_no, {_GR.format(t='text')} AS g FROM nt WHERE text <> ''),
 og AS (SELECT doc_id, line_no, len(g) AS n, unnest(g) AS gram FROM o), ng AS (SELECT doc_id, line_no, len(g) AS n, unnest(g) AS gram FROM n),
-p AS (SELECT ng.doc_id, ng.line_no, og.line_no AS ref_no, 2 * count(*) / CAST(ng.n + og.n AS DOUBLE) AS score FROM ng JOIN og ON ng.doc_id = og.doc_id AND ng.gram = og.gram GROUP BY ng.doc_id, ng.line_no, og.line_no, ng.n, og.n)
-SELECT doc_id, line_no, ref_no, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY score DESC, ref_no) AS INTEGER) AS hit FROM p WHERE round(score, 9) >= 0.55 QUALIFY hit <= 1"""
+p AS MATERIALIZED (SELECT * FROM (SELECT ng.doc_id, ng.line_no, og.line_no AS ref_no, 2 * count(*) / CAST(ng.n + og.n AS DOUBLE) AS score FROM ng JOIN og ON ng.doc_id = og.doc_id AND ng.gram = og.gram GROUP BY ng.doc_id, ng.line_no, og.line_no, ng.n, og.n) WHERE round(score, 9) >= 0.55),
+h AS (SELECT doc_id, list([{{'l': line_no, 'e': ref_no, 'f': w, 'pl': CAST(NULL AS BIGINT), 'pe': CAST(NULL AS BIGINT)}}] ORDER BY line_no, ref_no) AS hs FROM (SELECT *, CAST(floor(score * 1000000 + 0.5) AS BIGINT) AS w FROM p) GROUP BY 1),
+d AS MATERIALIZED (SELECT doc_id, unnest(list_reduce(hs, lambda acc, x: list_append(acc, list_transform([list_max(list_transform(list_filter(acc, lambda y: y.l < x[1].l AND y.e < x[1].e), lambda y: {{'f': y.f, 'ne': -y.e, 'nl': -y.l}}))],
+    lambda m: {{'l': x[1].l, 'e': x[1].e, 'f': x[1].f + coalesce(m.f, 0), 'pl': -m.nl, 'pe': -m.ne}})[1]))) AS x FROM h),
+c AS (SELECT doc_id, x.l AS l, x.e AS e, x.pl AS pl, x.pe AS pe FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY x.f DESC, x.e, x.l) = 1
+  UNION ALL SELECT c.doc_id, d.x.l, d.x.e, d.x.pl, d.x.pe FROM c JOIN d ON d.doc_id = c.doc_id AND d.x.l = c.pl AND d.x.e = c.pe)
+SELECT c.doc_id, c.l AS line_no, c.e AS ref_no, round(p.score, 6) AS score FROM c JOIN p ON p.doc_id = c.doc_id AND p.line_no = c.l AND p.ref_no = c.e"""
 )
 def map_to_reference(spark, sf):
-    """Lines of a shortened version of each document mapped to the lines of the full one."""
-    ref = b.doc_lines(spark, sf).where(F.length("text") >= 3).withColumnRenamed("line_no", "ref_no")
-    short = b.doc_lines(spark, sf).withColumn("text", F.array_join(F.filter(F.split("text", " "), lambda w, i: F.pmod(i + 1, F.lit(6)) != 5), " ")).where(F.length("text") >= 3)
+    """Lines of a shortened version of each document mapped to the lines of the full one, never backwards."""
+    ref = b.doc_lines(spark, sf).where("text <> ''").withColumnRenamed("line_no", "ref_no")
+    short = b.doc_lines(spark, sf).withColumn("text", F.array_join(F.filter(F.split("text", " "), lambda w, i: F.pmod(i + 1, F.lit(6)) != 5), " ")).where("text <> ''")
     pairs = mt.ngram_join(short, ref, left_id=["line_no"], right_id=["ref_no"], by=["doc_id"], min_score=0.55, measure="dice")
-    best = mt.best_hits(pairs, line=["doc_id", "line_no"], order="ref_no", top=1)
-    return best.select("doc_id", "line_no", "ref_no", F.round("score", 6).alias("score"), "hit")
+    return mt.ordered_hits(pairs, by=["doc_id"], line="line_no", at="ref_no").select("doc_id", "line_no", "ref_no", F.round("score", 6).alias("score"))
 
 
 _WORDS = "dict AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+', 0)) AS w FROM benchmark) WHERE length(w) BETWEEN 3 AND 6)"
@@ -456,7 +460,7 @@ def keep_recent(spark, sf):
     return rk.keep_recent(ev, by=["user_id", "event_type"], order=[F.col("event_id").desc()], n=3, locked=F.col("locked")).select("event_id")
 
 
-@query("SELECT p_partkey, p_brand, CAST(regexp_extract(p_brand, '[0-9]+', 0) AS BIGINT) AS number, lower(regexp_replace(p_brand, '[0-9]+', '')) || lpad(regexp_extract(p_brand, '[0-9]+', 0), 20, '0') AS sort_key FROM part")
+@query("SELECT p_partkey, p_brand, CAST(regexp_extract(p_brand, '[0-9]+', 0) AS BIGINT) AS number, lower(regexp_replace(p_brand, '[0-9]+', '')) || lpad(CAST(length(regexp_extract(p_brand, '[0-9]+', 0)) AS VARCHAR), 10, '0') || regexp_extract(p_brand, '[0-9]+', 0) AS sort_key FROM part")
 def natural_sort(spark, sf):
     p = b.table(spark, sf, "part", "p_partkey", "p_brand")
     return p.select("p_partkey", "p_brand", F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("number"), textnorm.natural_key(F.col("p_brand")).alias("sort_key"))

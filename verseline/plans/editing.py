@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verseline.functions import bits, kana, scripts, similarity, textnorm
 from verseline.functions import timetext as tt
 from verseline.operators import cleaning as cl
+from verseline.operators import windows as wn
 from verseline.plans import bindings as b
 from verseline.plans.formats import _CLK, CHARS_SQL, timed_chars
 from verseline.plans.registry import query
@@ -224,6 +225,38 @@ def break_line(spark, sf):
     return cl.break_lines(c)
 
 
+# every third line joins the one before; lines of clicks have no characters
+@query(
+    f"""WITH {CHARS_SQL}, l AS (SELECT track_id, line_no, line_no % 3 = 0 AS up, CASE WHEN text = 'click' THEN 0 ELSE length(text) END AS n FROM lines),
+h AS (SELECT *, sum(CASE WHEN up AND rn > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY line_no) AS new_line FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY line_no) AS rn FROM l)),
+o AS (SELECT *, coalesce(sum(CASE WHEN n > 0 THEN n + 1 ELSE 0 END) OVER (PARTITION BY track_id, new_line ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift,
+  coalesce(sum(n) OVER (PARTITION BY track_id, new_line ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest FROM h)
+SELECT c.track_id, CAST(new_line AS BIGINT) AS line_no, CAST(shift + char_no AS BIGINT) AS char_no, ch, c.line_no AS source_line, char_no AS source_char FROM chars c JOIN (SELECT track_id, line_no AS own, new_line, shift, n FROM o) o ON o.track_id = c.track_id AND own = c.line_no WHERE o.n > 0
+UNION ALL SELECT track_id, CAST(new_line AS BIGINT), CAST(shift + n AS BIGINT), ' ', NULL, NULL FROM o WHERE n > 0 AND rest > 0"""
+)
+def join_lines(spark, sf):
+    chars = timed_chars(spark, sf)
+    ln = b.lines(spark, sf)
+    spoken = chars.join(ln.where("text <> 'click'").select("track_id", "line_no"), ["track_id", "line_no"], "left_semi")
+    return cl.join_lines(spoken, ln.select("track_id", "line_no", (F.pmod("line_no", F.lit(3)) == 0).alias("join_up")))
+
+
+@query(
+    f"""WITH {CHARS_SQL}, l AS (SELECT track_id, line_no, CASE WHEN text <> 'click' THEN start_ms END AS start_ms, CASE WHEN text <> 'click' THEN start_ms + length(text) * 100 END AS last_ms, CASE WHEN line_no % 4 = 0 AND text <> 'click' THEN end_ms END AS end_ms FROM lines),
+n AS (SELECT *, first_value(start_ms IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM l)
+SELECT track_id, line_no, start_ms, last_ms, coalesce(end_ms, CASE WHEN start_ms IS NOT NULL THEN CASE WHEN nxt >= last_ms THEN nxt ELSE last_ms END END) AS end_ms FROM n"""
+)
+def borrow_line_ends(spark, sf):
+    """Clicks as blank lines, every fourth line with an end of its own."""
+    ln = b.lines(spark, sf)
+    sung = F.col("text") != "click"
+    rows = ln.select(
+        "track_id", "line_no", F.when(sung, F.col("start_ms")).alias("start_ms"), F.when(sung, F.col("start_ms") + F.length("text") * 100).alias("last_ms"),
+        F.when(sung & (F.pmod("line_no", F.lit(4)) == 0), F.col("end_ms")).alias("end_ms"),
+    )
+    return wn.borrow_line_ends(rows)
+
+
 @query(
     f"""WITH {CHARS_SQL} SELECT track_id, line_no, char_no, t AS ms, 0 AS cp_no, false AS is_release, upper(ch) AS part FROM chars WHERE t IS NOT NULL
 UNION ALL SELECT track_id, line_no, char_no, release_ms, CASE WHEN t IS NULL THEN 0 ELSE 1 END, true, NULL FROM chars WHERE release_ms IS NOT NULL"""

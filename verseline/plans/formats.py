@@ -341,7 +341,7 @@ def media_kind(spark, sf):
     )
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'UTF-8' ELSE 'UTF-16LE' END AS charset, text AS content FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'UTF-8' ELSE 'UTF-16LE' END AS charset, text AS content, false AS lossy FROM documents")
 def decode_corpus(spark, sf):
     docs = b.spread(b.table(spark, sf, "documents"))
     le = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))

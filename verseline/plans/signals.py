@@ -190,6 +190,16 @@ def beat_grid(spark, sf):
     return sg.beat_grid(f, sg.beat_phase(f, period=13), period=13)
 
 
+@query(
+    f"""{_F}, bt AS (SELECT track_id, frame_no // 3 AS beat_no, value AS bass FROM frames WHERE frame_no % 3 = 0), m AS (SELECT track_id, beat_no % 4 AS p, avg(bass) AS m FROM bt GROUP BY 1, 2)
+SELECT track_id, arg_min(p, rn) AS phase FROM (SELECT t.track_id, p.p, row_number() OVER (PARTITION BY t.track_id ORDER BY coalesce(m.m, 0) DESC, p.p) AS rn FROM (SELECT DISTINCT track_id FROM bt) t CROSS JOIN (SELECT unnest(range(4)) AS p) p LEFT JOIN m ON m.track_id = t.track_id AND m.p = p.p) GROUP BY 1"""
+)
+def bar_phase(spark, sf):
+    """Every third week as a beat: the first beat of the bars of each track."""
+    f = b.frames(spark, sf).where(F.pmod("frame_no", F.lit(3)) == 0)
+    return sg.bar_phase(f.select("track_id", F.floor(F.col("frame_no") / 3).alias("beat_no"), F.col("value").alias("bass")))
+
+
 # the same series seven frames later, under another name
 _LAG = f"""lags AS (SELECT unnest(range(-40, 41)) AS lag), sc AS (SELECT a.track_id, l.lag, sum(b.value * a.value) AS score, count(*) AS n FROM frames a, lags l, (SELECT track_id, frame_no + 7 AS frame_no, value FROM frames) b
   WHERE b.track_id = a.track_id AND b.frame_no = a.frame_no + l.lag GROUP BY 1, 2)"""

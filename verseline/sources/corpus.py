@@ -35,9 +35,9 @@ def read_text_corpus(spark: SparkSession, path: str, glob: str = "*") -> DataFra
 
 
 def decode_corpus(binary: DataFrame, charsets=DECODE_CHARSETS) -> DataFrame:
-    """Bytes -> text: a byte order mark decides; else the clean candidate with the best score.
+    """Bytes -> text: a byte order mark decides; else the clean candidate with the best score, or where none is clean the best one, marked ``lossy``.
 
-    A candidate with replacement characters is refused. The score is the share of common characters, kana counting
+    A candidate with replacement characters is not clean. The score is the share of common characters, kana counting
     extra, private-use and half-width kana counting against. Other charsets than the six standard ones need
     ``spark.sql.legacy.javaCharsets`` and ``spark.sql.legacy.codingErrorAction`` set to true on the session.
     """
@@ -57,7 +57,7 @@ def decode_corpus(binary: DataFrame, charsets=DECODE_CHARSETS) -> DataFrame:
         + " ".join(f"WHEN '{c}' THEN decode(substring(bytes, __skip), '{c}')" for c in dict.fromkeys((*charsets, "UTF-16LE", "UTF-16BE")))
         + " END"
     )
-    text = rows.withColumn("text", decoded).where(~F.contains("text", F.lit("�")))
+    text = rows.withColumn("text", decoded).withColumn("__clean", ~F.contains("text", F.lit("�")))
     n = F.greatest(F.length("text"), F.lit(1))
     score = (
         F.regexp_count("text", F.lit(r"[\x{20}-\x{7E}\s一-鿿、。！？]"))
@@ -65,8 +65,8 @@ def decode_corpus(binary: DataFrame, charsets=DECODE_CHARSETS) -> DataFrame:
         - 2 * F.regexp_count("text", F.lit(r"[\x{E000}-\x{F8FF}]"))
         - F.regexp_count("text", F.lit(r"[ｦ-ﾟ]"))
     ) / n
-    best = F.max_by(F.struct("charset", "text"), F.struct(score, -F.col("__rank")))
-    return text.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.charset").alias("charset"), F.col("b.text").alias("content"))
+    best = F.max_by(F.struct("charset", "text", "__clean"), F.struct("__clean", score, -F.col("__rank")))
+    return text.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.charset").alias("charset"), F.col("b.text").alias("content"), (~F.col("b.__clean")).alias("lossy"))
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
