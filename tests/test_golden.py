@@ -417,3 +417,14 @@ def test_joined_lines_of_empty_and_leading_lines(spark):
     lines = spark.createDataFrame([("t", 1, True), ("t", 2, True), ("t", 3, True), ("t", 4, True), ("t", 5, False)], "track_id string, line_no long, join_up boolean")
     got = sorted((r.line_no, r.char_no, r.ch) for r in cl.join_lines(chars, lines).collect())
     assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, " "), (1, 3, "c"), (2, 0, "d")]
+
+
+def test_gram_search_equals_the_join_that_takes_over(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choices("abcdé ", k=n))
+    left = spark.createDataFrame([(k, k % 3, t) for k, t in enumerate([text(rng.randint(3, 20)) for _ in range(30)] + ["abc", "abc", "a", ""])], "k long, j int, text string")
+    right = spark.createDataFrame([(d, text(rng.randint(0, 80))) for d in range(60)] + [(60, "a"), (61, None)], "d long, text string")
+    small = mt.gram_search(left, right, left_id=["k", "j"], right_id="d", min_score=0.5, top=3)
+    large = mt.gram_search(left, right, left_id=["k", "j"], right_id="d", min_score=0.5, top=3, most_letters=0)
+    rows = lambda df: sorted((r.k, r.j, r.d, r.shared, round(r.score, 9), r.hit) for r in df.collect())
+    assert rows(small) == rows(large) and len(rows(small)) > 40

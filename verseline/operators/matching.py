@@ -84,6 +84,73 @@ def best_hits(pairs: DataFrame, *, line: Sequence[str], order: str, top: int) ->
     return pairs.withColumn("hit", F.row_number().over(w)).where(F.col("hit") <= top)
 
 
+def gram_search(left: DataFrame, right: DataFrame, *, left_id: Sequence[str], right_id: str, n: int = 3, min_score: float, top: int, most_letters: int = 8_000_000) -> DataFrame:
+    """(left_id, right_id, shared, score, hit): for every left text the ``top`` right texts that hold the largest share of its n-grams, at least
+    ``min_score``; ties go to the smaller ``right_id`` (a long).
+
+    The left texts are a query set: up to ``most_letters`` letters of different texts (counted first) they go to every task, and each right
+    text is looked at once, where it lies; a task keeps the best ``top`` of every query only. A larger left side takes the n-gram join.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    left_id, n_top = list(left_id), top
+    if not 1 <= n <= 3:
+        raise ValueError("three letters fit a key")
+    texts = left.where("text <> ''").select("text").distinct()
+    if (texts.agg(F.sum(F.length("text"))).first()[0] or 0) > most_letters:
+        return best_hits(ngram_join(left.where("text <> ''"), right, left_id=left_id, right_id=[right_id], n=n, min_score=min_score), line=left_id, order=right_id, top=top)
+    queries = sorted(r["text"] for r in texts.collect())
+
+    def keys(text: str) -> np.ndarray:
+        """Distinct n-grams as numbers, 21 bits a letter; a shorter text is one gram."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) + 1
+        if len(c) < n:
+            c = np.concatenate([c, np.zeros(n - len(c), dtype=np.int64)])
+        out = c[: len(c) - n + 1].copy()
+        for k in range(1, n):
+            out = (out << 21) | c[k : len(c) - n + 1 + k]
+        return np.unique(out)
+
+    own = [keys(t) for t in queries]
+    sizes = np.array([len(k) for k in own], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if own else sizes
+    grams, flat = np.unique(np.concatenate(own), return_inverse=True) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def best(found):
+        q, d, s = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < n_top
+        return q[keep], d[keep], s[keep]
+
+    def run(parts):
+        found, held = [], 0
+        for b in parts:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not text or not len(grams):
+                    continue
+                mine = keys(text)
+                at = np.minimum(np.searchsorted(mine, grams), len(mine) - 1)
+                shared = np.add.reduceat((mine[at] == grams)[flat], starts, dtype=np.int64)
+                q = np.nonzero(np.round(shared / sizes, 9) >= min_score)[0]
+                found.append((q, np.full(len(q), name, dtype=np.int64), shared[q]))
+                held += len(q)
+                if held > 500_000:
+                    found = [best(found)]
+                    held = len(found[0][0])
+        if found:
+            q, d, s = best(found)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(d, pa.int64()), pa.array(s, pa.int32())], ["__q", right_id, "shared"])
+
+    hits = right.select(F.col(right_id).cast("long").alias(right_id), "text").mapInArrow(run, f"__q int, `{right_id}` long, shared int")
+    rank = Window.partitionBy("__q").orderBy(F.col("shared").desc(), F.col(right_id))
+    hits = hits.withColumn("hit", F.row_number().over(rank)).where(F.col("hit") <= top)
+    names = left.sparkSession.createDataFrame([(i, t, int(k)) for i, (t, k) in enumerate(zip(queries, sizes))], "__q int, text string, __n int")
+    named = left.select(*left_id, "text").join(names, "text").select(*left_id, "__q", "__n")
+    return named.join(hits, "__q").select(*left_id, right_id, "shared", (F.col("shared") / F.col("__n")).alias("score"), "hit")
+
+
 def ordered_hits(pairs: DataFrame, *, by: Sequence[str], line: str, at: str) -> DataFrame:
     """The pairs of each group's heaviest chain: every line at most once, along the lines at ever higher places (``at``).
 

@@ -185,26 +185,26 @@ def near_duplicate_clips(spark, sf):
 
 # ---------------------------------------------------------------- n-gram matching
 _GR = "list_distinct(list_transform(range(1, greatest(length({t}) - 2, 1) + 1), lambda p: substr({t}, p, 3)))"
-_SENT = "sent AS (SELECT item_id, k AS line_no, t AS text FROM (SELECT item_id, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS t FROM (SELECT item_id, string_split(text, '. ') AS s FROM benchmark)) WHERE length(t) >= 12)"
+_SENT = "sent AS (SELECT item_id, k AS line_no, t AS text FROM (SELECT item_id, unnest(range(1, len(s) + 1)) AS k, unnest(s) AS t FROM (SELECT item_id, string_split(text, '. ') AS s FROM benchmark)) WHERE t <> '')"
 
 
 def _sentences(spark, sf):
-    return b.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("p", "text")).where(F.length("text") >= 12).select(
+    return b.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("p", "text")).where("text <> ''").select(
         "item_id", (F.col("p") + 1).cast("long").alias("line_no"), "text"
     )
 
 
 @query(
     f"""WITH {_SENT}, lg AS (SELECT item_id, line_no, len(g) AS n, unnest(g) AS gram FROM (SELECT item_id, line_no, {_GR.format(t='text')} AS g FROM sent)),
-cs AS (SELECT doc_id, string_split(text, '') AS c FROM documents), dg AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda p: c[p] || c[p + 1] || c[p + 2])) AS gram FROM cs)),
-o AS (SELECT item_id, line_no, doc_id, n, count(*) AS shared FROM lg JOIN dg USING (gram) GROUP BY ALL), p AS (SELECT *, shared / CAST(n AS DOUBLE) AS score FROM o WHERE shared >= ceil(0.8::DOUBLE * n))
+cs AS (SELECT doc_id, text, string_split(text, '') AS c FROM documents WHERE text <> ''), dg AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(CASE WHEN len(c) < 3 THEN [text] ELSE list_transform(range(1, len(c) - 1), lambda p: c[p] || c[p + 1] || c[p + 2]) END) AS gram FROM cs)),
+o AS (SELECT item_id, line_no, doc_id, n, count(*) AS shared FROM lg JOIN dg USING (gram) GROUP BY ALL), p AS (SELECT *, shared / CAST(n AS DOUBLE) AS score FROM o WHERE round(shared / CAST(n AS DOUBLE), 9) >= 0.35)
 SELECT item_id, line_no, doc_id, CAST(shared AS INTEGER) AS shared, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id, line_no ORDER BY score DESC, doc_id) AS INTEGER) AS hit FROM p QUALIFY hit <= 4"""
 )
 def match_lines_fuzzy(spark, sf):
     """Where do the sentences of the benchmark passages stand in the documents? Best four documents of each."""
-    docs = b.spread(b.table(spark, sf, "documents", "doc_id", "text")).where(F.length("text") >= 3)
-    pairs = mt.ngram_join(_sentences(spark, sf), docs, left_id=["item_id", "line_no"], right_id=["doc_id"], min_score=0.8)
-    return mt.best_hits(pairs, line=["item_id", "line_no"], order="doc_id", top=4).withColumn("score", F.round("score", 6))
+    docs = b.table(spark, sf, "documents", "doc_id", "text")
+    hits = mt.gram_search(_sentences(spark, sf), docs, left_id=["item_id", "line_no"], right_id="doc_id", min_score=0.35, top=4)
+    return hits.withColumn("score", F.round("score", 6))
 
 
 @query(
