@@ -189,6 +189,13 @@ def edited(shape, words, share, fresh):
     return copy
 
 
+def test_keep_one_leaves_columns_of_any_name(spark):
+    rows = [(i, f"one two three four five six seven {i // 2}", i, "k", "x", None) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key int, key string, __id string, __text string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["__key"]) for r in kept.collect()) == [(0, 0), (2, 2), (4, 4)]
+
+
 @pytest.mark.parametrize("bucket", [4000, 12])
 def test_near_documents_are_the_pairs_of_four_fifths(spark, bucket):
     """Whatever the edit's shape, on both sides of 0.8; the small bucket cuts every hot one."""

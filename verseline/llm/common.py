@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verseline.session import cut_lineage
 
-__all__ = ["batches", "checkpointed", "document_columns", "field", "held_out", "null_safe", "offsets_of", "row_key", "shared_folder", "table"]
+__all__ = ["batches", "checkpointed", "document_columns", "field", "fresh", "held_out", "null_safe", "offsets_of", "row_key", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def field(df: DataFrame, name: str) -> Column:
     return df[exact[0]] if exact else df[name]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def document_columns(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with nulls as empty texts; whatever else the table holds is left behind."""
     return docs.select(field(docs, "doc_id").cast("long").alias("doc_id"), F.coalesce(field(docs, "text").cast("string"), F.lit("")).alias("text"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseline.llm.common import batches, checkpointed, document_columns, field, offsets_of
+from verseline.llm.common import batches, checkpointed, document_columns, field, fresh, offsets_of
 from verseline.llm.components import components
 
 BITS = 64
@@ -281,49 +281,70 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * shared >= 4 * (len(x) + len(y) - shared)
 
 
-def _nearest(own: list[dict], most: int) -> Iterator[tuple[int, int, bool]]:
-    """(a, b, capped): for every node its ``most`` best candidates of other components; ``capped`` where there are more."""
-    nodes, label = np.array([r["node"] for r in own], dtype=np.int64), np.array([r["component"] for r in own], dtype=np.int64)
-    sig = np.array([np.frombuffer(r["sig"], dtype=np.uint8) for r in own])
-    for i in range(len(own)):
-        other = np.nonzero(label != label[i])[0]
-        agree = (sig[other] == sig[i]).sum(axis=1)
-        good = np.nonzero(agree >= AGREE)[0]
-        if len(good):
-            chosen = good[np.lexsort((nodes[other[good]], -agree[good]))[:most]]
-            for j in other[chosen].tolist():
-                yield min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])), len(good) > most
-
+def _close(own: list[dict]) -> Iterator[tuple[int, int]]:
+    """Links (a, b) between members of different components that join all that belong together, at most one less than members.
 
-def _cells(met: DataFrame, labels: DataFrame, bucket: int) -> DataFrame:
-    """(own) groups in which all pairs of one band key and different components meet; a group has about ``bucket`` members at most.
-
-    Larger buckets are cut in pieces: the members of their largest component need no pairs among themselves, so a piece of them meets every
-    piece of the others only.
+    Every pair of components is settled: a pair of texts whose minima agree often enough is verified exactly unless found links join it already.
+    """
+    own = sorted(own, key=lambda r: r["node"])
+    nodes, label = np.array([r["node"] for r in own], dtype=np.int64), np.unique([r["component"] for r in own], return_inverse=True)[1]
+    sig = np.array([np.frombuffer(r["sig"], dtype=np.uint8) for r in own])
+    sets = [np.frombuffer(r["hashes"], dtype="<u8") for r in own]
+    size, starts = np.array([len(x) for x in sets]), offsets_of([len(x) for x in sets])
+    # shingles as small numbers, so that one text's set is a row of flags
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    flags = np.zeros(len(code), dtype=np.uint8)
+    step = max(1, (8 << 20) // sig.size)
+    for lo in range(0, len(own), step):
+        agree = (sig[lo : lo + step, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
+        for i in range(lo, min(lo + step, len(own))):
+            j = np.nonzero((agree[i - lo] >= AGREE) & (label != label[i]))[0]
+            j = j[(j > i) & (5 * np.minimum(size[j], size[i]) >= 4 * np.maximum(size[j], size[i]))]
+            if not len(j):
+                continue
+            mine = code[starts[i] : starts[i + 1]]
+            flags[mine] = 1
+            for part in np.array_split(j, -(-int(size[j].sum()) // (1 << 22))):
+                at = np.repeat(starts[part] - offsets_of(size[part])[:-1], size[part]) + np.arange(int(size[part].sum()))
+                shared = np.add.reduceat(flags[code[at]], offsets_of(size[part])[:-1], dtype=np.int64)
+                for k in part[5 * shared >= 4 * (size[i] + size[part] - shared)].tolist():
+                    if label[k] != label[i]:
+                        label[label == label[k]] = label[i]
+                        yield int(nodes[i]), int(nodes[k])
+            flags[mine] = 0
+
+
+def _cells(members: DataFrame, bucket: int, most: int) -> DataFrame:
+    """(own) groups in which all pairs of one cluster and different components meet; a group has about ``bucket`` members and ``most`` bytes of
+    shingles at most.
+
+    ``members``: node, cluster, component, sig, hashes. Larger clusters are cut in pieces: the members of their largest component need no pairs
+    among themselves, so a piece of them meets every piece of the others only.
     """
-    rows = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by = rows.groupBy("band", "component").agg(F.count("*").alias("k"))
-    sizes = by.groupBy("band").agg(F.sum("k").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("top")).where("kinds > 1")
-    half = max(1, bucket // 2)
-    cut = F.col("n") > bucket
-    sizes = sizes.select("band", F.col("top.component").alias("top"), cut.alias("cut"), F.ceil((F.col("n") - F.col("top.k")) / half).cast("int").alias("rest"), F.ceil(F.col("top.k") / half).cast("int").alias("tops"))
-    rows = rows.join(sizes, "band")
+    weight = F.greatest(F.lit(1 / bucket), F.octet_length("hashes") / most)
+    by = members.groupBy("cluster", "component").agg(F.sum(weight).alias("k"))
+    sizes = by.groupBy("cluster").agg(F.sum("k").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("k", "component")).alias("top")).where("kinds > 1")
+    # piece counts by halves, so that two pieces make a group
+    rest, tops = F.ceil(2 * (F.col("n") - F.col("top.k"))).cast("int"), F.ceil(2 * F.col("top.k")).cast("int")
+    sizes = checkpointed(sizes.select("cluster", F.col("top.component").alias("top"), (F.col("n") > 1).alias("cut"), F.greatest(F.lit(1), rest).alias("rest"), F.greatest(F.lit(1), tops).alias("tops")))
+    rows = members.join(sizes, "cluster")
     piece = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     name = lambda i, kind, k: F.concat(i.cast("string"), F.lit(kind), k.cast("string"))
     i, k = piece(F.col("rest")), piece(F.col("tops"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     rest = F.concat(F.transform(upto("rest"), lambda j: name(F.least(i, j), "r", F.greatest(i, j))), F.transform(upto("tops"), lambda j: name(i, "x", j)))
     cell = F.when(~F.col("cut"), F.array(F.lit(""))).when(F.col("component") == F.col("top"), F.transform(upto("rest"), lambda j: name(j, "x", k))).otherwise(rest)
-    return rows.select("band", "node", "sig", "component", F.explode(cell).alias("cell")).groupBy("band", "cell").agg(F.collect_list(F.struct("node", "sig", "component")).alias("own")).select("own")
+    return rows.select("cluster", "node", "sig", "hashes", "component", F.explode(cell).alias("cell")).groupBy("cluster", "cell").agg(F.collect_list(F.struct("node", "sig", "hashes", "component")).alias("own")).select("own")
 
 
-def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000) -> DataFrame:
+def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000, most: int = 32 << 20) -> DataFrame:
     """(key, key2, component): rows of ``docs`` by the hashes of ``document_keys`` and the component of near-duplicate texts.
 
     Texts with equal words are one node. Candidates share the minima of a band, and every link is verified by the exact Jaccard similarity of the
-    shingle sets (64-bit hashes). Every node is first compared with the smallest node of its buckets, then with its best candidates in other
-    components, eight times as many in each round, until no candidate pair of different components is left: linked texts are never compared
-    again, so a large group of near copies costs no square of its size, unless its texts are no links of each other.
+    shingle sets (64-bit hashes). Every node is first compared with the best of the smallest nodes of its buckets, which links most of a group
+    of near copies. Then nodes that hang together over bands are a cluster; its members travel once with their shingle sets, and the task
+    that gets them (or two pieces of them) settles all pairs of different components there and writes a spanning forest, never candidate pairs.
+    The work, not what is written, grows with the square of a cluster whose texts are no links of each other.
     """
     batches(docs.sparkSession)
 
@@ -350,15 +371,11 @@ def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000) -> Dat
             agree = [int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(sa, sb)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())], ["a", "b", "agree"])
 
-    def cross(most: int):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for p in parts:
-                for v in p.column(0):
-                    got = list(_nearest(v.as_py(), most))
-                    for i in range(0, len(got), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[i : i + (1 << 16)]), (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "capped"])
-
-        return run
+    def close(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            for v in p.column(0):
+                got = list(_close(v.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
     def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
@@ -383,16 +400,15 @@ def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000) -> Dat
     hub_sigs = nodes.select(F.col("node").alias("a"), F.col("sig").alias("hub_sig")).join(met.select(F.col("hub").alias("a")).distinct(), "a", "left_semi")
     pairs = pairs.join(hub_sigs, "a").select("a", "b", "sig", "hub_sig").mapInArrow(hubs, "a long, b long, agree int").where(F.col("agree") >= AGREE)
     tried = checkpointed(pairs.groupBy("b").agg(F.max(F.struct("agree", "a"))["a"].alias("a")).select("a", "b"))
-    edges, most, more = verified(tried), 1, True
+    edges = verified(tried)
+    labels = components(edges)
+    clusters = components(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
+    members = clusters.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # a cluster of one component is settled: its sets do not travel
+    open_ = checkpointed(members.groupBy("cluster").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("cluster"))
+    members = checkpointed(members.join(open_, "cluster").join(nodes.select("node", "sig"), "node").join(sets, "node"))
+    edges = edges.unionByName(checkpointed(_cells(members, bucket, most).mapInArrow(close, "a long, b long")))
     stars = components(edges)
-    while more:
-        now = checkpointed(_cells(met, stars, bucket).mapInArrow(cross(most), "a long, b long, capped boolean").groupBy("a", "b").agg(F.max("capped").alias("capped")))
-        more = not now.where("capped").isEmpty()
-        new = checkpointed(now.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            edges, tried = edges.unionByName(verified(new)), tried.unionByName(new)
-            stars = components(edges)
-        most *= 8
     return rows.join(stars, "node", "left").select("key", "key2", F.coalesce("component", "node").alias("component"))
 
 
@@ -406,7 +422,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     near = near_documents(docs, **options)
     own = document_keys(docs).select("doc_id", "key", "key2").distinct()
     first = near.join(own, ["key", "key2"]).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "key2")).alias("m"))
-    chosen = first.select(F.col("m.key").alias("__key"), F.col("m.key2").alias("__key2"))
-    tagged = docs.withColumn("__id", field(docs, "doc_id").cast("long")).withColumn("__text", F.coalesce(field(docs, "text").cast("string"), F.lit("")))
-    tagged = tagged.withColumn("__key", F.xxhash64("__id", "__text")).withColumn("__key2", F.xxhash64("__text", "__id", F.lit(1))).drop("__id", "__text")
-    return tagged.join(chosen, ["__key", "__key2"], "left_semi").dropDuplicates(["__key", "__key2"]).drop("__key", "__key2")
+    key, key2, id_, text = (fresh(docs, c) for c in ("key", "key2", "id", "text"))
+    chosen = first.select(F.col("m.key").alias(key), F.col("m.key2").alias(key2))
+    tagged = docs.withColumn(id_, field(docs, "doc_id").cast("long")).withColumn(text, F.coalesce(field(docs, "text").cast("string"), F.lit("")))
+    tagged = tagged.withColumn(key, F.xxhash64(id_, text)).withColumn(key2, F.xxhash64(text, id_, F.lit(1))).drop(id_, text)
+    return tagged.join(chosen, [key, key2], "left_semi").dropDuplicates([key, key2]).drop(key, key2)
