@@ -22,9 +22,10 @@ def value_block(value: Column) -> Column:
     return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 64)).cast("long")
 
 
-def _distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with count n, inclusive cumulative count and group total."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+def _distribution(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values with count n (or sum of ``weight``), inclusive cumulative count and group total."""
+    number = F.sum(weight) if weight else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(number.alias("n"))
     return scan(
         counts, by=by, order=["v"], block=value_block(F.col("v")), cum=running_sum(F.col("n")), total=group_total(F.col("n"))
     )
@@ -49,9 +50,9 @@ def exact_percentiles(df: DataFrame, *, by: Sequence[str], value: str, **ps: flo
     )
 
 
-def robust_mean(df: DataFrame, *, by: Sequence[str], value: str, name: str = "robust_mean") -> DataFrame:
-    """Mean after a 1.5 IQR fence (from four values on) and a tenth trimmed at both ends."""
-    dist = _distribution(df, by, value)
+def robust_mean(df: DataFrame, *, by: Sequence[str], value: str, name: str = "robust_mean", weight: str | None = None) -> DataFrame:
+    """Mean after a 1.5 IQR fence (from four values on) and a tenth trimmed at both ends; ``weight``: how often a row's value counts."""
+    dist = _distribution(df, by, value, weight)
     fence = dist.groupBy(*by, "total").agg(
         _value_at(F.floor(F.col("total") / 4)).alias("q1"), _value_at(F.floor(F.col("total") * 3 / 4)).alias("q3")
     )

@@ -87,32 +87,46 @@ def stream_sessions(events: DataFrame, *, gap: str, watermark: str = "10 minutes
 
 
 # ------------------------------------------------------------------ state per user
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 def tap_calibration(taps: DataFrame) -> DataFrame:
     """Robust mean of all of each user's offsets (taps: user_id, seq, off)."""
     return robust_mean(taps, by=["user_id"], value="off", name="offset")
 
 
-def stream_tap_calibration(taps: DataFrame) -> DataFrame:
-    """Running calibration per user over all taps: the state counts distinct offsets."""
+def stream_tap_counts(taps: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(user_id, off, n): how often each offset has been tapped, a row for every count that a batch changes.
+
+    The state of a user holds counts of distinct offsets; with ``idle_ms`` it goes after that time without a tap (for queries that keep
+    running: an ``availableNow`` trigger does not end while states wait to go). ``calibration_of`` the counts is the calibration.
+    """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        known = pd.Series(state.get[1], index=state.get[0], dtype="int64") if state.exists else pd.Series(dtype="int64")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = dict(zip(*state.get)) if state.exists else {}
         new = pd.concat([df["off"] for df in batches]).value_counts()
-        counts = known.add(new, fill_value=0).astype("int64").sort_index()
-        values, n = [float(v) for v in counts.index], [int(c) for c in counts]
-        state.update((values, n))
-        taps = pd.Series(values).repeat(n).reset_index(drop=True)
-        if len(taps) > 3:
-            spread = taps[len(taps) * 3 // 4] - taps[len(taps) // 4]
-            taps = taps[taps.between(taps[len(taps) // 4] - 1.5 * spread, taps[len(taps) * 3 // 4] + 1.5 * spread)]
-        inner = taps.iloc[len(taps) // 10 : len(taps) - len(taps) // 10]
-        yield pd.DataFrame({"user_id": [key[0]], "offset": [float(inner.mean())], "taps": [sum(n)]})
+        changed = {float(off): int(known.get(off, 0) + n) for off, n in new.items()}
+        known.update(changed)
+        state.update((list(known), list(known.values())))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"user_id": [key[0]] * len(changed), "off": list(changed), "n": list(changed.values())})
 
     return taps.groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, offset double, taps long", "values array<double>, counts array<long>", "update", GroupStateTimeout.NoTimeout
+        update, "user_id long, off double, n long", "offs array<double>, counts array<long>", "update", _timeout(idle_ms)
     )
 
 
+def calibration_of(counts: DataFrame) -> DataFrame:
+    """Robust mean of each user's taps from the rows of ``stream_tap_counts``; the highest count of an offset is the latest."""
+    latest = counts.groupBy("user_id", "off").agg(F.max("n").alias("n"))
+    return robust_mean(latest, by=["user_id"], value="off", name="offset", weight="n")
+
+
 def backward_alerts(stamps: DataFrame) -> DataFrame:
     """The first stamp of each session that lies before the one written just before it (stamps: session_id, seq, start_ms)."""
     from pyspark.sql import Window
@@ -123,19 +137,25 @@ def backward_alerts(stamps: DataFrame) -> DataFrame:
     return first.select("session_id", F.col("x.seq").alias("seq"), F.col("x.behind_ms").cast("long").alias("behind_ms"))
 
 
-def stream_backward_alerts(stamps: DataFrame) -> DataFrame:
-    """Alert once per session, at the first stamp before the one written just before it."""
+def stream_backward_alerts(stamps: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Alert once per session, at the first stamp before the one written just before it; with ``idle_ms`` a session
+    is forgotten after that time without a stamp (see ``stream_tap_counts``)."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, warned = state.get if state.exists else (None, False)
         rows = pd.concat(list(batches)).sort_values("seq")
         behind = rows["start_ms"].shift(fill_value=rows["start_ms"].iloc[0] if last is None else last) - rows["start_ms"]
         back = rows.assign(behind_ms=behind)[behind > 0].head(0 if warned else 1)
         state.update((int(rows["start_ms"].iloc[-1]), bool(warned or len(back))))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"session_id": [key[0]] * len(back), "seq": back["seq"].astype("int64"), "behind_ms": back["behind_ms"].astype("int64")})
 
     return stamps.groupBy("session_id").applyInPandasWithState(
-        update, "session_id string, seq long, behind_ms long", "last long, warned boolean", "append", GroupStateTimeout.NoTimeout
+        update, "session_id string, seq long, behind_ms long", "last long, warned boolean", "append", _timeout(idle_ms)
     )
 
 
