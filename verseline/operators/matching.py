@@ -12,7 +12,7 @@ from verseline.functions.bits import hamming
 from verseline.functions.similarity import char_ngrams
 from verseline.operators.chains import best_chain
 from verseline.operators.intervals import asof_join, interval_join
-from verseline.operators.ordered import following_row, islands_after, previous_row, running_max, salted_lookup, scan
+from verseline.operators.ordered import following_row, islands_after, multiplied, previous_row, running_max, salted_lookup, scan
 from verseline.operators.stats import exact_percentiles
 
 
@@ -38,7 +38,7 @@ def near_duplicates(assets: DataFrame, *, max_bits: int = 6, bands: int = 9, bit
     )
     older = keyed.select(F.col("ahash").alias("h2"), F.col("first_id").alias("id2"), F.col("n").alias("n2"), F.col("key").alias("key2"))
     near = keyed.join(
-        older,
+        multiplied(older),
         (F.col("n") == F.col("n2")) & (F.col("key") == F.col("key2")) & (F.col("id2") < F.col("first_id")) & (hamming(F.col("ahash"), F.col("h2")) <= max_bits),
         "left_semi",
     )

@@ -211,6 +211,14 @@ def framed(
     )
 
 
+def multiplied(df: DataFrame) -> DataFrame:
+    """A side of an equi-join whose rows an ``explode`` has multiplied, for the join to shuffle both sides.
+
+    Spark takes the size from before the explode, so a side of many times its broadcast threshold could pass whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def salted_lookup(
     df: DataFrame, per_key: DataFrame, on: Sequence[str], *, salts: int = 16, how: str = "inner"
 ) -> DataFrame:
