@@ -17,3 +17,8 @@ def test_band_keys_of_pictures_are_shuffled(spark):
     for name in ("dedupe_near", "near_duplicate_clips"):
         met = joins_on(spark, name, "key")
         assert met and all(kind == "SortMergeJoin" for kind, _ in met)
+
+
+def test_interval_buckets_are_shuffled(spark):
+    met = joins_on(spark, "resolve_coverage", "__bucket")
+    assert met and all(kind == "SortMergeJoin" for kind, _ in met)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verseline.operators.ordered import following_row, islands, islands_after, last_known, next_known, running_max, scan
+from verseline.operators.ordered import following_row, islands, islands_after, last_known, multiplied, next_known, running_max, scan
 
 BASE_MS = 2_000
 GROWTH = 32
@@ -62,7 +62,7 @@ def interval_join(
     )
     probes = probes.withColumns({"__class": F.col("__probe.k"), "__bucket": F.col("__probe.b")}).drop("__probe")
     inside = (F.col(t) >= F.col(start)) & ((F.col(t) < F.col(end)) if closed == "left" else (F.col(t) <= F.col(end)))
-    return probes.join(bucketed, [*by, "__class", "__bucket", "__salt"]).where(inside).drop("__class", "__bucket", "__salt")
+    return probes.join(multiplied(bucketed), [*by, "__class", "__bucket", "__salt"]).where(inside).drop("__class", "__bucket", "__salt")
 
 
 def overlap_join(
@@ -82,7 +82,7 @@ def overlap_join(
     put = lambda df, a, z: df.withColumn(
         "__bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(z) - 1, F.col(a)) / bucket)))
     )
-    pairs = put(left, ls, le).join(put(right, rs, re_), [*by, "__bucket"])
+    pairs = put(left, ls, le).join(multiplied(put(right, rs, re_)), [*by, "__bucket"])
     home = F.floor(F.greatest(F.col(ls), F.col(rs)) / bucket)
     return pairs.where((F.col(ls) < F.col(re_)) & (F.col(le) > F.col(rs)) & (F.col("__bucket") == home)).drop("__bucket")
 
