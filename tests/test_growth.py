@@ -22,3 +22,8 @@ def test_band_keys_of_pictures_are_shuffled(spark):
 def test_interval_buckets_are_shuffled(spark):
     met = joins_on(spark, "resolve_coverage", "__bucket")
     assert met and all(kind == "SortMergeJoin" for kind, _ in met)
+
+
+def test_heard_words_are_shuffled(spark):
+    met = joins_on(spark, "word_offset", "cell"), joins_on(spark, "word_offset", "__salt")
+    assert all(met) and {kind for kind, _ in [*met[0], *met[1]]} == {"SortMergeJoin"}

@@ -171,10 +171,10 @@ def word_offset(words: DataFrame, heard: DataFrame, *, max_shift_ms: int = 60_00
     side = lambda df, t, n: df.groupBy("track_id", "word", F.col("start_ms").alias(t)).agg(F.count("*").alias(n))
     a, z = side(words, "ta", "na"), side(heard, "tb", "nb")
     cell = lambda c: F.floor(F.col(c) / max_shift_ms)
-    a = a.withColumn("cell", F.explode(F.array(cell("ta") - 1, cell("ta"), cell("ta") + 1)))
+    wide = a.withColumn("cell", F.explode(F.array(cell("ta") - 1, cell("ta"), cell("ta") + 1)))
     z = z.withColumn("cell", cell("tb"))
     d = (
-        a.join(z, ["track_id", "word", "cell"])
+        multiplied(wide).join(z, ["track_id", "word", "cell"])
         .withColumns({"d": F.col("tb") - F.col("ta"), "n": F.col("na") * F.col("nb")})
         .where(F.abs("d") < max_shift_ms)
         .groupBy("track_id", "d")
@@ -186,9 +186,9 @@ def word_offset(words: DataFrame, heard: DataFrame, *, max_shift_ms: int = 60_00
     mode = score.groupBy("track_id").agg(F.max(F.struct("s", (-F.abs("b")).alias("near"), "b")).alias("m")).select("track_id", (F.col("m.b") * bin_ms).alias("mode"))
     close = d.join(mode, "track_id").where(F.abs(F.col("d") - F.col("mode")) <= refine_ms)
     med = _weighted_median(close)
-    near_mode = salted_lookup(a.drop("cell").distinct(), mode, ["track_id"])
+    near_mode = salted_lookup(multiplied(a), mode, ["track_id"])
     hit = near_mode.withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-refine_ms), F.lit(0), F.lit(refine_ms)), lambda k: F.floor((F.col("ta") + F.col("mode") + k) / max_shift_ms)))))
-    agreed = hit.join(z, ["track_id", "word", "cell"]).where(F.abs(F.col("tb") - F.col("ta") - F.col("mode")) <= refine_ms).select("track_id", "word", "ta", "na").distinct()
+    agreed = multiplied(hit).join(z, ["track_id", "word", "cell"]).where(F.abs(F.col("tb") - F.col("ta") - F.col("mode")) <= refine_ms).select("track_id", "word", "ta", "na").distinct()
     share = agreed.groupBy("track_id").agg(F.sum("na").alias("hits"))
     total = words.groupBy("track_id").agg(F.count("*").alias("words"))
     return med.join(share, "track_id", "left").join(total, "track_id").select("track_id", "offset_ms", F.round(F.coalesce("hits", F.lit(0)) / F.col("words"), 4).alias("agree"))
