@@ -127,7 +127,7 @@ def overlapping_pairs(spark, sf):
 
 
 @query(
-    f"""{_L} SELECT a.track_id, a.line_no, count(*) - 1 AS overlaps FROM lines a JOIN lines b ON a.track_id = b.track_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms GROUP BY 1, 2"""
+    f"""{_L} SELECT a.track_id, a.line_no, count(b.line_no) AS overlaps FROM lines a LEFT JOIN lines b ON a.track_id = b.track_id AND a.line_no <> b.line_no AND a.start_ms <= a.end_ms AND b.start_ms <= b.end_ms AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms GROUP BY 1, 2"""
 )
 def overlap_counts(spark, sf):
     """How many other lines overlap each line, by counting starts and ends instead of building pairs."""
