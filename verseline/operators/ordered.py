@@ -114,7 +114,8 @@ def scan(
 
     inner_fwd = Window.partitionBy(*by, BLOCK).orderBy(*[F.col(c).asc() for c in order])
     inner_bwd = Window.partitionBy(*by, BLOCK).orderBy(*[F.col(c).desc() for c in order])
-    joined = base.join(carry, [*by, BLOCK])
+    # shuffled on what the windows below need anyway; Spark's guess of a side that comes from exploded or packed rows may be far too small
+    joined = base.join(carry.hint("merge"), [*by, BLOCK])
     out = [F.col(c) for c in df.columns if c not in values]
     for name, v in values.items():
         carried = F.col(f"__carry_{name}")
@@ -181,7 +182,7 @@ def islands_after(
     edges = summary.withColumn("__before", F.lag("last").over(wb))
     edges = edges.withColumn("e", F.when(F.col("__before").isNull(), F.lit(1).cast("long")).otherwise(one(starts(F.col("__before"), F.col("first")))))
     carry = edges.select(*by, BLOCK, (F.sum(F.col("f") + F.col("e")).over(wb) - F.col("f")).alias("__carry"))
-    out = rows.withColumn("__local", F.sum("__f").over(w)).join(carry, [*by, BLOCK])
+    out = rows.withColumn("__local", F.sum("__f").over(w)).join(carry.hint("merge"), [*by, BLOCK])
     return out.select(*df.columns, (F.col("__carry") + F.col("__local")).alias(name))
 
 
@@ -228,4 +229,4 @@ def salted_lookup(
     """
     row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
     many = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("__salt", row_salt).join(many, [*on, "__salt"], how).drop("__salt")
+    return df.withColumn("__salt", row_salt).join(multiplied(many), [*on, "__salt"], how).drop("__salt")
