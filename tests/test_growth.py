@@ -27,3 +27,8 @@ def test_interval_buckets_are_shuffled(spark):
 def test_heard_words_are_shuffled(spark):
     met = joins_on(spark, "word_offset", "cell"), joins_on(spark, "word_offset", "__salt")
     assert all(met) and {kind for kind, _ in [*met[0], *met[1]]} == {"SortMergeJoin"}
+
+
+def test_keys_of_lines_are_not_copied_for_salts(spark):
+    for name in ("repeat_runs", "majority_source", "chorus_kinds"):
+        assert not joins_on(spark, name, "__salt") and joins_on(spark, name, "key")

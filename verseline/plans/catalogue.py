@@ -141,11 +141,12 @@ SELECT track_id, min(i) AS first_line, max(i) AS last_line, min(src) AS src_firs
 )
 def repeat_runs(spark, sf):
     """Consecutive lines that repeat consecutive earlier lines, with the span they repeat."""
-    from verseline.operators.ordered import islands_after, salted_lookup
+    from verseline.operators.ordered import islands_after, multiplied
 
     k = b.doc_lines(spark, sf).select(F.col("doc_id").alias("track_id"), F.col("line_no").alias("i"), textnorm.line_key(F.col("text")).alias("key"))
-    src = k.groupBy("track_id", "key").agg(F.min("i").alias("src"))
-    r = salted_lookup(k, src, ["track_id", "key"]).where(F.col("src") < F.col("i"))
+    # nearly as many keys as lines: a copy for every salt would be many times the text
+    src = k.groupBy("track_id", "key").agg(F.min("i").alias("src"), F.max("i").alias("last")).where("src < last").drop("last")
+    r = k.join(multiplied(src), ["track_id", "key"]).where(F.col("src") < F.col("i"))
     runs = islands_after(
         r, by=["track_id"], order=["i"], block=F.floor(F.col("i") / 4096), cols=["i", "src"],
         starts=lambda p, c: (c["i"] - p["i"] != 1) | (c["src"] - p["src"] != 1), name="run",
