@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseline.operators.ordered import group_total, running_sum, salted_lookup, scan
+from verseline.operators.ordered import group_total, multiplied, running_sum, salted_lookup, scan
 
 LINE = ("track_id", "line_no")
 
@@ -131,9 +131,10 @@ def roles_in_order(rows: DataFrame, *, by: Sequence[str], role: str, order: str)
 
 def majority_source(lines: DataFrame) -> DataFrame:
     """Blocks most of whose lines were sung in one earlier block: (block_no, repeat_of). Lines need block_no and key."""
-    first = lines.groupBy("track_id", "key").agg(F.min("block_no").alias("src"))
+    # nearly as many keys as lines: a copy for every salt would be many times the text
+    first = lines.groupBy("track_id", "key").agg(F.min("block_no").alias("src"), F.max("block_no").alias("__last")).where(F.col("src") < F.col("__last")).drop("__last")
     per_block = lines.groupBy("track_id", "block_no", "key").agg(F.count("*").alias("n"))
-    votes = salted_lookup(per_block, first, ["track_id", "key"]).where(F.col("src") < F.col("block_no"))
+    votes = per_block.join(multiplied(first), ["track_id", "key"]).where(F.col("src") < F.col("block_no"))
     tally = votes.groupBy("track_id", "block_no", "src").agg(F.sum("n").alias("votes"))
     best = tally.groupBy("track_id", "block_no").agg(F.max(F.struct("votes", -F.col("src"))).alias("b"))
     size = lines.groupBy("track_id", "block_no").agg(F.count("*").alias("lines"))
