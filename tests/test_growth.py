@@ -32,3 +32,8 @@ def test_heard_words_are_shuffled(spark):
 def test_keys_of_lines_are_not_copied_for_salts(spark):
     for name in ("repeat_runs", "majority_source", "chorus_kinds"):
         assert not joins_on(spark, name, "__salt") and joins_on(spark, name, "key")
+
+
+def test_candidates_of_one_file_are_scored_in_several_tasks(spark):
+    for name in ("rank_candidates", "page_results", "best_match_field"):
+        assert "REPARTITION_BY_NUM" in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -363,14 +363,17 @@ ti AS (SELECT *, CASE WHEN k = t OR {_COMP.format('k')} = {_COMP.format('t')} TH
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, variant, position, priority DESC, title_score DESC, artist_score DESC, album_score DESC, body_score DESC, candidate_id) AS rank FROM ti)"""
 
 
-def _ranked(spark, sf):
-    p = b.table(spark, sf, "part")
+def _candidates(spark, sf):
+    p = b.spread(b.table(spark, sf, "part"))  # scoring costs far more than reading, and a file of few splits would be scored in as few tasks
     kw = p.groupBy(F.col("p_size").alias("query_id")).agg(F.min("p_name").alias("keyword"))
-    c = p.join(kw, p.p_size == kw.query_id).select(
+    return p.join(kw, p.p_size == kw.query_id).select(
         "query_id", "keyword", F.col("p_partkey").alias("candidate_id"), F.pmod("p_partkey", F.lit(3)).alias("variant"), F.pmod("p_partkey", F.lit(11)).alias("position"),
         (F.length("p_brand") * 10).alias("priority"), F.col("p_name").alias("title"), F.col("p_type").alias("artist"), F.col("p_brand").alias("album"), F.concat_ws(" ", "p_name", "p_type").alias("body"),
     )
-    return rk.rank_candidates(c)
+
+
+def _ranked(spark, sf):
+    return rk.rank_candidates(_candidates(spark, sf))
 
 
 @query(f"WITH {_CAND} SELECT query_id, candidate_id, tier, title_score, artist_score, album_score, body_score, rank FROM rk")
