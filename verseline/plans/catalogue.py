@@ -10,6 +10,7 @@ from verseline.operators import catalogue as cg
 from verseline.operators import matching as mt
 from verseline.operators import ranking as rk
 from verseline.operators import walks as wk
+from verseline.operators.ordered import salted_lookup
 from verseline.plans import bindings as b
 from verseline.plans.editing import RND2, SCORED_SQL, scored
 from verseline.plans.formats import CHARS_SQL, timed_chars
@@ -366,7 +367,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, va
 def _candidates(spark, sf):
     p = b.spread(b.table(spark, sf, "part"))  # scoring costs far more than reading, and a file of few splits would be scored in as few tasks
     kw = p.groupBy(F.col("p_size").alias("query_id")).agg(F.min("p_name").alias("keyword"))
-    return p.join(kw, p.p_size == kw.query_id).select(
+    # the parts stay where the rows are: as the smaller file they could be broadcast to their own keywords
+    return salted_lookup(p.withColumn("query_id", F.col("p_size")), kw, ["query_id"]).select(
         "query_id", "keyword", F.col("p_partkey").alias("candidate_id"), F.pmod("p_partkey", F.lit(3)).alias("variant"), F.pmod("p_partkey", F.lit(11)).alias("position"),
         (F.length("p_brand") * 10).alias("priority"), F.col("p_name").alias("title"), F.col("p_type").alias("artist"), F.col("p_brand").alias("album"), F.concat_ws(" ", "p_name", "p_type").alias("body"),
     )
@@ -390,7 +392,7 @@ def page_results(spark, sf):
     f"""WITH {_CAND} SELECT candidate_id, CASE greatest(title_score, artist_score, album_score, body_score) WHEN title_score THEN 'title' WHEN artist_score THEN 'artist' WHEN album_score THEN 'album' ELSE 'body' END AS best_field FROM rk"""
 )
 def best_match_field(spark, sf):
-    return _ranked(spark, sf).select("candidate_id", "best_field")
+    return rk.score_candidates(_candidates(spark, sf)).select("candidate_id", "best_field")
 
 
 @query(f"{_A}, f AS (SELECT *, asset_id % 7 AS res FROM assets) SELECT library_id, res, quality AS size, asset_id AS seq FROM f QUALIFY row_number() OVER (PARTITION BY library_id, res ORDER BY quality DESC, asset_id DESC) = 1")
