@@ -37,3 +37,17 @@ def test_keys_of_lines_are_not_copied_for_salts(spark):
 def test_candidates_of_one_file_are_scored_in_several_tasks(spark):
     for name in ("rank_candidates", "page_results", "best_match_field"):
         assert "REPARTITION_BY_NUM" in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def pieces_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_line_do_not_read_the_line_again(spark):
+    from verseline.sources import dialects
+
+    files = spark.createDataFrame([(1, "[100,500]<0,200,0>a<250,200,0>b>c\n[9,1](10,20,0)x")], "file_id long, content string")
+    out = dialects.parse_duration_words(files)
+    assert [tuple(r)[2:] for r in out.orderBy("line_no", "word_no").collect()] == [(100, 500, 1, "a", 100, 200), (100, 500, 2, "b>c", 350, 200), (9, 1, 1, "x", 10, 20)]
+    kept = re.findall(r"Generate posexplode\(__words#\d+\), \[([^\]]*)\]", pieces_plan(out))
+    assert kept and all("raw#" not in k for k in kept)
