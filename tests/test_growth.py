@@ -51,3 +51,27 @@ def test_words_of_a_line_do_not_read_the_line_again(spark):
     assert [tuple(r)[2:] for r in out.orderBy("line_no", "word_no").collect()] == [(100, 500, 1, "a", 100, 200), (100, 500, 2, "b>c", 350, 200), (9, 1, 1, "x", 10, 20)]
     kept = re.findall(r"Generate posexplode\(__words#\d+\), \[([^\]]*)\]", pieces_plan(out))
     assert kept and all("raw#" not in k for k in kept)
+
+
+def test_timed_pieces_are_matched_once(spark):
+    from verseline.sources import dialects
+
+    files = spark.createDataFrame([(1, "[00:01.50]a[00:02.250] b [00:03.00]")], "file_id long, content string")
+    out = dialects.parse_word_lrc(files)
+    assert [tuple(r)[2:] for r in out.orderBy("word_no").collect()] == [(1, "a", 0, 0, 1500, 3000), (2, "b", 2, 2, 2250, 3000)]
+    files = spark.createDataFrame([(1, "[00:01.00]<00:01.50>a<00:02:25> b <00:03.00>")], "file_id long, content string")
+    other = dialects.parse_enhanced_lrc(files)
+    assert [tuple(r)[2:] for r in other.orderBy("word_no").collect()] == [(1, "a", 0, 0, 1500, 3000), (2, "b", 2, 2, 2250, 3000)]
+    for df in (out, other):
+        assert "regexp_extract(" not in pieces_plan(df)
+
+
+def test_clock_stamps_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from verseline.functions import timetext as tt
+
+    df = spark.createDataFrame([(0,), (65432,), (7_265_432,), (-70_010,)], "ms long")
+    got = df.select(tt.lrc_clock(F.col("ms")), tt.lrc_clock(F.col("ms"), "ms"), tt.inline_clock(F.col("ms"))).collect()
+    assert [tuple(r) for r in got[:3]] == [("00:00.00", "00:00.000", "00:00:00"), ("01:05.43", "01:05.432", "01:05:43"), ("121:05.43", "121:05.432", "121:05:43")]
+    assert tuple(got[3]) == ("00:00.00", "00:00.000", "-2:49:99")
