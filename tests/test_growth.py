@@ -75,3 +75,15 @@ def test_clock_stamps_of_any_size(spark):
     got = df.select(tt.lrc_clock(F.col("ms")), tt.lrc_clock(F.col("ms"), "ms"), tt.inline_clock(F.col("ms"))).collect()
     assert [tuple(r) for r in got[:3]] == [("00:00.00", "00:00.000", "00:00:00"), ("01:05.43", "01:05.432", "01:05:43"), ("121:05.43", "121:05.432", "121:05:43")]
     assert tuple(got[3]) == ("00:00.00", "00:00.000", "-2:49:99")
+
+
+def test_stamped_letters_are_matched_once(spark):
+    from verseline.sources import dialects
+
+    files = spark.createDataFrame([(1, "x[1|00:01:05]ab][[10|00:02:00]c[2|00:03:00]")], "file_id long, content string")
+    out = dialects.parse_inline_timed(files)
+    assert [tuple(r)[2:] for r in out.orderBy("char_no").collect()] == [
+        (1, "x", 0, False, None), (2, "a", 1, False, 1050), (3, "b", 0, False, None), (4, "]", 0, False, None), (5, "[", 0, False, None),
+        (6, "c", 1, True, 2000), (7, "", 2, False, 3000),
+    ]
+    assert "regexp_extract(" not in pieces_plan(out) and "regexp_replace(lambda" not in pieces_plan(out)
