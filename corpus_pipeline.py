@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates over five-word shingles (beside operator 4: bands of minima, links verified exactly)."""
+    """One document of each group of near-duplicates (operator 4, and bands of minima for the copies it cannot link; links verified exactly)."""
     return simhash.keep_one(docs)
 
 

@@ -232,3 +232,13 @@ def test_documents_under_four_fifths_stay(spark):
         rows += [base, [f"e{k}x{i}" if i % 40 == 20 else w for i, w in enumerate(base)]]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(80))
+
+
+def test_near_documents_go_through_operator_4(spark, monkeypatch):
+    words = [f"w{i}" for i in range(4000)]
+    other = words[:2000] + ["other"] + words[2001:]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    a, b = simhash.fingerprint(" ".join(words)), simhash.fingerprint(" ".join(other))
+    assert a != b and bin(a ^ b).count("1") <= 2
+    monkeypatch.setattr(simhash, "_bands", lambda m: np.zeros(0, dtype=np.uint64))  # without the bands
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]

@@ -243,7 +243,7 @@ def near_components(rows: DataFrame, tau: int = 2) -> DataFrame:
 
 
 #: Near-duplicate documents: texts whose sets of five-word shingles have a Jaccard similarity of 4/5 at least. Fingerprints of such sets differ in
-#: 9.8 of 64 bits on average, too many for the pigeonhole, so candidates are those that share all minima of one band: a pair at 0.8 shares none of
+#: 9.8 of 64 bits on average, too many for the pigeonhole alone, so candidates are also those that share all minima of one band: a pair at 0.8 shares none of
 #: the 24 with a probability of 7e-5, and fewer than 73 of the 120 minima with one of 1e-6, whatever the edit's shape.
 ROWS, BANDS, AGREE = 5, 24, 73
 _DRAWN = np.random.default_rng(20_241).integers(0, 1 << 63, (2, ROWS * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -337,11 +337,12 @@ def _cells(members: DataFrame, bucket: int, most: int) -> DataFrame:
     return rows.select("cluster", "node", "sig", "hashes", "component", F.explode(cell).alias("cell")).groupBy("cluster", "cell").agg(F.collect_list(F.struct("node", "sig", "hashes", "component")).alias("own")).select("own")
 
 
-def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000, most: int = 32 << 20) -> DataFrame:
+def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000, most: int = 32 << 20, tau: int = 2) -> DataFrame:
     """(key, key2, component): rows of ``docs`` by the hashes of ``document_keys`` and the component of near-duplicate texts.
 
-    Texts with equal words are one node. Candidates share the minima of a band, and every link is verified by the exact Jaccard similarity of the
-    shingle sets (64-bit hashes). Every node is first compared with the best of the smallest nodes of its buckets, which links most of a group
+    Texts with equal words are one node. Candidates are the components of operator 4 (SimHash fingerprints linked at ``tau`` or fewer bits) and, for
+    the near copies whose fingerprints differ in more, texts that share the minima of a band. Every link is verified by the exact Jaccard similarity
+    of the shingle sets (64-bit hashes). Every node is first compared with the best of the smallest nodes of its buckets, which links most of a group
     of near copies. Then nodes that hang together over bands are a cluster; its members travel once with their shingle sets, and the task
     that gets them (or two pieces of them) settles all pairs of different components there and writes a spanning forest, never candidate pairs.
     The work, not what is written, grows with the square of a cluster whose texts are no links of each other.
@@ -350,15 +351,17 @@ def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000, most:
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            nodes, bands, sigs = [], [], []
+            nodes, fps, bands, sigs = [], [], [], []
             for t in p.column(2):
                 words = t.as_py().encode("utf-8", "replace").lower().split()
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                fps.append(int(_simhash(words, 3, (42,))[0]))
                 m = _minima(shingle_set(words, shingle)) if len(words) > shingle else None  # shorter ones have one shingle: no partner
                 bands.append([] if m is None else _bands(m).view(np.int64))
                 sigs.append(None if m is None else (m & np.uint64(255)).astype(np.uint8).tobytes())
             node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), node, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["key", "key2", "node", "bands", "sig"])
+            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), node, fp, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["key", "key2", "node", "fp", "bands", "sig"])
 
     def sets_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
@@ -383,9 +386,12 @@ def near_documents(docs: DataFrame, shingle: int = 5, bucket: int = 4000, most:
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     texts = document_keys(docs)
-    rows = checkpointed(texts.select("key", "key2", "text").mapInArrow(sketch, "key long, key2 long, node long, bands array<long>, sig binary"))
+    rows = checkpointed(texts.select("key", "key2", "text").mapInArrow(sketch, "key long, key2 long, node long, fp long, bands array<long>, sig binary"))
     nodes = rows.dropDuplicates(["node"])
-    keyed = nodes.select("node", F.explode("bands").alias("band"))
+    # a component of operator 4 is a meeting place like a band; what is no link is sorted out by the exact check
+    near = near_components(nodes.where("sig is not null").select(F.col("node").alias("doc_id"), "fp"), tau)
+    near = near.select(F.col("doc_id").alias("node"), F.xxhash64(F.lit("operator 4"), "component_id").alias("band"))
+    keyed = nodes.select("node", F.explode("bands").alias("band")).unionByName(near)
     shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
     met = checkpointed(keyed.join(shared, "band").join(nodes.select("node", "sig"), "node"))
     needed = met.select("node").distinct().join(nodes.select("node", "key", "key2"), "node")
