@@ -87,3 +87,13 @@ def test_stamped_letters_are_matched_once(spark):
         (6, "c", 1, True, 2000), (7, "", 2, False, 3000),
     ]
     assert "regexp_extract(" not in pieces_plan(out) and "regexp_replace(lambda" not in pieces_plan(out)
+
+
+def test_pairs_of_a_dictionary_are_not_cut_again_by_the_filter(spark):
+    from verseline.sources import dialects
+
+    files = spark.createDataFrame([(1, " a \tA\n\tB\nc\t　"), (2, "[w]\nx = y=z\n;n=m"), (3, "k\nv\nl\n")], "file_id long, content string")
+    out = dialects.parse_dictionary(files)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "a", "A"), (2, 2, "x", "y=z"), (3, 1, "k", "v")]
+    kept = [x for x in pieces_plan(out).splitlines() if "Filter" in x]
+    assert kept and all("regexp_replace" not in x and "split(" not in x for x in kept)
