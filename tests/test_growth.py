@@ -97,3 +97,14 @@ def test_pairs_of_a_dictionary_are_not_cut_again_by_the_filter(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "a", "A"), (2, 2, "x", "y=z"), (3, 1, "k", "v")]
     kept = [x for x in pieces_plan(out).splitlines() if "Filter" in x]
     assert kept and all("regexp_replace" not in x and "split(" not in x for x in kept)
+
+
+def test_karaoke_windows_shuffle_no_tags(spark):
+    from verseline.sources import dialects
+
+    text = "[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\nDialogue: 0,0:00:01.00,0:00:05.00,D,a,0,0,0,,{\\k20}x{\\sing_b\\k30}{\\k10}y"
+    out = dialects.parse_ass_karaoke(spark.createDataFrame([(1, text)], "file_id long, content string"))
+    got = [(r.text, r.start_ms, r.dur_ms, r.is_pause, r.singer_id) for r in out.orderBy("seg_no").collect()]
+    assert got == [("x", 1000, 200, False, "a"), ("", 1200, 300, True, "b"), ("y", 1500, 100, False, "b")]
+    below = pieces_plan(dialects.parse_ass_karaoke(spark.createDataFrame([(1, text)], "file_id long, content string"))).split("Exchange", 1)[1].splitlines()[1]
+    assert "__mark" in below and "tags" not in below and " __name#" not in below
