@@ -108,3 +108,9 @@ def test_karaoke_windows_shuffle_no_tags(spark):
     assert got == [("x", 1000, 200, False, "a"), ("", 1200, 300, True, "b"), ("y", 1500, 100, False, "b")]
     below = pieces_plan(dialects.parse_ass_karaoke(spark.createDataFrame([(1, text)], "file_id long, content string"))).split("Exchange", 1)[1].splitlines()[1]
     assert "__mark" in below and "tags" not in below and " __name#" not in below
+
+
+def test_letters_of_two_versions_are_not_shuffled_one_by_one(spark):
+    for name in ("transfer_spans", "transfer_singers"):
+        exchanged = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+        assert "Generate posexplode(__u" not in exchanged and "unit" not in exchanged

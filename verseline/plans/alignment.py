@@ -74,12 +74,6 @@ LETTER = r"[\p{L}\p{N}]"
 _SUNG = _aligned_sql(_SUNG_KEY, LETTER)
 
 
-def _plain(spark, sf):
-    src = al.text_units(b.doc_lines(spark, sf), by=DOC)
-    dst = al.text_units(other_version(spark, sf), by=DOC)
-    return src, dst, al.align_units(src, dst, by=DOC)
-
-
 @query(
     f"""{_PLAIN}, spans AS MATERIALIZED (
   SELECT doc_id, line_no, s AS first, s + 2 AS last, '<' || substr(text, CAST(s + 1 AS INTEGER), 3) || '>' AS reading
@@ -94,23 +88,23 @@ HAVING count(*) = 3 AND min(line_no) = max(line_no) AND max(col) - min(col) = 2"
 )
 def transfer_spans(spark, sf):
     """Readings over three letters in nine, carried to the other version of every document."""
-    src, dst, mapping = _plain(spark, sf)
-    lines = b.doc_lines(spark, sf).where(F.length("text") >= 4)
-    spans = lines.select("doc_id", "line_no", "text", F.explode(F.expr("sequence(1L, length(text) - 3L, 9L)")).alias("first")).select(
-        "doc_id", "line_no", "first", (F.col("first") + 2).alias("last"), F.concat(F.lit("<"), F.col("text").substr((F.col("first") + 1).cast("int"), F.lit(3)), F.lit(">")).alias("reading")
-    )
-    return al.transfer_spans(spans, mapping, src, dst, by=DOC)
+
+    def spans(text: Column) -> Column:
+        return F.when(F.length(text) >= 4, F.transform(F.sequence(F.lit(1), F.length(text) - 3, F.lit(9)), lambda i: F.struct(
+            i.cast("long").alias("first"), (i + 2).cast("long").alias("last"), F.concat(F.lit("<"), F.substring(text, i + 1, F.lit(3)), F.lit(">")).alias("reading")
+        )))
+
+    return al.carry_spans(b.doc_lines(spark, sf), other_version(spark, sf), by=DOC, spans=spans)
 
 
 _SINGERS = "singers AS (SELECT doc_id, pos, chr(CAST(65 + line_no // 2 % 3 AS INTEGER)) AS singer FROM src WHERE line_no % 11 > 0)"
 
 
 def _sung(spark, sf):
-    src = al.text_units(b.doc_lines(spark, sf), by=DOC, key=sung, keep=LETTER)
-    dst = al.text_units(other_version(spark, sf), by=DOC, key=sung, keep=LETTER)
     # two lines for each of three singers; every eleventh line belongs to nobody
-    singers = src.where(F.pmod("line_no", F.lit(11)) > 0).select("doc_id", "pos", F.expr("char(65 + line_no div 2 % 3)").alias("singer"))
-    return singers, dst, al.align_units(src, dst, by=DOC)
+    whole = F.struct(F.lit(0).cast("long").alias("first"), (F.length("text") - 1).cast("long").alias("last"), F.expr("char(65 + line_no div 2 % 3)").alias("singer"))
+    singers = F.when((F.pmod("line_no", F.lit(11)) > 0) & (F.col("text") != ""), F.array(whole))
+    return b.doc_lines(spark, sf).withColumn("singers", singers), other_version(spark, sf)
 
 
 @query(
@@ -122,8 +116,7 @@ SELECT * FROM (SELECT d.doc_id, d.line_no, d.col, coalesce(
 )
 def transfer_singers(spark, sf):
     """A singer for every letter of the other version."""
-    singers, dst, mapping = _sung(spark, sf)
-    return al.transfer_singers(singers, mapping, dst, by=DOC)
+    return al.carry_singers(*_sung(spark, sf), by=DOC, key=sung, keep=LETTER)
 
 
 @query(
@@ -134,5 +127,4 @@ SELECT *, CASE WHEN matched = 0 THEN 'uncovered' WHEN matched / letters < 0.5 TH
 )
 def singer_report(spark, sf):
     """How well the singers of every line of the other version are covered."""
-    singers, dst, mapping = _sung(spark, sf)
-    return al.singer_report(singers, mapping, dst, by=DOC)
+    return al.carry_report(*_sung(spark, sf), by=DOC, key=sung, keep=LETTER)
