@@ -64,5 +64,6 @@ def best_window_ratio(needle: Column, hay: Column) -> Column:
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own only gram."""
-    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    # one whole letter is passed each time: no gram begins inside a letter beyond 16 bits
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
     return F.when(F.length(text) < n, F.filter(F.array(text), lambda g: g != "")).otherwise(F.array_distinct(windows))

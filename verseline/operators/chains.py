@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import namedtuple
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,13 @@ STEP = "hit long, line long, start long, end long, best long, pred struct<line:l
 
 def _prefix_chain(frame):
     """Rows of one block in, their best sums and predecessors out; ``base`` holds the best that earlier blocks offer to each row."""
+    return _solved(frame.itertuples(index=False))
+
+
+def _solved(rows: Iterable) -> list[tuple]:
     import bisect
 
-    rows = sorted(frame.itertuples(index=False), key=lambda r: (r.line, r.start, r.end))
+    rows = sorted(rows, key=lambda r: (r.line, r.start, r.end))
     ends = sorted({r.end for r in rows})
     tree: list = [None] * (len(ends) + 1)  # Fenwick tree of the best (sum, -end, -line, -start) up to each end
 
@@ -57,6 +62,20 @@ def _prefix_chain(frame):
     return out
 
 
+_Hit = namedtuple("_Hit", "hit line start end weight slack base")
+
+
+def small_chain(hits: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(line, at) of the heaviest chain of one small group of (line, at, weight): ``best_chain`` without slack, in memory."""
+    rows = [(h[1:4], h[4], h[5]) for h in _solved(_Hit(i, line, at, at, weight, 0, None) for i, (line, at, weight) in enumerate(hits))]
+    before = {spot: pred for spot, _, pred in rows}
+    spot, out = max(rows, key=lambda r: (r[1], -r[0][2], -r[0][0], -r[0][1]))[0] if rows else None, []
+    while spot is not None:
+        out.append(spot[:2])
+        spot = before[spot]
+    return out
+
+
 def best_chain(hits: DataFrame, *, by: Sequence[str], slack: int = 0, block: int = 20_000, block_lines: int = 4096) -> DataFrame:
     """The hits (by, line, start, end, weight) of the heaviest chain of every group: at most one hit of a line, and along the lines every
     hit starts after the one before ends (``start > end - slack``). All columns are longs; of equal hits the heaviest counts.

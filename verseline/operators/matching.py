@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from verseline.functions.bits import hamming
 from verseline.functions.similarity import char_ngrams
-from verseline.operators.chains import best_chain
+from verseline.operators.alignment import text_groups, whole_groups
+from verseline.operators.chains import best_chain, small_chain
 from verseline.operators.intervals import asof_join, interval_join
 from verseline.operators.ordered import following_row, islands_after, multiplied, previous_row, running_max, salted_lookup, scan
 from verseline.operators.stats import exact_percentiles
@@ -161,6 +162,108 @@ def ordered_hits(pairs: DataFrame, *, by: Sequence[str], line: str, at: str) ->
     return pairs.join(chain, [*by, line, at])
 
 
+def _line_grams(texts: list[str], n: int):
+    """Distinct (line, n-gram) pairs of texts as numbers, line by line, and the bits of a gram; shorter texts are one gram."""
+    import numpy as np
+
+    codes = np.frombuffer("".join(t.ljust(n, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    real, sizes = (np.fromiter(x, dtype=np.int64, count=len(texts)) for x in (map(len, texts), (max(len(t), n) for t in texts)))
+    starts = np.cumsum(sizes) - sizes
+    line = np.repeat(np.arange(len(texts)), sizes)
+    own = np.zeros(0x110000, dtype=np.int64)
+    own[np.unique(codes)] = 1
+    letter = np.cumsum(own)[codes]  # from 1 on
+    letter[np.arange(len(codes)) - starts[line] >= real[line]] = 0  # filling
+    bits = max(1, int(own.sum()).bit_length())
+    at = np.nonzero(np.arange(len(codes)) - starts[line] <= sizes[line] - n)[0]
+    gram = np.zeros(len(at), dtype=np.int64)
+    for k in range(n):
+        gram = (gram << bits) | letter[at + k]
+    if n * bits + len(texts).bit_length() > 62:
+        gram = np.unique(gram, return_inverse=True)[1].astype(np.int64)
+        bits = len(gram).bit_length()
+    else:
+        bits *= n
+    pairs = np.unique((line[at] << bits) | gram)
+    return pairs >> bits, pairs & ((1 << bits) - 1), bits
+
+
+def _dice_pairs(left: list[str], left_group, right: list[str], right_group, n: int, min_score: float, most: int = 1 << 22):
+    """(left, right, score) of the lines of one group that reach ``min_score``, the group of each line given in ascending order."""
+    import numpy as np
+
+    line, gram, _ = _line_grams([*left, *right], n)
+    group = np.concatenate([left_group, right_group])
+    size = np.bincount(line, minlength=len(group))
+    _, gram = np.unique(gram, return_inverse=True)
+    key = group[line] * (int(gram.max(initial=0)) + 1) + gram
+    cut = int(np.searchsorted(line, len(left)))
+    order = np.argsort(key[cut:], kind="stable")
+    keys, owner = key[cut:][order], line[cut:][order] - len(left)
+    first = np.searchsorted(keys, key[:cut])
+    count = np.searchsorted(keys, key[:cut], side="right") - first
+    # places for every pair of a left line with the right lines of its group
+    r0 = np.searchsorted(right_group, left_group)
+    width = np.searchsorted(right_group, left_group, side="right") - r0
+    base = np.append(0, np.cumsum(width))
+    work = np.append(0, np.cumsum(np.bincount(line[:cut], weights=count, minlength=len(left)).astype(np.int64) + width))
+    line_at = np.searchsorted(line[:cut], np.arange(len(left) + 1))
+    lo, out = 0, []
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + most, side="right")) - 1)
+        a, z = line_at[lo], line_at[hi]
+        c = count[a:z]
+        met = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[a:z], c)
+        mine = np.repeat(line[a:z], c)
+        shared = np.bincount(base[mine] - base[lo] + owner[met] - r0[mine], minlength=1)
+        at = np.nonzero(shared)[0]
+        one = np.searchsorted(base[lo : hi + 1], at + base[lo], side="right") - 1 + lo
+        other = at + base[lo] - base[one] + r0[one]
+        score = 2 * shared[at] / (size[one] + size[other + len(left)])
+        good = np.round(score, 9) >= min_score
+        out.append((one[good], other[good], score[good]))
+        lo = hi
+    return (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def map_lines(lines: DataFrame, reference: DataFrame, *, by: Sequence[str], min_score: float, n: int = 3, most_lines: int = 2000) -> DataFrame:
+    """(by, line_no, ref_no, score): ``ordered_hits`` of the lines' pairs whose n-grams reach ``min_score`` (dice).
+
+    Both sides: by, line_no (a long), text; empty texts are left out. Groups of up to ``most_lines`` lines a side (and ``alignment.MOST`` letters) are
+    shuffled as text and settled in one task each, many at a time; larger ones (counted first) go through ``ngram_join`` and ``ordered_hits``.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    by = list(by)
+    lines, reference = lines.where("text <> ''"), reference.where("text <> ''")
+    both, large = text_groups(lines, reference, by, most_lines=most_lines)
+
+    def run(parts):
+        for rows, group in whole_groups(parts, by):
+            side, no, texts = rows.column("__side").to_numpy(), rows.column("line_no").to_numpy(), rows.column("text").to_pylist()
+            a, z = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+            one, other, score = _dice_pairs([texts[i] for i in a.tolist()], group[a], [texts[i] for i in z.tolist()], group[z], n, min_score)
+            weight = np.floor(score * 1_000_000 + 0.5).astype(np.int64)
+            line, at, of = no[a[one]], no[z[other]], group[a[one]]
+            got = []
+            edges = np.nonzero(np.append(True, of[1:] != of[:-1]))[0].tolist() if len(of) else []
+            for lo, hi in zip(edges, [*edges[1:], len(of)]):
+                place = {(x, y): i for i, (x, y) in enumerate(zip(line[lo:hi].tolist(), at[lo:hi].tolist()), lo)}
+                got += [place[x] for x in small_chain(zip(line[lo:hi].tolist(), at[lo:hi].tolist(), weight[lo:hi].tolist()))]
+            got = np.array(got, dtype=np.int64)
+            named = {c: rows.column(c).take(pa.array(a[one[got]])) for c in by}
+            yield from pa.table({**named, "line_no": pa.array(line[got]), "ref_no": pa.array(at[got]), "score": pa.array(score[got])}).to_batches()
+
+    kind = dict(lines.dtypes)
+    out = both.mapInArrow(run, "".join(f"`{c}` {kind[c]}, " for c in by) + "line_no long, ref_no long, score double")
+    if large is None:
+        return out
+    rest, ref = lines.join(large, by, "left_semi"), reference.join(large, by, "left_semi").withColumnRenamed("line_no", "ref_no")
+    pairs = ngram_join(rest, ref, left_id=["line_no"], right_id=["ref_no"], by=by, n=n, min_score=min_score, measure="dice")
+    return out.unionByName(ordered_hits(pairs, by=by, line="line_no", at="ref_no").select(*by, "line_no", "ref_no", "score"))
+
+
 # ------------------------------------------------------------------ offsets between timings
 def word_offset(words: DataFrame, heard: DataFrame, *, max_shift_ms: int = 60_000, bin_ms: int = 100, refine_ms: int = 300) -> DataFrame:
     """Offset of a recording: the fullest bin (neighbours at half) of all differences between equal words, then the median

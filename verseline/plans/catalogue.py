@@ -223,10 +223,9 @@ SELECT c.doc_id, c.l AS line_no, c.e AS ref_no, round(p.score, 6) AS score FROM
 )
 def map_to_reference(spark, sf):
     """Lines of a shortened version of each document mapped to the lines of the full one, never backwards."""
-    ref = b.doc_lines(spark, sf).where("text <> ''").withColumnRenamed("line_no", "ref_no")
-    short = b.doc_lines(spark, sf).withColumn("text", F.array_join(F.filter(F.split("text", " "), lambda w, i: F.pmod(i + 1, F.lit(6)) != 5), " ")).where("text <> ''")
-    pairs = mt.ngram_join(short, ref, left_id=["line_no"], right_id=["ref_no"], by=["doc_id"], min_score=0.55, measure="dice")
-    return mt.ordered_hits(pairs, by=["doc_id"], line="line_no", at="ref_no").select("doc_id", "line_no", "ref_no", F.round("score", 6).alias("score"))
+    full = b.doc_lines(spark, sf)
+    short = full.withColumn("text", F.array_join(F.filter(F.split("text", " "), lambda w, i: F.pmod(i + 1, F.lit(6)) != 5), " "))
+    return mt.map_lines(short, full, by=["doc_id"], min_score=0.55).withColumn("score", F.round("score", 6))
 
 
 _WORDS = "dict AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+', 0)) AS w FROM benchmark) WHERE length(w) BETWEEN 3 AND 6)"
