@@ -48,6 +48,15 @@ def test_token_ids_match_direct_encoding(spark):
     assert tokenbin.read(spark, folder + "e").count() == 0
 
 
+def test_new_chunks_are_found_by_the_lookup_itself():
+    enc, tokenizer = tokenbin.ChunkEncoder(VOCABULARY, most_chars=60), Tokenizer.from_file(VOCABULARY)
+    for texts in (["new new. word", "word  new", ""], ["new other", "other. Word!", *ODD], ["again new"]):
+        ids, lengths = enc.encode(texts, 1)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == [len(w) for w in want]
+        assert not enc.known.new and min(enc.known.values()) == 0
+
+
 def shares(docs, items, threshold=0.8):
     out = []
     for d, t in docs:

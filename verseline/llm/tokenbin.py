@@ -89,6 +89,19 @@ class Segment:
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|]*)")
 
 
+class _Known(dict):
+    """Places of chunks; those not known yet are listed as they are asked for, and take a negative place until they are."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = -len(self.new)
+        return -len(self.new)
+
+
 class ChunkEncoder:
     """Encodes texts by their white-space-separated chunks, of which it remembers a bounded number.
 
@@ -105,7 +118,7 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.chars, self.flat, self.starts = {"": 0}, 0, bytearray(), array("q", [0, 0])
+        self.known, self.chars, self.flat, self.starts = _Known(), 0, bytearray(), array("q", [0, 0])
 
     def _keep(self, chunk: str, ids: bytes) -> None:
         self.known[chunk] = len(self.starts) - 1
@@ -147,21 +160,26 @@ class ChunkEncoder:
         if self.chars > self.most:
             self.forget()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            self._add(missing)
         counts = [len(c) for c in split]
         place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
-        flat, starts = np.frombuffer(bytes(self.flat), dtype="<u4"), np.array(self.starts, dtype=np.int64)
-        size = starts[place + 1] - starts[place]
-        doc_of = np.repeat(np.arange(len(texts)), counts)
-        lengths = np.bincount(doc_of, weights=size, minlength=len(texts)).astype(np.int64) + 1
+        if missing := self.known.new:
+            self.known.new = []
+            for c in missing:
+                del self.known[c]
+            self._add(set(missing))
+            named = np.fromiter(map(self.known.__getitem__, missing), dtype=np.int64, count=len(missing))
+            unnamed = np.nonzero(place < 0)[0]
+            place[unnamed] = named[-1 - place[unnamed]]
+        flat, starts = np.frombuffer(self.flat, dtype="<u4"), np.frombuffer(self.starts, dtype=np.int64)  # views; gone before the next chunk is kept
+        begin = starts[place]
+        size = starts[place + 1] - begin
+        before = offsets_of(size)
+        lengths = np.diff(before[offsets_of(counts)]) + 1
         ends = offsets_of(lengths)
-        before = offsets_of(size)[:-1] + doc_of  # one end id for each earlier text
         out = np.full(int(ends[-1]), end_id, dtype=np.uint32)
-        total = int(size.sum())
-        inner = np.arange(total) - np.repeat(offsets_of(size)[:-1], size)
-        out[np.repeat(before, size) + inner] = flat[np.repeat(starts[place], size) + inner]
+        inside = np.ones(len(out), dtype=bool)
+        inside[ends[1:] - 1] = False
+        out[inside] = flat[np.arange(int(before[-1])) + np.repeat(begin - before[:-1], size)]
         return out, lengths
 
 
