@@ -99,12 +99,13 @@ def asof_join(
     strict: bool = False,
     tie: str | None = None,
     block_ms: int = BLOCK_MS,
+    wide: bool = False,
 ) -> DataFrame:
     """Attach to every left row the ``payload`` of the nearest right row at or before (``backward``), at or after
     (``forward``) or on either side (``nearest``; an equal distance takes the earlier one).
 
     Null payload columns mean no partner. Among right rows of one time, the ``tie`` column decides: the highest wins
-    looking back, the lowest looking ahead. Output: all left columns plus the payload.
+    looking back, the lowest looking ahead. Output: all left columns plus the payload. ``wide`` is that of ``scan``.
     """
     by = list(by)
     tied = F.col(tie) if tie else F.lit(0).cast("long")
@@ -120,7 +121,7 @@ def asof_join(
         want["__back"] = last_known(F.col("__r"))
     if direction in ("forward", "nearest", "both"):
         want["__ahead"] = next_known(F.col("__r"))
-    s = scan(both, by=by, order=["__t", "__o", "__u"], block=F.floor(F.col("__t") / block_ms), **want).where(F.col("__l").isNotNull())
+    s = scan(both, by=by, order=["__t", "__o", "__u"], block=F.floor(F.col("__t") / block_ms), wide=wide, **want).where(F.col("__l").isNotNull())
     if direction == "both":
         return s.select(
             *[F.col(f"__l.{c}") for c in left.columns], *[F.col(f"__back.{c}") for c in payload], *[F.col(f"__ahead.{c}").alias(f"next_{c}") for c in payload]

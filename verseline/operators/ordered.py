@@ -70,15 +70,27 @@ def group_total(value: Column) -> Running:
     return Running("total", value)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows shuffled on ``keys`` into as many partitions as the session allows.
+
+    Spark would join small partitions to one for every core, and what a task sorts would grow with the input divided by the cores.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scan(
     df: DataFrame,
     *,
     by: Sequence[str],
     order: Sequence[str],
     block: Column,
+    wide: bool = False,
     **values: Running,
 ) -> DataFrame:
-    """Add one column per running value. ``order`` must be a total order inside a group."""
+    """Add one column per running value. ``order`` must be a total order inside a group.
+
+    ``wide``: rows are many or long for their input (letters and words of files), so they are dealt to all partitions of the session.
+    """
     by, order = list(by), list(order)
     inputs = {name: f"__in_{name}" for name in values}
     base = df.withColumn(BLOCK, block).withColumns({inputs[n]: v.value for n, v in values.items()})
@@ -114,26 +126,28 @@ def scan(
 
     inner_fwd = Window.partitionBy(*by, BLOCK).orderBy(*[F.col(c).asc() for c in order])
     inner_bwd = Window.partitionBy(*by, BLOCK).orderBy(*[F.col(c).desc() for c in order])
-    # shuffled on what the windows below need anyway; Spark's guess of a side that comes from exploded or packed rows may be far too small
-    joined = base.join(carry.hint("merge"), [*by, BLOCK])
+    local = {}
+    for name, v in values.items():
+        if v.kind != "total":
+            w = (inner_fwd if v.forward else inner_bwd).rowsBetween(Window.unboundedPreceding, Window.currentRow if v.inclusive else -1)
+            local[f"__local_{name}"] = _combine(v.kind, F.col(inputs[name]), w)
+    # windows before the join, which then needs no sort of its own; merged, as Spark's guess of a side that comes from exploded or packed rows may be far too small
+    rows = dealt(base, *by, BLOCK) if wide else base
+    joined = rows.withColumns(local).join(carry.hint("merge"), [*by, BLOCK])
     out = [F.col(c) for c in df.columns if c not in values]
     for name, v in values.items():
-        carried = F.col(f"__carry_{name}")
+        carried, here = F.col(f"__carry_{name}"), F.col(f"__local_{name}")
         if v.kind == "total":
             out.append(carried.alias(name))
             continue
-        w = (inner_fwd if v.forward else inner_bwd).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow if v.inclusive else -1
-        )
-        local = _combine(v.kind, F.col(inputs[name]), w)
         if v.kind == "sum":
-            both = F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
+            both = F.coalesce(carried, F.lit(0)) + F.coalesce(here, F.lit(0))
         elif v.kind == "max":
-            both = F.greatest(carried, local)
+            both = F.greatest(carried, here)
         elif v.kind == "min":
-            both = F.least(carried, local)
+            both = F.least(carried, here)
         else:
-            both = F.coalesce(local, carried)
+            both = F.coalesce(here, carried)
         out.append(both.alias(name))
     return joined.select(*out)
 

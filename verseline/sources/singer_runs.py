@@ -57,19 +57,19 @@ def html_runs(files: DataFrame) -> DataFrame:
         }
     ).drop("__t", "__pos")
     at = F.floor(F.col("run_no") / BLOCK)
-    s = scan(rows, by=["file_id"], order=["run_no"], block=at, __sum=running_sum(F.col("__step")), __line=running_sum(F.col("__break")))
-    s = scan(s, by=["file_id"], order=["run_no"], block=at, __low=running_min(F.col("__sum")), __low0=running_min(F.col("__sum"), inclusive=False))
+    s = scan(rows, by=["file_id"], order=["run_no"], block=at, wide=True, __sum=running_sum(F.col("__step")), __line=running_sum(F.col("__break")))
+    s = scan(s, by=["file_id"], order=["run_no"], block=at, wide=True, __low=running_min(F.col("__sum")), __low0=running_min(F.col("__sum"), inclusive=False))
     floor_ = lambda c: F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
     # the stack never falls below empty: what the sum lost below zero is added again
     depth = F.col("__sum") - floor_("__low")
     idle = (F.col("__step") == -1) & (floor_("__low") < floor_("__low0"))
     s = s.where(~idle).withColumn("__level", depth + F.when(F.col("__step") == -1, 1).otherwise(0))
     tags = s.where("__step <> 0")
-    met = scan(tags, by=["file_id", "__level"], order=["run_no"], block=at, __open=last_known(F.when(F.col("__step") == 1, F.col("__colour").isNotNull())))
+    met = scan(tags, by=["file_id", "__level"], order=["run_no"], block=at, wide=True, __open=last_known(F.when(F.col("__step") == 1, F.col("__colour").isNotNull())))
     coloured = met.where("__open").select("file_id", "run_no", "__step", "__colour", F.lit(None).cast("string").alias("__text"), "__line")
     texts = s.where(F.col("__text").isNotNull()).select("file_id", "run_no", "__step", "__colour", "__text", "__line")
-    both = scan(coloured.unionByName(texts), by=["file_id"], order=["run_no"], block=at, __depth=running_sum(F.col("__step")))
-    seen = scan(both, by=["file_id", "__depth"], order=["run_no"], block=at, __key=last_known(F.when(F.col("__step") == 1, F.col("__colour"))))
+    both = scan(coloured.unionByName(texts), by=["file_id"], order=["run_no"], block=at, wide=True, __depth=running_sum(F.col("__step")))
+    seen = scan(both, by=["file_id", "__depth"], order=["run_no"], block=at, wide=True, __key=last_known(F.when(F.col("__step") == 1, F.col("__colour"))))
     key = F.when(F.col("__depth") > 0, F.col("__key")).otherwise(NO_KEY)
     return seen.where(F.col("__text").isNotNull()).select("file_id", (F.col("__line") + 1).alias("line_no"), "run_no", key.alias("singer_key"), F.col("__text").alias("text"))
 
