@@ -320,10 +320,10 @@ def warp_times(points: DataFrame, knots: DataFrame, *, tol_ms: int = 200, min_wo
     usable = agree.where((F.col("n") >= min_words) & (F.col("agree") >= min_agree)).select("track_id")
     target = F.when(F.abs(F.col("__d") - F.col("off")) > tol_ms, F.floor(F.col("dst_ms") - F.col("off"))).otherwise(F.col("src_ms"))
     k = k.select("track_id", "src_ms", target.cast("long").alias("to_ms")).join(usable, "track_id", "left_semi")
-    k = scan(k, by=["track_id"], order=["src_ms", "to_ms"], block=F.floor(F.col("src_ms") / 60000), __hi=running_max(F.col("to_ms"), inclusive=False))
+    k = scan(k, by=["track_id"], order=["src_ms", "to_ms"], block=F.floor(F.col("src_ms") / 60000), wide=True, __hi=running_max(F.col("to_ms"), inclusive=False))
     k = k.where(F.col("__hi").isNull() | (F.col("to_ms") > F.col("__hi") + 30)).select("track_id", "src_ms", "to_ms")
     k = k.select("track_id", "src_ms", F.col("src_ms").alias("k"), F.col("to_ms").alias("v"))
-    j = asof_join(points, k, by=["track_id"], left_t="t_ms", right_t="src_ms", payload=["k", "v"], direction="both")
+    j = asof_join(points, k, by=["track_id"], left_t="t_ms", right_t="src_ms", payload=["k", "v"], direction="both", wide=True)
     t = F.col("t_ms")
     inside = F.col("v") + F.floor((t - F.col("k")) * (F.col("next_v") - F.col("v")) / (F.col("next_k") - F.col("k")))
     new = (
