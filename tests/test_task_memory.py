@@ -13,7 +13,7 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["singer_runs", "warp_times", "attach_word_durations"])
+@pytest.mark.parametrize("name", ["singer_runs", "warp_times", "attach_word_durations", "drop_by_class"])
 def test_rows_of_wide_queries_are_dealt(spark, name):
     assert re.search(r"hashpartitioning\(.*\), REPARTITION_BY_NUM", planned(entry.queries()[name](spark, SF)))
 

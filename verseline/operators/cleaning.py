@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verseline.functions import timetext as tt
 from verseline.functions.scripts import char_class, display_units
 from verseline.functions.textnorm import compact, normalize_text, strip
-from verseline.operators.ordered import running_sum, salted_lookup, scan
+from verseline.operators.ordered import dealt, running_sum, salted_lookup, scan
 from verseline.sources.dialects import METADATA_LINE, split_lines
 
 LINE = ("track_id", "line_no")
@@ -311,7 +311,7 @@ def drop_by_class(chars: DataFrame, *, classes: tuple[str, ...], what: str = "ru
     """Clear readings or beats of the chosen classes; a compound linked to a kanji counts as kanji throughout."""
     w = Window.partitionBy(*LINE).orderBy("char_no")
     prev = F.coalesce(F.lag("linked").over(w), F.lit(False))
-    s = chars.withColumn("__g", F.sum(F.when(prev, 0).otherwise(1)).over(w))
+    s = dealt(chars, *LINE).withColumn("__g", F.sum(F.when(prev, 0).otherwise(1)).over(w))
     klass = char_class(F.col("ch"))
     compound = Window.partitionBy(*LINE, "__g")
     s = s.withColumn("__kanji", F.max(klass == "kanji").over(compound) & (F.count("*").over(compound) > 1))
