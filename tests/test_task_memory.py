@@ -13,7 +13,7 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["singer_runs", "warp_times", "attach_word_durations", "drop_by_class"])
+@pytest.mark.parametrize("name", ["singer_runs", "warp_times", "attach_word_durations", "drop_by_class", "max_pyramid"])
 def test_rows_of_wide_queries_are_dealt(spark, name):
     assert re.search(r"hashpartitioning\(.*\), REPARTITION_BY_NUM", planned(entry.queries()[name](spark, SF)))
 
@@ -23,3 +23,17 @@ def test_a_scan_sorts_its_rows_once(spark):
     got = ordered.scan(rows, by=["k"], order=["t"], block=rows["t"] % 7, s=ordered.running_sum(rows["x"]))
     # the rows, the summary of blocks, and the summary again for the join
     assert len(re.findall(r"\bSort \[", planned(got))) == 3
+
+
+def test_levels_of_a_pyramid_are_shuffled_once(spark):
+    from verseline.operators import signal as sg
+
+    frames = spark.createDataFrame([(1, k, float(k % 5)) for k in range(-3, 37)], "track_id int, frame_no long, value double")
+    got = sg.max_pyramid(frames, levels=4)
+    assert planned(got).count("Exchange") == 1
+    want = {}
+    for k in range(-3, 37):
+        for level in range(1, 5):
+            key = 1, level, k // 2**level
+            want[key] = max(want.get(key, 0.0), float(k % 5))
+    assert {tuple(r)[:3]: r[3] for r in got.collect()} == want

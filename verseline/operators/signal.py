@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verseline.operators.ordered import following_row, framed, islands_after, running_max, salted_lookup, scan
+from verseline.operators.ordered import dealt, following_row, framed, islands_after, running_max, salted_lookup, scan
 from verseline.operators.stats import exact_percentiles
 
 WIDTH = 65536
@@ -40,10 +40,15 @@ def rms_envelope(samples: DataFrame, *, hop: int) -> DataFrame:
 
 
 def max_pyramid(frames: DataFrame, *, levels: int) -> DataFrame:
-    """Maximum over groups of 2^k frames for k = 1..levels; an odd tail is kept."""
-    level = frames.select("track_id", "frame_no", "value", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"))
-    bucket = F.floor(F.col("frame_no") / F.pow(F.lit(2.0), F.col("level")))
-    return level.groupBy("track_id", "level", bucket.alias("bucket")).agg(F.max("value").alias("value"))
+    """Maximum over groups of 2^k frames for k = 1..levels; an odd tail is kept.
+
+    Frames of one bucket of the top level meet in one task, so the levels below it need no shuffle of their own.
+    """
+    bucket = lambda k: F.floor(F.col("frame_no") / F.pow(F.lit(2.0), k))
+    rows = dealt(frames.select("track_id", "frame_no", "value", bucket(F.lit(levels)).alias("__top")), "track_id", "__top")
+    level = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"))
+    top = level.groupBy("track_id", "__top", "level", bucket(F.col("level")).alias("bucket")).agg(F.max("value").alias("value"))
+    return top.select("track_id", "level", "bucket", "value")
 
 
 def band_thresholds(frames: DataFrame, *, lo: float = 0.20, hi: float = 0.98, k: float = 0.35) -> DataFrame:
