@@ -5,6 +5,7 @@ import re
 import __spark_entry__ as entry
 import pytest
 from verseline.operators import ordered
+from verseline.operators import walks as wk
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +38,11 @@ def test_levels_of_a_pyramid_are_shuffled_once(spark):
             key = 1, level, k // 2**level
             want[key] = max(want.get(key, 0.0), float(k % 5))
     assert {tuple(r)[:3]: r[3] for r in got.collect()} == want
+
+
+def test_next_cuts_read_the_bars_a_few_times(spark):
+    bars = spark.createDataFrame([(1, 500 * k, 0.5, 1.0, 500) for k in range(40)], "track_id int, t long, energy double, pace double, bar_ms long")
+    forced, takes = bars.where("t = 3000").select("track_id", "t"), bars.where("t = 8000").selectExpr("track_id", "t as t0", "t + 4250 as t1")
+    ends = bars.groupBy("track_id").agg({"t": "max"}).toDF("track_id", "end")
+    got = wk._successors(bars.select("track_id", "t"), bars, forced, takes, ends, ["track_id"], 2, 800, 6000, 60_000)
+    assert planned(got).count("Scan ExistingRDD") <= 8

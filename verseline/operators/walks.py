@@ -8,11 +8,13 @@ logarithmic rounds: each round follows pointers that are twice as long as those
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseline.operators.intervals import asof_join
+from verseline.operators.ordered import last_known, next_known, scan
 from verseline.session import cut_lineage
 
 
@@ -47,23 +49,35 @@ def min_gap_pick(times: DataFrame, *, by: Sequence[str], t: str, min_gap: int, b
 
 
 def _successors(nodes: DataFrame, bars: DataFrame, forced: DataFrame, takes: DataFrame, ends: DataFrame, by: list[str], every: float, min_shot: int, max_shot: int, block_ms: int) -> DataFrame:
-    """(by, t, to): the next cut after a cut at t, null where the plan ends."""
-    kw = {"by": by, "block_ms": block_ms}
-    s = nodes.join(ends, by)
-    s = asof_join(s, bars.select(*by, F.col("t").alias("__bar"), "energy", "pace", "bar_ms"), left_t="t", right_t="__bar", payload=["energy", "pace", "bar_ms"], **kw)
+    """(by, t, to): the next cut after a cut at t, null where the plan ends.
+
+    Two scans look everything up: one at the stops, one at the three times that each stop asks about. A scan reads its input twice, so what
+    the first found is written down; a chain of one lookup after the other would read the first one's input over and over.
+    """
+    row = lambda df, t, order, *cols: df.select(*by, F.col(t).cast("long").alias("__t"), F.lit(order).alias("__o"), *cols)
+    merged = lambda a, *rest: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rest, a)
+    kw = {"by": by, "block": F.floor(F.col("__t") / block_ms)}
+    # a bar or take that starts at a stop lies behind it
+    stops = row(nodes.join(ends, by), "t", 1, "t", "end")
+    began = merged(stops, row(bars, "t", 0, F.struct("energy", "pace", "bar_ms").alias("__b")), row(takes, "t0", 0, F.struct("t0", "t1").alias("__k")))
+    s = scan(began, order=["__t", "__o"], __bar=last_known(F.col("__b")), __in=last_known(F.col("__k")), __next=next_known(F.col("__k")), **kw).where("__o = 1")
     # before the first bar: its values
     first = bars.groupBy(*by).agg(F.min_by(F.struct("energy", "pace", "bar_ms"), "t").alias("__first"))
-    s = s.join(first, by).withColumns({c: F.coalesce(c, f"__first.{c}") for c in ("energy", "pace", "bar_ms")}).drop("__first")
-    s = asof_join(s, takes.select(*by, F.col("t0").alias("__t0"), F.col("t1").alias("__t1")), left_t="t", right_t="__t0", payload=["__t1"], **kw)
-    s = asof_join(s, takes.select(*by, F.col("t0").alias("__t0"), F.col("t0").alias("__take")), left_t="t", right_t="__t0", payload=["__take"], direction="forward", strict=True, **kw)
+    s = s.join(first, by).withColumns({c: F.coalesce(f"__bar.{c}", f"__first.{c}") for c in ("energy", "pace", "bar_ms")})
+    s = s.select(*by, "t", "end", "energy", "pace", "bar_ms", F.col("__in.t1").cast("long").alias("__t1"), F.col("__next.t0").alias("__take"))
     wished = F.lit(float(every)) * F.when(F.col("energy") > 0.72, 0.5).when(F.col("energy") < 0.28, 2.0).otherwise(1.0) * F.col("pace")
     s = s.withColumn("__most", F.least(F.lit(max_shot).cast("long"), F.col("__take") - F.col("t")))
     s = s.withColumn("__target", F.least(F.col("t") + F.round(F.greatest(F.lit(1.0), wished) * F.col("bar_ms")).cast("long"), F.col("t") + F.col("__most")))
     s = s.withColumns({"__lo": F.col("t") + min_shot, "__hi": F.col("t") + F.col("__most")}).withColumn("__at", F.greatest("__target", "__lo"))
-    s = asof_join(s, forced.select(*by, F.col("t").alias("__f"), F.col("t").alias("__force")), left_t="__lo", right_t="__f", payload=["__force"], direction="forward", **kw)
-    grid = bars.select(*by, F.col("t").alias("__b"), F.col("t").alias("__near"))
-    s = asof_join(s, grid, left_t="__target", right_t="__b", payload=["__near"], **kw).withColumnRenamed("__near", "__below")
-    s = asof_join(s, grid, left_t="__at", right_t="__b", payload=["__near"], direction="forward", **kw).withColumnRenamed("__near", "__above")
+    # inside one time: those who look ahead (0), bars and forced cuts (1), those who look back (2)
+    asks = [F.struct(F.col(t).cast("long").alias("t"), F.lit(o).alias("o"), F.lit(k).alias("k")) for k, t, o in ((0, "__lo", 0), (1, "__target", 2), (2, "__at", 0))]
+    stop = [*by, "t", "end", "__t1", "__target", "__lo", "__hi"]
+    s = cut_lineage(s.select(*stop, "__at"))
+    asked = s.select(*stop, F.explode(F.array(*asks)).alias("__a")).select(*stop, F.col("__a.t").alias("__t"), F.col("__a.o").alias("__o"), F.col("__a.k").alias("__ask"))
+    grid = merged(asked, row(bars, "t", 1, F.col("t").cast("long").alias("__b")), row(forced, "t", 1, F.col("t").cast("long").alias("__f")))
+    found = scan(grid, order=["__t", "__o", "__ask", "t"], __below=last_known(F.col("__b")), __above=next_known(F.col("__b")), __force=next_known(F.col("__f")), **kw)
+    answer = [F.max(F.when(F.col("__ask") == k, F.col(c))).alias(c) for k, c in ((0, "__force"), (1, "__below"), (2, "__above"))]
+    s = found.where(F.col("__ask").isNotNull()).groupBy(*stop).agg(*answer)
     low = F.when(F.col("__below").between(F.col("__lo"), F.col("__hi")), F.col("__below"))
     high = F.when(F.col("__above").between(F.col("__lo"), F.col("__hi")), F.col("__above"))
     nearest = F.when(low.isNull() | (high - F.col("__target") < F.col("__target") - low), F.coalesce(high, low)).otherwise(low)

@@ -15,6 +15,7 @@ from verseline.plans import bindings as b
 from verseline.plans.editing import RND2, SCORED_SQL, scored
 from verseline.plans.formats import CHARS_SQL, timed_chars
 from verseline.plans.registry import query
+from verseline.session import cut_lineage
 
 _D = "WITH " + b.DOC_LINES_SQL
 _L = "WITH " + b.LINES_SQL
@@ -611,12 +612,12 @@ nx AS (SELECT track_id, t, CASE WHEN t >= fin - 800 THEN NULL WHEN inside IS NOT
 SELECT track_id, t AS t0, coalesce(nxt, fin) AS t1 FROM walk JOIN nx USING (track_id, t) JOIN fin USING (track_id) WHERE coalesce(nxt, fin) - t > 50"""
 )
 def walk_cuts(spark, sf):
-    """The shots of a greedy walk over bars, forced cuts and takes."""
+    """The shots of a greedy walk over bars, forced cuts and takes; all of them come from the bars, which are written once."""
     odd, frames = F.pmod("track_id", F.lit(2)) == 1, b.frames(spark, sf)
     first = frames.groupBy("track_id").agg(F.min("frame_no").alias("first"))
-    nodes = frames.join(first, "track_id").select(
+    nodes = cut_lineage(frames.join(first, "track_id").select(
         "track_id", ((F.col("frame_no") - F.col("first")) * 500).alias("t"), F.least(F.col("value") / 150, F.lit(1.0)).alias("energy"), F.when(F.pmod("frame_no", F.lit(58)) < 29, 0.75).otherwise(1.5).alias("pace"), F.lit(500).cast("long").alias("bar_ms")
-    )
+    ))
     forced = nodes.where(F.pmod("t", F.lit(14500)) == 1500).select("track_id", (F.col("t") + 130).alias("t"))
     takes = nodes.where(odd & (F.pmod("t", F.lit(24000)) == 6000)).select("track_id", F.col("t").alias("t0"), (F.col("t") + 4250).alias("t1"))
     ends = nodes.groupBy("track_id").agg((F.max("t") + 700).alias("end"))
