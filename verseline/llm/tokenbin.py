@@ -86,7 +86,7 @@ class Segment:
 
 
 # A word of letters that no normal form changes, and marks behind it: the tokenizer cuts between the two and lowers the first.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|]*)")
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|#$%&*+/=@^_~-]*)")
 
 
 class _Known(dict):
@@ -120,15 +120,22 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.known, self.chars, self.flat, self.starts = _Known(), 0, bytearray(), array("q", [0, 0])
 
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        self.known[chunk] = len(self.starts) - 1
-        self.flat += ids
-        self.starts.append(len(self.flat) // 4)
-        self.chars += len(chunk) + 8
-
-    def _ids(self, chunk: str) -> bytes:
-        i = self.known[chunk]
-        return bytes(self.flat[4 * self.starts[i] : 4 * self.starts[i + 1]])
+    def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Chunks not known yet, their ids one after the other, and how many each has."""
+        first = len(self.starts) - 1
+        ends = self.starts[-1] + np.cumsum(sizes, dtype=np.int64)
+        self.flat += ids.astype("<u4", copy=False).tobytes()
+        self.starts.frombytes(ends.tobytes())
+        self.known.update(zip(chunks, range(first, first + len(chunks))))
+        self.chars += sum(map(len, chunks)) + 8 * len(chunks)
+
+    def _read(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at all places one after the other, and how many each has; the views are gone before the next chunk is kept."""
+        flat, starts = np.frombuffer(self.flat, dtype="<u4"), np.frombuffer(self.starts, dtype=np.int64)
+        begin = starts[place]
+        size = starts[place + 1] - begin
+        before = offsets_of(size)
+        return flat[np.arange(int(before[-1])) + np.repeat(begin - before[:-1], size)], size
 
     def _ask(self, chunks: list[str]) -> None:
         """Encode chunks not known yet."""
@@ -137,23 +144,28 @@ class ChunkEncoder:
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" 0 ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
-            ends = np.append(np.nonzero(ids == self.mark[0])[0], len(ids))
-            if len(ends) != len(group):
+            marks = np.nonzero(ids == self.mark[0])[0]
+            if len(marks) + 1 != len(group):
                 alone += group
                 continue
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(group, ends.tolist()):
-                self._keep(c, raw[4 * at : 4 * end])
-                at = end + 1
+            self._keep(group, np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1)
         for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self._keep(c, np.array(e.ids, dtype="<u4").tobytes())
-
-    def _add(self, chunks: set[str]) -> None:
-        cut = {c: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c,) for c in sorted(chunks)}
-        self._ask(sorted({p for parts in cut.values() for p in parts}.difference(self.known)))
-        for c, parts in cut.items():
-            if c not in self.known:
-                self._keep(c, b"".join(map(self._ids, parts)))
+            self._keep([c], np.array(e.ids, dtype="<u4"), np.array([len(e.ids)]))
+
+    def _add(self, chunks: list[str]) -> None:
+        """Know these chunks: words with marks behind them by their two parts, the others as they stand."""
+        parts = list(map(PLAIN.fullmatch, chunks))
+        cut = [(c, m[1].lower(), m[2]) for c, m in zip(chunks, parts) if m]
+        new = {c for c, m in zip(chunks, parts) if not m}
+        new.update(w for _, w, _ in cut)
+        new.update(k for _, _, k in cut)
+        self._ask([c for c in new if c not in self.known])
+        cut = [x for x in cut if x[0] not in self.known]
+        if cut:
+            names, words, marks = zip(*cut)
+            place = np.array([list(map(self.known.__getitem__, words)), list(map(self.known.__getitem__, marks))], dtype=np.int64).T.ravel()
+            ids, size = self._read(place)
+            self._keep(names, ids, size.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and their lengths."""
@@ -166,20 +178,17 @@ class ChunkEncoder:
             self.known.new = []
             for c in missing:
                 del self.known[c]
-            self._add(set(missing))
+            self._add(missing)
             named = np.fromiter(map(self.known.__getitem__, missing), dtype=np.int64, count=len(missing))
             unnamed = np.nonzero(place < 0)[0]
             place[unnamed] = named[-1 - place[unnamed]]
-        flat, starts = np.frombuffer(self.flat, dtype="<u4"), np.frombuffer(self.starts, dtype=np.int64)  # views; gone before the next chunk is kept
-        begin = starts[place]
-        size = starts[place + 1] - begin
-        before = offsets_of(size)
-        lengths = np.diff(before[offsets_of(counts)]) + 1
+        found, size = self._read(place)
+        lengths = np.diff(offsets_of(size)[offsets_of(counts)]) + 1
         ends = offsets_of(lengths)
         out = np.full(int(ends[-1]), end_id, dtype=np.uint32)
         inside = np.ones(len(out), dtype=bool)
         inside[ends[1:] - 1] = False
-        out[inside] = flat[np.arange(int(before[-1])) + np.repeat(begin - before[:-1], size)]
+        out[inside] = found
         return out, lengths
 
 
