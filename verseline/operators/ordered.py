@@ -94,6 +94,7 @@ def scan(
     by, order = list(by), list(order)
     inputs = {name: f"__in_{name}" for name in values}
     base = df.withColumn(BLOCK, block).withColumns({inputs[n]: v.value for n, v in values.items()})
+    base = dealt(base, *by, BLOCK) if wide else base  # before the summary too, whose aggregate of structs sorts what a task reads
 
     key = F.struct(*[F.col(c) for c in order])
     summary_cols = []
@@ -132,8 +133,7 @@ def scan(
             w = (inner_fwd if v.forward else inner_bwd).rowsBetween(Window.unboundedPreceding, Window.currentRow if v.inclusive else -1)
             local[f"__local_{name}"] = _combine(v.kind, F.col(inputs[name]), w)
     # windows before the join, which then needs no sort of its own; merged, as Spark's guess of a side that comes from exploded or packed rows may be far too small
-    rows = dealt(base, *by, BLOCK) if wide else base
-    joined = rows.withColumns(local).join(carry.hint("merge"), [*by, BLOCK])
+    joined = base.withColumns(local).join(carry.hint("merge"), [*by, BLOCK])
     out = [F.col(c) for c in df.columns if c not in values]
     for name, v in values.items():
         carried, here = F.col(f"__carry_{name}"), F.col(f"__local_{name}")
