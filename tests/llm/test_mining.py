@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward
 
@@ -54,6 +55,24 @@ def test_collocations_equal_counting(spark, monkeypatch, capacity):
     assert collocations.collocations(df.limit(0)).count() == 0
 
 
+def test_phrases_are_cut_without_a_loop(monkeypatch):
+    texts = ["Ab  b\tß. 日本 b", "", ". x", "b b b b b"]
+    full = collocations.Bitmap(12, np.full(1 << 6, -1, dtype=np.int64).view(np.uint64))
+    part = pa.RecordBatch.from_arrays([pa.array(["en", "de", "und", "en"]), pa.array(texts)], ["lang", "text"])
+
+    def counts():
+        got = collections.Counter()
+        for out in collocations._exact_counts((1, 2, 3), {1: full, 2: full, 3: full})(iter([part])):
+            for *key, n in zip(*[c.to_pylist() for c in out.columns]):
+                got[tuple(key)] += n
+        return got
+
+    monkeypatch.setattr(collocations.Words, "phrase", None)  # one text at a time
+    want = {("en", 0, ""): 10, ("und", 0, ""): 1, ("en", 1, "ab"): 1, ("en", 1, "b"): 7, ("en", 1, "ß"): 1, ("en", 1, "日本"): 1, ("und", 1, "x"): 1}
+    want |= {("en", 2, "ab b"): 1, ("en", 2, "b ß"): 1, ("en", 2, "日本 b"): 1, ("en", 2, "b b"): 4, ("en", 3, "ab b ß"): 1, ("en", 3, "b b b"): 3}
+    assert counts() == want
+
+
 def test_collocations_of_tables_without_words(spark):
     df = awkward(spark).selectExpr("*", "cast(null as string) lang")
     assert collocations.collocations(df).count() == 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseline.llm.common import batches, checkpointed, field
+from verseline.llm.common import batches, checkpointed, field, offsets_of
 
 U = np.uint64
 #: Odd bases of the two hashes of a word, and a multiplier that mixes.
@@ -65,6 +65,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, powers: list[Powers]):
         self.data = data = _LOWER[data]
+        self.glued, self.broken = None, False
         kind = _CLASS[data]
         inner = kind == WORD
         first = offsets[:-1][np.diff(offsets) > 0]  # first byte of every text that is not empty
@@ -106,6 +107,26 @@ class Words:
     def phrase(self, i: int, n: int) -> str:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[i : i + n], self.end[i : i + n])).decode("utf-8", "replace")
 
+    def phrases(self, at: np.ndarray, n: int) -> pa.StringArray:
+        """Texts of the n words from each of ``at`` on, cut at once out of the words with one blank behind each."""
+        if self.glued is None:
+            size = self.end - self.start
+            self.begin = offsets_of(size + 1)
+            word = np.ones(self.begin[-1], dtype=bool)
+            word[self.begin[1:] - 1] = False
+            self.glued = np.full(len(word), 0x20, dtype=np.uint8)
+            self.glued[word] = self.data[_CLASS[self.data] == WORD]
+            try:
+                self.glued.tobytes().decode("utf-8")
+            except UnicodeDecodeError:
+                self.broken = True
+        if self.broken:
+            return pa.array([self.phrase(int(i), n) for i in at], pa.string())
+        lo = self.begin[at]
+        offsets = offsets_of(self.begin[at + n] - 1 - lo)
+        data = self.glued[np.repeat(lo - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+
 
 def _read(parts: Iterator[pa.RecordBatch], names: dict, powers: list[Powers]) -> Iterator[Words]:
     """Splits (lang, text) batches; a text longer than a slice is a slice of its own. names: language to a number of this task."""
@@ -254,19 +275,22 @@ def _exact_counts(sizes: tuple[int, ...], maps: dict[int, Bitmap]):
         powers, names = [Powers(b) for b in BASES], {}
         for w in _read(parts, names, powers):
             of = {v: k for k, v in names.items()}
-            langs, totals = np.unique(w.lang, return_counts=True)
-            rows = [(of[int(x)], 0, "", int(t)) for x, t in zip(langs, totals)]
+            codes, code, totals = np.unique(w.lang, return_inverse=True, return_counts=True)
+            langs = pa.array([of[int(x)] for x in codes], pa.string())
+            yield rows(langs, 0, pa.array([""] * len(langs), pa.string()), totals)
             for n in sizes:
-                ok = w.whole(n) & maps[n].holds(w.grams(n))
-                at = np.nonzero(ok)[0]
-                h, g = w.grams(n)[at], w.grams(n, 1)[at]
-                _, first, code, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                if (g != g[first][code]).any():  # two phrases of one hash: the second hash tells them apart
+                h = w.grams(n)
+                at = np.nonzero(w.whole(n) & maps[n].holds(h))[0]
+                h, g = h[at], w.grams(n, 1)[at]
+                _, first, same, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                if (g != g[first][same]).any():  # two phrases of one hash: the second hash tells them apart
                     _, first, count = np.unique(np.stack([h, g], axis=1), axis=0, return_index=True, return_counts=True)
-                rows += [(of[int(w.lang[at[i]])], n, w.phrase(int(at[i]), n), c) for i, c in zip(first.tolist(), count.tolist())]
-            for lo in range(0, len(rows), 50_000):
-                a, b, c, d = zip(*rows[lo : lo + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.string()), pa.array(d, pa.int64())], ["lang", "size", "phrase", "n"])
+                for lo in range(0, len(first), 50_000):
+                    i = at[first[lo : lo + 50_000]]
+                    yield rows(langs.take(pa.array(code[i])), n, w.phrases(i, n), count[lo : lo + 50_000])
+
+    def rows(langs, n, texts, count):
+        return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(langs), n, dtype=np.int32)), texts, pa.array(count.astype(np.int64))], ["lang", "size", "phrase", "n"])
 
     return run
 
