@@ -27,7 +27,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["parse_nicokara"])
+@pytest.mark.parametrize("name", ["parse_nicokara", "parse_inline_timed"])
 def test_odd_documents_equal_the_statement(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd}/documents.parquet')")

@@ -42,3 +42,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches by bytes: a batch of long files must fit a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
