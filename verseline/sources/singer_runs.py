@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseline.operators.ordered import last_known, running_min, running_sum, scan
+from verseline.session import cut_lineage
 from verseline.sources.dialects import split_lines, unescape_html
 
 #: Key of text without a colour or singer.
@@ -39,7 +40,8 @@ def html_runs(files: DataFrame) -> DataFrame:
 
     Tags nest: depth is a running sum of opens and closes (a close without an open does nothing), and every close finds its open as the last
     one of its depth. Tags without a colour pass on the colour around them, so with their closes they drop out, and what is left is the last
-    coloured open at the current depth of coloured tags.
+    coloured open at the current depth of coloured tags. The scans of the nesting see tags alone, which are written down once; a text is
+    shuffled once, to meet the last coloured tag and the line breaks before it.
     """
     pieces = files.select("file_id", F.regexp_extract_all(F.regexp_replace("content", HIDDEN, ""), F.lit(r"(<[^>]*>|[^<]+|<)"), 1).alias("__all"))
     rows = pieces.select("file_id", F.posexplode("__all").alias("__pos", "__t")).withColumn("run_no", F.col("__pos").cast("long") + 1)
@@ -47,31 +49,30 @@ def html_runs(files: DataFrame) -> DataFrame:
     name = F.when(is_tag, F.lower(F.regexp_extract("__t", r"^</?([a-zA-Z0-9]+)", 1)))
     closing = F.col("__t").startswith("</")
     colour = F.regexp_extract("__t", r"(?i)color\s*[:=]\s*[\"']?\s*(#[0-9a-fA-F]{3,6}\b|rgba?\([^)]*\))", 1)
-    paint = name.isin(*COLOUR_TAGS)
-    rows = rows.withColumns(
-        {
-            "__step": F.when(paint & closing, -1).when(paint & ~F.col("__t").rlike(r"/\s*>$"), 1).otherwise(0).cast("long"),
-            "__colour": F.when(paint & ~closing & (colour != ""), colour_key(colour)),
-            "__break": F.when(name.isin(*BREAK_TAGS), 1).otherwise(0).cast("long"),
-            "__text": F.when(~is_tag, unescape_html(F.col("__t"))),
-        }
-    ).drop("__t", "__pos")
     at = F.floor(F.col("run_no") / BLOCK)
-    s = scan(rows, by=["file_id"], order=["run_no"], block=at, wide=True, __sum=running_sum(F.col("__step")), __line=running_sum(F.col("__break")))
+    step = F.when(closing, -1).when(~F.col("__t").rlike(r"/\s*>$"), 1).otherwise(0).cast("long")
+    tags = rows.where(name.isin(*COLOUR_TAGS)).select("file_id", "run_no", step.alias("__step"), F.when(~closing & (colour != ""), colour_key(colour)).alias("__colour"))
+    tags = cut_lineage(tags.where("__step <> 0"))
+    s = scan(tags, by=["file_id"], order=["run_no"], block=at, wide=True, __sum=running_sum(F.col("__step")))
     s = scan(s, by=["file_id"], order=["run_no"], block=at, wide=True, __low=running_min(F.col("__sum")), __low0=running_min(F.col("__sum"), inclusive=False))
     floor_ = lambda c: F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
     # the stack never falls below empty: what the sum lost below zero is added again
     depth = F.col("__sum") - floor_("__low")
     idle = (F.col("__step") == -1) & (floor_("__low") < floor_("__low0"))
     s = s.where(~idle).withColumn("__level", depth + F.when(F.col("__step") == -1, 1).otherwise(0))
-    tags = s.where("__step <> 0")
-    met = scan(tags, by=["file_id", "__level"], order=["run_no"], block=at, wide=True, __open=last_known(F.when(F.col("__step") == 1, F.col("__colour").isNotNull())))
-    coloured = met.where("__open").select("file_id", "run_no", "__step", "__colour", F.lit(None).cast("string").alias("__text"), "__line")
-    texts = s.where(F.col("__text").isNotNull()).select("file_id", "run_no", "__step", "__colour", "__text", "__line")
-    both = scan(coloured.unionByName(texts), by=["file_id"], order=["run_no"], block=at, wide=True, __depth=running_sum(F.col("__step")))
-    seen = scan(both, by=["file_id", "__depth"], order=["run_no"], block=at, wide=True, __key=last_known(F.when(F.col("__step") == 1, F.col("__colour"))))
+    met = scan(s, by=["file_id", "__level"], order=["run_no"], block=at, wide=True, __open=last_known(F.when(F.col("__step") == 1, F.col("__colour").isNotNull())))
+    coloured = cut_lineage(met.where("__open").select("file_id", "run_no", "__step", "__colour"))
+    deep = scan(coloured, by=["file_id"], order=["run_no"], block=at, wide=True, __depth=running_sum(F.col("__step")))
+    seen = scan(deep, by=["file_id", "__depth"], order=["run_no"], block=at, wide=True, __key=last_known(F.when(F.col("__step") == 1, F.col("__colour"))))
     key = F.when(F.col("__depth") > 0, F.col("__key")).otherwise(NO_KEY)
-    return seen.where(F.col("__text").isNotNull()).select("file_id", (F.col("__line") + 1).alias("line_no"), "run_no", key.alias("singer_key"), F.col("__text").alias("text"))
+    keys = seen.select("file_id", "run_no", key.alias("__mark"), F.lit(0).cast("long").alias("__break"), F.lit(None).cast("string").alias("__text"))
+    breaks = F.when(name.isin(*BREAK_TAGS), 1).otherwise(0).cast("long")
+    rest = rows.select("file_id", "run_no", F.lit(None).cast("string").alias("__mark"), breaks.alias("__break"), F.when(~is_tag, unescape_html(F.col("__t"))).alias("__text"))
+    both = keys.unionByName(rest.where("__break > 0 or __text is not null"))
+    out = scan(both, by=["file_id"], order=["run_no"], block=at, wide=True, __line=running_sum(F.col("__break")), __key=last_known(F.col("__mark")))
+    return out.where(F.col("__text").isNotNull()).select(
+        "file_id", (F.col("__line") + 1).alias("line_no"), "run_no", F.coalesce("__key", F.lit(NO_KEY)).alias("singer_key"), F.col("__text").alias("text")
+    )
 
 
 def ass_runs(files: DataFrame) -> DataFrame:
